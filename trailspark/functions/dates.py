@@ -34,7 +34,7 @@ def parse_month_day(c, year: int = DEFAULT_YEAR, strict_leap: bool = False) -> C
     if strict_leap:
         ok = ok & ~((month_no == 2) & (day.cast("int") == 29))
     text = F.concat(F.lit(str(year)), F.lit("-"), month_no.cast("string"), F.lit("-"), day)
-    return F.when(ok, F.try_to_date(text, F.lit("yyyy-M-d")))
+    return F.when(ok, F.try_to_date(text, "yyyy-M-d"))
 
 
 def week_end_sunday(d) -> Column:

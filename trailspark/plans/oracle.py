@@ -224,3 +224,83 @@ LEFT JOIN (
     WHERE h.trail_club IS DISTINCT FROM 'No Club' AND h.topic NOT IN (-1, 0)) l
   GROUP BY trail_club) a USING (trail_club)
 """, _ABOVE)
+
+# ---------------------------------------------------------------------------
+# prep / geo / time
+
+SQL["scan_filter_no_club"] = _with("SELECT journal_id, trail_club, location_name FROM located")
+SQL["filter_latitude_sentinel"] = _with(
+    "SELECT journal_id, latitude, longitude FROM journals WHERE latitude IS DISTINCT FROM -1")
+SQL["drop_missing_any"] = _with("""
+SELECT journal_id, location_name, trail_club, label FROM journals
+WHERE location_name IS NOT NULL AND trail_club IS NOT NULL AND label IS NOT NULL""")
+SQL["state_not_null"] = _with("SELECT journal_id, state FROM journals WHERE state IS NOT NULL")
+SQL["crop_first_n"] = _with(
+    "SELECT journal_id, trail_name, location_name FROM journals ORDER BY journal_id LIMIT 500")
+SQL["split_label_counts"] = _with(
+    "SELECT label, count(*) AS rows FROM journals WHERE label IS NOT NULL GROUP BY label")
+SQL["combine_by_name"] = """
+SELECT c_custkey AS id, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment,
+       CAST(NULL AS INTEGER) AS nationkey, 0 AS source_no FROM customer
+UNION ALL
+SELECT s_suppkey, s_name, s_acctbal, NULL, s_nationkey, 1 FROM supplier
+"""
+
+_POSTS = """
+posts AS (SELECT c_custkey AS post_id, c_name AS trail_name, c_acctbal AS latitude FROM customer),
+shelters AS (SELECT s_name AS shelter_name, s_acctbal AS latitude FROM supplier),
+clubs AS (SELECT r_name AS trail_club, r_regionkey AS club_order,
+                 CASE WHEN r_regionkey = 2 THEN r_regionkey * 2000.0 + 1500.0 ELSE r_regionkey * 2000.0 - 1000.0 END AS lat_start,
+                 CASE WHEN r_regionkey = 2 THEN r_regionkey * 2000.0 - 1000.0 ELSE r_regionkey * 2000.0 + 1500.0 END AS lat_end
+          FROM region),
+assigned AS (
+  SELECT p.*, (SELECT c.trail_club FROM clubs c WHERE c.lat_start <= p.latitude AND p.latitude <= c.lat_end
+               ORDER BY c.club_order LIMIT 1) AS club
+  FROM posts p)
+"""
+
+SQL["shelter_match"] = "WITH " + _POSTS + """
+SELECT p.post_id, p.trail_name, p.latitude, s.shelter_name AS location_name
+FROM posts p JOIN shelters s ON CAST(round_even(p.latitude, 0) AS BIGINT) = CAST(round_even(s.latitude, 0) AS BIGINT)
+"""
+SQL["shelter_unmatched"] = "WITH " + _POSTS + """
+SELECT p.trail_name, p.latitude FROM posts p
+WHERE NOT EXISTS (SELECT 1 FROM shelters s
+                  WHERE CAST(round_even(p.latitude, 0) AS BIGINT) = CAST(round_even(s.latitude, 0) AS BIGINT))
+"""
+SQL["club_first_match"] = "WITH " + _POSTS + """
+SELECT post_id, trail_name, latitude, coalesce(club, '') AS trail_club FROM assigned"""
+SQL["club_unassigned"] = "WITH " + _POSTS + """
+SELECT post_id, trail_name, latitude FROM assigned WHERE club IS NULL AND latitude IS NOT NULL"""
+SQL["club_fill"] = "WITH " + _POSTS + """
+SELECT post_id, trail_name, latitude, coalesce(nullif(trim(club), ''), 'No Club') AS trail_club FROM assigned"""
+
+SQL["year_dated_rows"] = """
+SELECT o_orderkey AS row_id, o_totalprice AS latitude, CAST(o_custkey AS DOUBLE) AS longitude,
+       strftime(o_orderdate, '%b %d, %a') || ', ' || CAST(year(o_orderdate) AS VARCHAR) AS date_text,
+       CAST(year(o_orderdate) AS VARCHAR) AS year
+FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL
+"""
+
+_PARSE = """
+parsed AS (
+  SELECT journal_id, date_text,
+    CASE WHEN m.mon IS NOT NULL AND list_contains(['mon','tue','wed','thu','fri','sat','sun'], m.dow)
+         THEN try_strptime('2016-' || CAST(m.mon AS VARCHAR) || '-' || m.dd, '%Y-%m-%d')::DATE END AS date
+  FROM (SELECT journal_id, date_text,
+          list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'],
+                        lower(regexp_extract(date_text, '^\\s*([A-Za-z]{3})\\s+(\\d{1,2}),\\s*([A-Za-z]{3})\\s*$', 1))) AS mon,
+          regexp_extract(date_text, '^\\s*([A-Za-z]{3})\\s+(\\d{1,2}),\\s*([A-Za-z]{3})\\s*$', 2) AS dd,
+          lower(regexp_extract(date_text, '^\\s*([A-Za-z]{3})\\s+(\\d{1,2}),\\s*([A-Za-z]{3})\\s*$', 3)) AS dow
+        FROM journals) m
+)"""
+SQL["date_parse_rejects"] = _with(
+    "SELECT journal_id, date_text FROM parsed WHERE date_text IS NOT NULL AND date IS NULL", _PARSE)
+SQL["journal_dates"] = _with("SELECT journal_id, date_text, date FROM parsed", _PARSE)
+
+SQL["weekly_sentiment"] = """
+WITH w AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS week_end, value FROM events WHERE ts IS NOT NULL),
+a AS (SELECT week_end, avg(value) AS avg_sentiment FROM w GROUP BY week_end),
+cal AS (SELECT CAST(unnest(generate_series(min(week_end), max(week_end), INTERVAL 7 DAY)) AS DATE) AS week_end FROM a)
+SELECT cal.week_end, a.avg_sentiment FROM cal LEFT JOIN a USING (week_end)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailspark.plans import location
+from trailspark.plans import location, prep
 from trailspark.plans.oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +24,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "club_above_average": location.club_above_average,
     "club_above_average_lists": location.club_above_average_lists,
     "topic_chart_rows": location.topic_chart_rows,
+    "scan_filter_no_club": prep.scan_filter_no_club,
+    "filter_latitude_sentinel": prep.filter_latitude_sentinel,
+    "drop_missing_any": prep.drop_missing_any,
+    "state_not_null": prep.state_not_null,
+    "crop_first_n": prep.crop_first_n,
+    "split_label_counts": prep.split_label_counts,
+    "combine_by_name": prep.combine_by_name_q,
+    "shelter_match": prep.shelter_match,
+    "shelter_unmatched": prep.shelter_unmatched,
+    "club_first_match": prep.club_first_match,
+    "club_unassigned": prep.club_unassigned,
+    "club_fill": prep.club_fill,
+    "year_dated_rows": prep.year_dated_rows,
+    "date_parse_rejects": prep.date_parse_rejects,
+    "journal_dates": prep.journal_dates,
+    "weekly_sentiment": prep.weekly_sentiment,
 }
 
 
