@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 # Fixed values (must equal the reference's behaviour):
 # a token for the term vectoriser is a run of two or more word characters.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
-# whitespace as understood by Python's str.split()/str.strip()
-WS = r"(?U)\s+"
+# whitespace as understood by Python's str.split()/str.strip(): one
+# character class that reads the same in Java regex and RE2.
+WS_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+WS = WS_CLASS + "+"
 
 
 def _col(c) -> Column:
@@ -23,7 +26,7 @@ def _col(c) -> Column:
 
 def ustrip(c) -> Column:
     """Strip leading/trailing Unicode whitespace (Python ``str.strip``)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), f"^{WS}|{WS}$", "")
 
 
 def blank_to_null(c) -> Column:

@@ -304,3 +304,63 @@ a AS (SELECT week_end, avg(value) AS avg_sentiment FROM w GROUP BY week_end),
 cal AS (SELECT CAST(unnest(generate_series(min(week_end), max(week_end), INTERVAL 7 DAY)) AS DATE) AS week_end FROM a)
 SELECT cal.week_end, a.avg_sentiment FROM cal LEFT JOIN a USING (week_end)
 """
+
+# ---------------------------------------------------------------------------
+# cleaning
+
+_WS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
+_WORD = r"[\p{L}\p{N}_]{2,}"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}|{_WS}$', '', 'g')"
+
+
+def _blank_null(x: str) -> str:
+    return f"nullif({_strip(x)}, '')"
+
+
+def _stop_cte(version: int) -> str:
+    return f"""
+bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_WORD}')) AS word FROM benchmark),
+extras AS (SELECT word FROM bw WHERE length(word) <= {3 if version == 1 else 2}),
+stop AS (
+  SELECT word, min_by(g, g * 1e12 + k) AS g, min_by(k, g * 1e12 + k) AS k FROM (
+    SELECT trail_name AS word, 0 AS g, CAST(min(journal_id) AS DOUBLE) AS k FROM journals
+    WHERE trail_name IS NOT NULL GROUP BY trail_name
+    UNION ALL SELECT word, 1, 0.0 FROM extras) u
+  GROUP BY word),
+stoparr AS (SELECT list(word ORDER BY g, k, word) AS w FROM stop),
+vocab AS (SELECT word FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS word
+                            FROM documents WHERE lang = 'en') t GROUP BY word HAVING count(*) >= 2),
+toks AS (SELECT journal_id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (
+           SELECT journal_id, string_split_regex({_strip('journal_story')}, '{_WS}') AS t FROM journals
+           WHERE journal_story IS NOT NULL AND {_strip('journal_story')} <> '') x)"""
+
+
+def _replace_all(x: str) -> str:
+    return f"list_reduce(list_prepend({x}, (SELECT w FROM stoparr)), lambda acc, w: replace(acc, w, ''))"
+
+
+SQL["stop_list"] = _with("SELECT word, g, k FROM stop", _stop_cte(1))
+SQL["clean_substring"] = _with(f"""
+SELECT journal_id, CASE WHEN journal_story IS NULL THEN NULL ELSE {_blank_null(_replace_all('journal_story'))} END
+       AS journal_story FROM journals""", _stop_cte(2))
+SQL["clean_dict_substring"] = _with(f"""
+SELECT j.journal_id, CASE WHEN j.journal_story IS NULL THEN NULL
+                          ELSE {_blank_null(_replace_all("coalesce(c.s, '')"))} END AS journal_story
+FROM journals j LEFT JOIN (
+  SELECT journal_id, string_agg(tok, ' ' ORDER BY pos) AS s FROM toks
+  WHERE lower(tok) IN (SELECT word FROM vocab) GROUP BY journal_id) c USING (journal_id)""", _stop_cte(2))
+SQL["clean_tokens"] = _with(f"""
+SELECT j.journal_id, CASE WHEN j.journal_story IS NULL THEN NULL ELSE {_blank_null('c.s')} END AS journal_story
+FROM journals j LEFT JOIN (
+  SELECT journal_id, string_agg(tok, ' ' ORDER BY pos) AS s FROM toks
+  WHERE lower(tok) IN (SELECT word FROM vocab) AND lower(tok) NOT IN (SELECT word FROM stop)
+  GROUP BY journal_id) c USING (journal_id)""", _stop_cte(1))
+SQL["valid_story_mask"] = _with("""
+SELECT j.journal_id, j.journal_story IS NOT NULL AND coalesce(v.ok, false) AS valid
+FROM journals j LEFT JOIN (
+  SELECT DISTINCT journal_id, true AS ok FROM toks WHERE lower(tok) NOT IN (SELECT word FROM stop)) v USING (journal_id)
+""", _stop_cte(1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailspark.plans import location, prep
+from trailspark.plans import location, prep, text
 from trailspark.plans.oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -40,6 +40,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "date_parse_rejects": prep.date_parse_rejects,
     "journal_dates": prep.journal_dates,
     "weekly_sentiment": prep.weekly_sentiment,
+    "stop_list": text.stop_list,
+    "clean_substring": text.clean_substring,
+    "clean_dict_substring": text.clean_dict_substring,
+    "clean_tokens": text.clean_tokens,
+    "valid_story_mask": text.valid_story_mask,
 }
 
 
