@@ -364,3 +364,9 @@ SELECT j.journal_id, j.journal_story IS NOT NULL AND coalesce(v.ok, false) AS va
 FROM journals j LEFT JOIN (
   SELECT DISTINCT journal_id, true AS ok FROM toks WHERE lower(tok) NOT IN (SELECT word FROM stop)) v USING (journal_id)
 """, _stop_cte(1))
+
+SQL["json_required_key"] = """
+SELECT event_id, coalesce(json_extract(props, '$.k') IS NOT NULL AND json_type(json_extract(props, '$.k')) <> 'NULL', false) AS valid
+FROM events"""
+SQL["json_flatten"] = """
+SELECT event_id, event_type, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"""

@@ -112,3 +112,17 @@ def weekly_sentiment(spark, sf_dir):
     """Weekly mean of the event value, empty weeks kept as null."""
     e = S.read_table(spark, sf_dir, "events", ["ts", "value"])
     return TS.weekly_mean(e, "ts", "value")
+
+
+def json_required_key(spark, sf_dir):
+    """Does each event payload hold the key 'k'?"""
+    from trailspark.operators.payload import payload_valid
+    e = S.read_table(spark, sf_dir, "events", ["event_id", "props"])
+    return payload_valid(e, "props", "k").select("event_id", "valid")
+
+
+def json_flatten(spark, sf_dir):
+    """Event payloads parsed into columns."""
+    from trailspark.operators.payload import flatten_object
+    e = S.read_table(spark, sf_dir, "events", ["event_id", "event_type", "props"])
+    return flatten_object(e, "props", "k BIGINT", keep=["event_id", "event_type"])
