@@ -370,3 +370,55 @@ SELECT event_id, coalesce(json_extract(props, '$.k') IS NOT NULL AND json_type(j
 FROM events"""
 SQL["json_flatten"] = """
 SELECT event_id, event_type, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"""
+
+# ---------------------------------------------------------------------------
+# topics / language
+
+_TERMS = _stop_cte(1) + f""",
+terms AS (SELECT source, term, count(*) AS tf FROM (
+            SELECT source, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM documents
+            WHERE source IS NOT NULL) t
+          WHERE term NOT IN (SELECT lower(word) FROM stop) GROUP BY source, term),
+weights AS (SELECT t.source, t.term, t.tf * ln(1 + (SELECT sum(tf) / count(DISTINCT source) FROM terms) / f.f) AS weight
+            FROM terms t JOIN (SELECT term, sum(tf) AS f FROM terms GROUP BY term) f USING (term)),
+ranked AS (SELECT source, term, weight,
+                  row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM weights)"""
+
+SQL["term_counts"] = _with("SELECT source, term, tf FROM terms", _TERMS)
+SQL["topic_words_ctfidf"] = _with("SELECT source, term, weight, rank FROM ranked WHERE rank <= 10", _TERMS)
+SQL["topic_bar"] = _with("""
+SELECT r.source, s.topic_rank, r.rank AS word_rank, r.term AS word, r.weight
+FROM ranked r JOIN (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS topic_rank
+                    FROM documents WHERE source IS NOT NULL GROUP BY source QUALIFY topic_rank <= 10) s USING (source)
+WHERE r.rank <= 5""", _TERMS)
+
+SQL["topic_similarity"] = """
+WITH c AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM (
+             SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings
+             WHERE label IS NOT NULL) t GROUP BY label, pos),
+n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM c GROUP BY label)
+SELECT a.label AS topic_a, b.label AS topic_b, sum(a.m * b.m) / (na.norm * nb.norm) AS similarity
+FROM c a JOIN c b ON a.pos = b.pos JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label
+GROUP BY a.label, b.label, na.norm, nb.norm
+"""
+
+SQL["detect_language"] = r"""
+WITH g AS (
+  SELECT doc_id, lang, s, length(s) AS len FROM (
+    SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS s FROM documents) x),
+grams AS (SELECT doc_id, lang, substring(s, i, 3) AS gram
+          FROM (SELECT doc_id, lang, s, unnest(range(1, len - 1)) AS i FROM g WHERE len >= 4) y),
+nd AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+counts AS (SELECT lang, gram, count(*) AS c FROM grams WHERE lang IS NOT NULL GROUP BY lang, gram),
+v AS (SELECT count(DISTINCT gram) AS v FROM counts),
+langs AS (SELECT t.lang, ln(1.0 / (t.n + v.v)) AS base, ln(d.d / (SELECT count(*) FROM documents WHERE lang IS NOT NULL)) AS prior, t.n
+          FROM (SELECT lang, sum(c) AS n FROM counts GROUP BY lang) t
+          JOIN (SELECT lang, count(*) AS d FROM documents WHERE lang IS NOT NULL GROUP BY lang) d USING (lang), v),
+profile AS (SELECT c.lang, c.gram, ln((c.c + 1.0) / (l.n + v.v)) - ln(1.0 / (l.n + v.v)) AS delta
+            FROM counts c JOIN langs l USING (lang), v),
+s AS (SELECT gr.doc_id, p.lang, sum(p.delta) AS d FROM grams gr JOIN profile p USING (gram) GROUP BY gr.doc_id, p.lang),
+best AS (SELECT s.doc_id, s.lang FROM s JOIN langs l USING (lang) JOIN nd USING (doc_id)
+         QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY l.prior + nd.n * l.base + s.d DESC, s.lang) = 1)
+SELECT d.doc_id, b.lang AS lang_pred, coalesce(b.lang = 'en', false) AS is_english
+FROM documents d LEFT JOIN best b USING (doc_id)
+"""

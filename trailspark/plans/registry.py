@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailspark.plans import location, prep, text
+from trailspark.plans import location, prep, text, topics
 from trailspark.plans.oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -47,6 +47,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "valid_story_mask": text.valid_story_mask,
     "json_required_key": prep.json_required_key,
     "json_flatten": prep.json_flatten,
+    "term_counts": topics.term_counts,
+    "topic_words_ctfidf": topics.topic_words_ctfidf,
+    "topic_bar": topics.topic_bar,
+    "topic_similarity": topics.topic_similarity,
+    "detect_language": topics.detect_language,
+    "topic_fit": topics.topic_fit,
+    "topic_target_search": topics.topic_target_search,
+    "topic_reduce": topics.topic_reduce,
+    "topic_hierarchy": topics.topic_hierarchy,
+    "topic_assign": topics.topic_assign,
+    "topic_per_group": topics.topic_per_group,
+    "sentiment_score": topics.sentiment_score,
 }
 
 
