@@ -18,6 +18,9 @@ WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 WS_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 WS = WS_CLASS + "+"
+# the same characters as a plain string, for btrim/translate (no regex)
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _col(c) -> Column:
@@ -26,7 +29,7 @@ def _col(c) -> Column:
 
 def ustrip(c) -> Column:
     """Strip leading/trailing Unicode whitespace (Python ``str.strip``)."""
-    return F.regexp_replace(_col(c), f"^{WS}|{WS}$", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def blank_to_null(c) -> Column:
@@ -36,9 +39,13 @@ def blank_to_null(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """Whitespace tokens (Python ``str.split()``): no empty tokens."""
-    s = ustrip(c)
-    return F.when(F.length(s) > 0, F.split(s, WS)).otherwise(F.array().cast("array<string>"))
+    """Whitespace tokens (Python ``str.split()``): no empty tokens.
+
+    Every whitespace character is mapped to a space (``translate``), the
+    text is split on the single space (no regex) and empty pieces dropped.
+    """
+    spaced = F.translate(_col(c), WS_CHARS, " " * len(WS_CHARS))
+    return F.filter(F.split(spaced, " "), lambda t: t != "")
 
 
 def word_terms(c) -> Column:

@@ -16,10 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.functions.text import blank_to_null, remove_substrings_array, tokens
+from trailspark.functions.text import blank_to_null, remove_substrings, remove_substrings_array, tokens
 from trailspark.operators.common import BROADCAST_MAX_ROWS, has_at_most, ordered_join
 
 STOP_LIST_MAX = 100_000
+# Up to this many words the removal chain is compiled into nested
+# ``replace`` expressions (whole-stage codegen); longer lists use the
+# interpreted ``aggregate`` lambda with the list as a scalar subquery.
+INLINE_MAX = 2_000
 
 
 def stop_list(journals: DataFrame, extras: DataFrame, name_col: str = "trail_name") -> DataFrame:
@@ -48,27 +52,54 @@ def _ordered_words(stop: DataFrame):
     return arr.scalar()
 
 
+def _remove_all(df: DataFrame, text, stop: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out`` = ``text`` after removing every stop word in order."""
+    if has_at_most(stop, INLINE_MAX):
+        words = [r["word"] for r in stop.orderBy("g", "k", "word").select("word").collect()]
+        return df.withColumn(out, remove_substrings(text, words))
+    return (df.withColumn("_stop", _ordered_words(stop))
+            .withColumn(out, remove_substrings_array(text, F.col("_stop"))).drop("_stop"))
+
+
 def clean_substring(df: DataFrame, stop: DataFrame, col: str = "journal_story") -> DataFrame:
     """Remove each stop word as a substring (in list order), then strip;
     blank -> null."""
-    return (df.withColumn("_stop", _ordered_words(stop))
-            .withColumn(col, blank_to_null(remove_substrings_array(F.col(col), F.col("_stop")))).drop("_stop"))
+    return _remove_all(df, F.col(col), stop, col).withColumn(col, blank_to_null(F.col(col)))
+
+
+def _lookup(words: DataFrame, lower: bool) -> DataFrame:
+    k = words.select((F.lower("word") if lower else F.col("word")).alias("key")).distinct()
+    return F.broadcast(k) if has_at_most(k, BROADCAST_MAX_ROWS * 5) else k
 
 
 def _filter_tokens(df: DataFrame, col: str, keep: DataFrame | None, drop: DataFrame | None,
-                   id_col: str = "journal_id") -> DataFrame:
-    """Keep tokens whose lowercase form is in ``keep`` and not in ``drop``;
-    rejoin with single spaces.  Returns ``(id, cleaned)`` for rows with text."""
-    toks = (df.where(F.col(col).isNotNull())
-            .select(id_col, F.posexplode(tokens(col)).alias("pos", "tok"))
-            .withColumn("key", F.lower("tok")))
+                   id_col: str = "journal_id", out: str = "_clean") -> DataFrame:
+    """Keep tokens whose lowercase form is in ``keep`` and not in ``drop``,
+    rejoined with single spaces into ``out``; every input row is kept.
+
+    One shuffle: tokens are flagged by broadcast left joins (no row is
+    dropped), and the regroup carries the other columns with ``first`` so
+    no join back to the input is needed.  The partial aggregate builds each
+    journal's list map-side (all its tokens are in one partition), so what
+    crosses the shuffle is one row per journal, not one per token.
+    """
+    toks = df.select(id_col, F.col(col).isNull().alias("_null"),
+                     F.posexplode_outer(tokens(F.coalesce(F.col(col), F.lit("")))).alias("_pos", "_tok"))
+    toks = toks.withColumn("key", F.lower("_tok"))
+    ok = F.col("_tok").isNotNull()
     if keep is not None:
-        k = keep.select(F.lower("word").alias("key")).distinct()
-        toks = toks.join(F.broadcast(k) if has_at_most(k, BROADCAST_MAX_ROWS * 5) else k, "key", "left_semi")
+        toks = toks.join(_lookup(keep, True).withColumn("_in", F.lit(True)), "key", "left")
+        ok = ok & F.col("_in").isNotNull()
     if drop is not None:
-        d = drop.select(F.col("word").alias("key")).distinct()
-        toks = toks.join(F.broadcast(d) if has_at_most(d, BROADCAST_MAX_ROWS * 5) else d, "key", "left_anti")
-    return toks.groupBy(id_col).agg(ordered_join("pos", "tok", " ").alias("_clean"))
+        toks = toks.join(_lookup(drop, False).withColumn("_out", F.lit(True)), "key", "left")
+        ok = ok & F.col("_out").isNull()
+    kept = F.collect_list(F.when(ok, F.struct(F.col("_pos").alias("o"), F.col("_tok").alias("v"))))
+    cleaned = toks.groupBy(id_col).agg(
+        F.first("_null").alias("_null"),
+        F.array_join(F.transform(F.array_sort(kept), lambda x: x["v"]), " ").alias(out))
+    # the text column is replaced, so only the narrow remaining columns are joined back
+    return df.drop(col).join(cleaned, id_col).withColumn(
+        col, F.when(~F.col("_null"), F.lit("x"))).drop("_null")
 
 
 def clean_tokens(df: DataFrame, stop: DataFrame, vocabulary: DataFrame, col: str = "journal_story",
@@ -79,9 +110,8 @@ def clean_tokens(df: DataFrame, stop: DataFrame, vocabulary: DataFrame, col: str
     word makes it fail the vocabulary.  Rows left with nothing become null.
     """
     kept = _filter_tokens(df, col, vocabulary, stop, id_col)
-    return (df.join(kept, id_col, "left")
-            .withColumn(col, F.when(F.col(col).isNotNull(), blank_to_null(F.col("_clean"))))
-            .drop("_clean"))
+    return (kept.withColumn(col, F.when(F.col(col).isNotNull(), blank_to_null(F.col("_clean"))))
+            .drop("_clean").select(*df.columns))
 
 
 def clean_dict_substring(df: DataFrame, stop: DataFrame, vocabulary: DataFrame, col: str = "journal_story",
@@ -89,11 +119,9 @@ def clean_dict_substring(df: DataFrame, stop: DataFrame, vocabulary: DataFrame,
     """Keep vocabulary tokens (rejoined with spaces), then T1 substring
     removal; double spaces left inside stay, ends are stripped."""
     kept = _filter_tokens(df, col, vocabulary, None, id_col)
-    return (df.join(kept, id_col, "left").withColumn("_stop", _ordered_words(stop))
-            .withColumn(col, F.when(F.col(col).isNotNull(),
-                                    blank_to_null(remove_substrings_array(F.coalesce("_clean", F.lit("")),
-                                                                          F.col("_stop")))))
-            .drop("_clean", "_stop"))
+    j = _remove_all(kept, F.col("_clean"), stop, "_rm")
+    return (j.withColumn(col, F.when(F.col(col).isNotNull(), blank_to_null(F.col("_rm"))))
+            .drop("_clean", "_rm").select(*df.columns))
 
 
 def valid_story_mask(df: DataFrame, stop: DataFrame, col: str = "journal_story", lowercase: bool = True,
