@@ -53,18 +53,33 @@ def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return profile, langs.select("lang", "base", "prior")
 
 
+MAX_LANGS = 200
+
+
 def detect(docs: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``(id, lang_pred)``: best language per document; null when the text
-    has no letters (the reference's detector fails there -> not English)."""
-    if has_at_most(profile, BROADCAST_MAX_ROWS * 10):
-        profile = F.broadcast(profile)
-    g = docs.select(id_col, trigrams(text_col).alias("g")).select(id_col, F.size("g").alias("n"),
-                                                                  F.explode("g").alias("gram"))
-    s = g.join(profile, "gram").groupBy(id_col, "lang").agg(F.sum("delta").alias("d"), F.first("n").alias("n"))
-    s = s.join(F.broadcast(langs), "lang").withColumn("score", F.col("prior") + F.col("n") * F.col("base") + F.col("d"))
-    w = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("lang"))
-    best = s.withColumn("r", F.row_number().over(w)).where("r = 1").select(id_col, F.col("lang").alias("lang_pred"))
+    has no letters (the reference's detector fails there -> not English).
+
+    The profile is pivoted to one row per trigram with one delta column per
+    language (languages are a small checked list), so each document
+    trigram joins exactly one profile row and the per-document sums are
+    plain column sums; the arg-max is taken over the language columns.
+    """
+    if not has_at_most(langs, MAX_LANGS):
+        raise ValueError(f"more than {MAX_LANGS} languages in the profile")
+    lang_rows = langs.orderBy("lang").collect()
+    names = [r["lang"] for r in lang_rows]
+    wide = profile.groupBy("gram").pivot("lang", names).agg(F.first("delta")).na.fill(0.0)
+    if has_at_most(wide, BROADCAST_MAX_ROWS * 10):
+        wide = F.broadcast(wide)
+    g = docs.select(id_col, F.explode(trigrams(text_col)).alias("gram"))
+    scored = g.join(wide, "gram", "left").groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"`{x}`")).alias(f"d{i}") for i, x in enumerate(names)])
+    cands = F.array(*[F.struct((F.lit(r["prior"]) + F.col("n") * F.lit(r["base"]) + F.coalesce(F.col(f"d{i}"), F.lit(0.0)))
+                               .alias("score"), F.lit(-i).alias("neg"), F.lit(r["lang"]).alias("lang"))
+                      for i, r in enumerate(lang_rows)])
+    best = scored.select(id_col, F.array_max(cands)["lang"].alias("lang_pred"))
     return docs.select(id_col).join(best, id_col, "left")
 
 
