@@ -45,9 +45,6 @@ def ctfidf(counts: DataFrame, class_col: str, top_n: int | None = 10) -> DataFra
     """Class-based TF-IDF ``w = tf(t,c) * ln(1 + A / f(t))`` with ``A``
     the mean number of terms per class and ``f(t)`` the frequency of ``t``
     over all classes; top ``top_n`` terms per class by ``(w desc, term)``."""
-    # counts are read three times below; they are bounded by classes x
-    # vocabulary, so materialise them once in the shared checkpoint folder
-    counts = cut_lineage(counts)
     freq = counts.groupBy("term").agg(F.sum("tf").alias("f"))
     avg_words = counts.agg((F.sum("tf") / F.countDistinct(class_col)).alias("a")).scalar()
     w = (counts.join(freq, "term")
