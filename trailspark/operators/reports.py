@@ -93,29 +93,31 @@ def few_topics(df: DataFrame, group: str, min_topics: int = 5) -> DataFrame:
             .where(F.col("n_topics") < min_topics))
 
 
-def top_topics_entries_long(df: DataFrame, n: int = 3) -> DataFrame:
+def top_topics_entries_long(df: DataFrame, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Q3: top-``n`` topics per location name, then all entries of those topics.
 
     The topic groups are keyed by (location, lat, lon, topic, words) and
     ranked per location name; each coordinate keeps its ranked topics.  The
     entries of a coordinate are all rows of that location *name* whose
     topic is among the coordinate's top topics (null story as 'None').
+    ``by`` (e.g. ``['label']``) runs the report once per key value.
 
     The reference prints the entries ' | '-joined into one cell; that cell
     grows with the data, so the scale-safe result stays long: one row per
     (coordinate, entry) with ``journal_id`` as the order key.
     :func:`join_entries` builds the single cell for small outputs.
     """
-    coord = ["location_name", "latitude", "longitude"]
+    by = list(by)
+    coord = by + ["location_name", "latitude", "longitude"]
     g = topic_counts(df, coord + ["topic", "topic_words"])
-    top = rank_within(g, ["location_name"], [F.desc("counts"), F.asc("latitude"), F.asc("longitude"),
-                                             F.asc("topic"), F.asc("topic_words")], n)
+    top = rank_within(g, by + ["location_name"], [F.desc("counts"), F.asc("latitude"), F.asc("longitude"),
+                                                  F.asc("topic"), F.asc("topic_words")], n)
     words = top.groupBy(*coord).agg(ordered_join("rank", "topic_words", ", ").alias("top_topics"))
     chosen = top.select(*coord, "topic").distinct()
-    entries = (df.where(F.col("location_name").isNotNull())
-               .select("location_name", "topic", "journal_id",
+    entries = (drop_null_keys(df, by + ["location_name"])
+               .select(*by, "location_name", "topic", "journal_id",
                        F.coalesce(F.col("journal_story"), F.lit("None")).alias("journal_entry"))
-               .join(chosen, ["location_name", "topic"]))
+               .join(chosen, by + ["location_name", "topic"]))
     return words.join(entries, coord).select(*coord, "top_topics", "journal_id", "journal_entry")
 
 
@@ -125,20 +127,22 @@ def join_entries(long_df: DataFrame, sep: str = " | ") -> DataFrame:
     return long_df.groupBy(*coord).agg(ordered_join("journal_id", "journal_entry", sep).alias("journal_entries"))
 
 
-def top_story_groups(df: DataFrame, n: int = 3, entries: int = 5) -> DataFrame:
+def top_story_groups(df: DataFrame, n: int = 3, entries: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """Q4: story-level groups, number of journals and up to ``entries`` entry columns.
 
     Grouping includes the story, so null stories drop out and identical
     stories count once; ``number_of_journals`` is the number of such groups
     per coordinate; the ``n`` most frequent groups per location give the
-    topic words and entries (aligned to their own coordinate).
+    topic words and entries (aligned to their own coordinate).  ``by`` runs
+    the report once per key value (the reference runs it per label).
     """
-    coord = ["location_name", "latitude", "longitude"]
+    by = list(by)
+    coord = by + ["location_name", "latitude", "longitude"]
     keys = coord + ["topic", "topic_words", "journal_story"]
     g = topic_counts(df, keys)
     n_groups = g.groupBy(*coord).agg(F.count(F.lit(1)).alias("number_of_journals"))
-    top = rank_within(g, ["location_name"], [F.desc("counts"), F.asc("latitude"), F.asc("longitude"),
-                                             F.asc("topic"), F.asc("topic_words"), F.asc("journal_story")], n)
+    top = rank_within(g, by + ["location_name"], [F.desc("counts"), F.asc("latitude"), F.asc("longitude"),
+                                                  F.asc("topic"), F.asc("topic_words"), F.asc("journal_story")], n)
     agg = top.groupBy(*coord).agg(
         ordered_join("rank", "topic_words", ", ").alias("top_topics"),
         ordered_list("rank", "journal_story").alias("stories"))

@@ -42,6 +42,16 @@ def location_entries_wide(spark, sf_dir):
     return R.top_story_groups(_located(spark, sf_dir), 3, 5)
 
 
+def location_top3_entries_by_label(spark, sf_dir):
+    """Q3 per label (the reference writes one table per label)."""
+    return R.top_topics_entries_long(_located(spark, sf_dir, True), 3, by=["label"])
+
+
+def location_entries_wide_by_label(spark, sf_dir):
+    """Q4 per label."""
+    return R.top_story_groups(_located(spark, sf_dir, True), 3, 5, by=["label"])
+
+
 def location_first_n(spark, sf_dir):
     """Q5: first-n topic words and entries per (label, location, lat, lon)."""
     return R.first_n_lists(_located(spark, sf_dir, True), 3, 5, group_extra=["label"])

@@ -422,3 +422,45 @@ best AS (SELECT s.doc_id, s.lang FROM s JOIN langs l USING (lang) JOIN nd USING
 SELECT d.doc_id, b.lang AS lang_pred, coalesce(b.lang = 'en', false) AS is_english
 FROM documents d LEFT JOIN best b USING (doc_id)
 """
+
+# ---------------------------------------------------------------------------
+# Q3 / Q4 per label
+
+SQL["location_top3_entries_by_label"] = _with("""
+SELECT t.label, t.location_name, t.latitude, t.longitude, t.top_topics, e.journal_id, e.journal_entry
+FROM (
+  SELECT label, location_name, latitude, longitude, string_agg(topic_words, ', ' ORDER BY rn) AS top_topics,
+         list(topic) AS topics
+  FROM top GROUP BY label, location_name, latitude, longitude
+) t
+JOIN (SELECT label, location_name, topic, journal_id, coalesce(journal_story, 'None') AS journal_entry
+      FROM located WHERE location_name IS NOT NULL AND label IS NOT NULL) e
+  ON e.label = t.label AND e.location_name = t.location_name AND list_contains(t.topics, e.topic)
+""", """
+top AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY label, location_name
+                                 ORDER BY counts DESC, latitude, longitude, topic, topic_words) AS rn
+    FROM (SELECT label, location_name, latitude, longitude, topic, topic_words, count(*) AS counts FROM located
+          WHERE label IS NOT NULL AND location_name IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL
+          GROUP BY ALL) g
+  ) r WHERE rn <= 3
+)""")
+
+SQL["location_entries_wide_by_label"] = _with("""
+SELECT t.label, t.location_name, t.latitude, t.longitude, t.top_topics, c.number_of_journals,
+       t.s[1] AS journal_entry_1, t.s[2] AS journal_entry_2, t.s[3] AS journal_entry_3,
+       t.s[4] AS journal_entry_4, t.s[5] AS journal_entry_5
+FROM (
+  SELECT label, location_name, latitude, longitude, string_agg(topic_words, ', ' ORDER BY rn) AS top_topics,
+         list(journal_story ORDER BY rn) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY label, location_name
+                   ORDER BY counts DESC, latitude, longitude, topic, topic_words, journal_story) AS rn FROM g) r
+  WHERE rn <= 3 GROUP BY label, location_name, latitude, longitude
+) t JOIN (SELECT label, location_name, latitude, longitude, count(*) AS number_of_journals FROM g GROUP BY ALL) c
+  USING (label, location_name, latitude, longitude)
+""", """
+g AS (SELECT label, location_name, latitude, longitude, topic, topic_words, journal_story, count(*) AS counts
+      FROM located WHERE label IS NOT NULL AND location_name IS NOT NULL AND latitude IS NOT NULL
+        AND longitude IS NOT NULL AND journal_story IS NOT NULL
+      GROUP BY ALL)""")

@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "few_topics_report": location.few_topics_report,
     "location_top3_entries": location.location_top3_entries,
     "location_entries_wide": location.location_entries_wide,
+    "location_top3_entries_by_label": location.location_top3_entries_by_label,
+    "location_entries_wide_by_label": location.location_entries_wide_by_label,
     "location_first_n": location.location_first_n,
     "coordinate_top3_entries": location.coordinate_top3_entries,
     "emotion_location_summary": location.emotion_location_summary,
