@@ -30,9 +30,37 @@ from trailspark.session import cut_lineage
 MAX_TOPICS_FOR_MATRIX = 5_000
 
 
-def term_counts(df: DataFrame, class_col: str, text_col: str, stop: DataFrame | None = None) -> DataFrame:
+def ngram_terms(text, stop_words: list[str], n_max: int = 2):
+    """Unigrams and, for ``n_max=2``, bigrams of consecutive terms after
+    stop-word removal (the vectoriser drops stop words before pairing)."""
+    stop_arr = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
+    t = F.filter(word_terms(text), lambda x: ~F.array_contains(stop_arr, x))
+    if n_max == 1:
+        return t
+    n = F.size(t)
+    bi = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(1))), F.slice(t, 2, F.greatest(n - 1, F.lit(1))),
+                    lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(t, F.when(n >= 2, bi).otherwise(F.array().cast("array<string>")))
+
+
+STOP_INLINE_MAX = 2_000
+
+
+def term_counts(df: DataFrame, class_col: str, text_col: str, stop: DataFrame | None = None,
+                ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
     """``(class, term, tf)``; a term is a run of >= 2 word characters,
-    lowercased; stop words (column ``word``) removed."""
+    lowercased; stop words (column ``word``) removed.  ``ngram_range=(1, 2)``
+    adds bigrams (T9), formed after stop-word removal; that needs the stop
+    list inline, so it must be short (checked)."""
+    if ngram_range != (1, 1):
+        words = []
+        if stop is not None:
+            if not has_at_most(stop, STOP_INLINE_MAX):
+                raise ValueError("stop list too long for n-gram terms")
+            words = sorted({r["w"] for r in stop.select(F.lower("word").alias("w")).collect()})
+        t = df.where(F.col(class_col).isNotNull()).select(
+            F.col(class_col).alias("cls"), F.explode(ngram_terms(text_col, words, ngram_range[1])).alias("term"))
+        return t.groupBy("cls", "term").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("cls", class_col)
     t = df.where(F.col(class_col).isNotNull()).select(
         F.col(class_col).alias("cls"), F.explode(word_terms(text_col)).alias("term"))
     if stop is not None:

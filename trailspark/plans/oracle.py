@@ -464,3 +464,12 @@ g AS (SELECT label, location_name, latitude, longitude, topic, topic_words, jour
       FROM located WHERE label IS NOT NULL AND location_name IS NOT NULL AND latitude IS NOT NULL
         AND longitude IS NOT NULL AND journal_story IS NOT NULL
       GROUP BY ALL)""")
+
+SQL["term_counts_bigrams"] = _with(f"""
+SELECT source, term, count(*) AS tf FROM (
+  SELECT source, unnest(list_concat(t, CASE WHEN len(t) >= 2 THEN
+           list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term
+  FROM (SELECT source, list_filter(regexp_extract_all(lower(text), '{_WORD}'),
+                                   lambda x: NOT list_contains(sw.w, x)) AS t
+        FROM documents, (SELECT list(lower(word)) AS w FROM stop) sw WHERE source IS NOT NULL) a) b
+GROUP BY source, term""", _stop_cte(1))

@@ -50,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_required_key": prep.json_required_key,
     "json_flatten": prep.json_flatten,
     "term_counts": topics.term_counts,
+    "term_counts_bigrams": topics.term_counts_bigrams,
     "topic_words_ctfidf": topics.topic_words_ctfidf,
     "topic_bar": topics.topic_bar,
     "topic_similarity": topics.topic_similarity,

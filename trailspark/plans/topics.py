@@ -27,6 +27,11 @@ def term_counts(spark, sf_dir):
     return T.term_counts(_docs(spark, sf_dir), "source", "text", _stop(spark, sf_dir))
 
 
+def term_counts_bigrams(spark, sf_dir):
+    """T8+T9: unigram and bigram frequency per source, stop words removed first."""
+    return T.term_counts(_docs(spark, sf_dir), "source", "text", _stop(spark, sf_dir), ngram_range=(1, 2))
+
+
 def topic_words_ctfidf(spark, sf_dir):
     """Top-10 c-TF-IDF words per source."""
     return T.ctfidf(term_counts(spark, sf_dir), "source", 10)
