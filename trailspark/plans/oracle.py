@@ -473,3 +473,12 @@ SELECT source, term, count(*) AS tf FROM (
                                    lambda x: NOT list_contains(sw.w, x)) AS t
         FROM documents, (SELECT list(lower(word)) AS w FROM stop) sw WHERE source IS NOT NULL) a) b
 GROUP BY source, term""", _stop_cte(1))
+
+SQL["missing_values_report"] = _with("""
+SELECT "column", nulls, rows FROM (
+  SELECT count(*) AS rows,
+         count(*) - count(journal_story) AS journal_story, count(*) - count(trail_club) AS trail_club,
+         count(*) - count(location_name) AS location_name, count(*) - count(label) AS label,
+         count(*) - count(state) AS state, count(*) - count(date_text) AS date_text
+  FROM journals) a
+UNPIVOT (nulls FOR "column" IN (journal_story, trail_club, location_name, label, state, date_text))""")

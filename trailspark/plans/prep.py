@@ -126,3 +126,11 @@ def json_flatten(spark, sf_dir):
     from trailspark.operators.payload import flatten_object
     e = S.read_table(spark, sf_dir, "events", ["event_id", "event_type", "props"])
     return flatten_object(e, "props", "k BIGINT", keep=["event_id", "event_type"])
+
+
+def missing_values_report(spark, sf_dir):
+    """null counts of the journal columns the reports depend on."""
+    from trailspark.operators.quality import null_report
+    cols = ["journal_story", "trail_club", "location_name", "label", "state", "date_text"]
+    j = S.journals(spark, sf_dir, with_label=True, columns=cols)
+    return null_report(j, cols)

@@ -47,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_dict_substring": text.clean_dict_substring,
     "clean_tokens": text.clean_tokens,
     "valid_story_mask": text.valid_story_mask,
+    "missing_values_report": prep.missing_values_report,
     "json_required_key": prep.json_required_key,
     "json_flatten": prep.json_flatten,
     "term_counts": topics.term_counts,
