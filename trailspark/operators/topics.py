@@ -17,7 +17,6 @@ topics.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import DataFrame
@@ -139,22 +138,32 @@ def embed(df: DataFrame, text_col: str = "journal_story", num_features: int = 40
           out: str = "features"):
     """T7 default: hashed term counts -> IDF -> L2 normalisation (sparse).
 
-    Returns ``(DataFrame with `out`, fitted PipelineModel)``.  A pretrained
-    embedding can replace this by supplying an ``array<float>`` column.
+    The hashed term counts are persisted once, so the texts are tokenised
+    a single time for both the IDF fit and the transform.  Returns
+    ``(DataFrame with `out`, fitted IDF model)``.  A pretrained embedding
+    can replace this by supplying an ``array<float>`` column.
     """
-    base = df.withColumn("_terms", word_terms(text_col))
-    pipe = Pipeline(stages=[HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=num_features),
-                            IDF(inputCol="_tf", outputCol="_idf"),
-                            Normalizer(inputCol="_idf", outputCol=out, p=2.0)])
-    model = pipe.fit(base)
-    return model.transform(base).drop("_terms", "_tf", "_idf"), model
+    from pyspark import StorageLevel
+    tf = (HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=num_features)
+          .transform(df.withColumn("_terms", word_terms(text_col))).drop("_terms")
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf)
+    vec = Normalizer(inputCol="_idf", outputCol=out, p=2.0).transform(idf.transform(tf))
+    return vec.drop("_tf", "_idf"), idf
 
 
 def fit_clusters(features: DataFrame, k: int, seed: int = 42, max_iter: int = 20, vec_col: str = "features"):
-    """Seeded k-means; returns ``(rows with 'cluster', model)``."""
+    """Seeded k-means; returns ``(rows with 'cluster', model)``.
+
+    The features are persisted (memory, spilling to disk) for the
+    iterations: without it every Lloyd step would re-read and re-tokenise
+    the texts.
+    """
+    from pyspark import StorageLevel
+    feats = features.persist(StorageLevel.MEMORY_AND_DISK)
     km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=vec_col, predictionCol="cluster")
-    model = km.fit(features)
-    return model.transform(features), model
+    model = km.fit(feats)
+    return model.transform(feats), model
 
 
 def label_topics(clustered: DataFrame, id_col: str, min_topic_size: int, cluster_col: str = "cluster") -> DataFrame:
