@@ -137,7 +137,9 @@ def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def english_vocabulary(spark: SparkSession, sf_dir: str, min_docs: int = 2) -> DataFrame:
     """Vocabulary: lowercase words found in at least ``min_docs`` English documents."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where(F.col("lang") == "en")
-    toks = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), 0)).alias("word"))
-    return (toks.distinct().groupBy("word").count()
-            .where(F.col("count") >= min_docs).select("word"))
+    docs = read_table(spark, sf_dir, "documents", ["text", "lang"]).where(F.col("lang") == "en")
+    # de-duplicate inside each document (no shuffle), then count documents
+    # per word with a partial aggregation
+    words = docs.select(F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), 0))).alias("word"))
+    return words.groupBy("word").count().where(F.col("count") >= min_docs).select("word")
