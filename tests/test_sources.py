@@ -43,3 +43,14 @@ def test_partitioned_write_and_counts(spark):
     assert sorted(p for p in os.listdir(out) if p.startswith("label=")) == ["label=fear", "label=joy"]
     back = spark.read.parquet(out).groupBy("label").count()
     assert sorted((r["label"], r["count"]) for r in back.collect()) == [("fear", 1), ("joy", 2)]
+
+
+def test_word_list_and_row_index(spark):
+    from trailspark.sources.files import read_word_list, with_row_index
+    d = tempfile.mkdtemp(prefix="words-")
+    _write(os.path.join(d, "words.txt"), "Trail\ntrail\n  shelter \n\nbear\n")
+    words = sorted(r["word"] for r in read_word_list(spark, os.path.join(d, "words.txt")).collect())
+    assert words == ["bear", "shelter", "trail"]
+    df = with_row_index(spark.createDataFrame([("a",), ("b",), ("c",)], "x string"), "row_id")
+    ids = [r["row_id"] for r in df.collect()]
+    assert len(set(ids)) == 3 and ids == [r["row_id"] for r in df.collect()]  # stable across reads

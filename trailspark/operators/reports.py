@@ -86,6 +86,12 @@ def top_share_padded(df: DataFrame, group: str = "location_name", n: int = 5) ->
     return present.select(group, "topic", "n", "share", "rank").unionByName(pads)
 
 
+def small_groups(df: DataFrame, keys: Sequence[str], min_entries: int = 2) -> DataFrame:
+    """F9 report: groups with fewer than ``min_entries`` rows (skipped by Q7)."""
+    return (drop_null_keys(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"))
+            .where(F.col("entries") < min_entries))
+
+
 def few_topics(df: DataFrame, group: str, min_topics: int = 5) -> DataFrame:
     """Groups with fewer than ``min_topics`` distinct topics (topic -1 excluded)."""
     g = drop_null_keys(df.where(F.col("topic") != -1), [group])

@@ -105,3 +105,17 @@ def topic_chart_rows(spark, sf_dir):
     ranked = hits.withColumn("rank", F.col("topic"))
     words = j.groupBy("topic").agg(F.min("topic_words").alias("topic_words"))
     return R.topic_chart_rows(ranked, "trail_club", words)
+
+
+def small_groups_report(spark, sf_dir):
+    """F9 complement: (label, location) groups skipped for having < 2 entries."""
+    j = journals(spark, sf_dir, with_label=True, columns=["journal_id", "label", "location_name"])
+    return R.small_groups(j, ["label", "location_name"], 2)
+
+
+def location_chart_rows(spark, sf_dir):
+    """Q1 chart data: per location the top-5 (padded) topics as 'Topic t: words' lines."""
+    loc = _located(spark, sf_dir)
+    ranked = R.top_share_padded(loc, "location_name", 5)
+    words = loc.groupBy("topic").agg(F.min("topic_words").alias("topic_words"))
+    return R.topic_chart_rows(ranked, "location_name", words)

@@ -482,3 +482,33 @@ SELECT "column", nulls, rows FROM (
          count(*) - count(state) AS state, count(*) - count(date_text) AS date_text
   FROM journals) a
 UNPIVOT (nulls FOR "column" IN (journal_story, trail_club, location_name, label, state, date_text))""")
+
+SQL["small_groups_report"] = _with("""
+SELECT label, location_name, count(*) AS entries FROM journals
+WHERE label IS NOT NULL AND location_name IS NOT NULL GROUP BY label, location_name HAVING count(*) < 2""")
+
+SQL["location_chart_rows"] = _with("""
+SELECT g.location_name, coalesce(a.n_topics, 0) AS n_topics, coalesce(a.lines, '') AS lines
+FROM (SELECT DISTINCT location_name FROM top5 WHERE location_name IS DISTINCT FROM 'No Club') g
+LEFT JOIN (
+  SELECT location_name, count(*) AS n_topics, string_agg(line, '<br>' ORDER BY -nw, rank) AS lines FROM (
+    SELECT h.location_name, h.rank, len(wl) AS nw, format('Topic {:d}: {}', h.topic, array_to_string(wl, ', ')) AS line
+    FROM top5 h LEFT JOIN (
+      SELECT topic, CASE WHEN len(string_split(w, ', ')) >= 3 THEN string_split(w, ', ') ELSE [] END AS wl
+      FROM (SELECT topic, min(topic_words) AS w FROM located GROUP BY topic) x) t USING (topic)
+    WHERE h.location_name IS DISTINCT FROM 'No Club' AND h.topic NOT IN (-1, 0)) l
+  GROUP BY location_name) a USING (location_name)
+""", """
+top5 AS (
+  SELECT location_name, topic, rank FROM (
+    SELECT location_name, topic,
+           row_number() OVER (PARTITION BY location_name ORDER BY share DESC, topic) AS rank
+    FROM (
+      SELECT l.location_name, t.topic,
+             coalesce(g.n / sum(g.n) OVER (PARTITION BY l.location_name), 0.0) AS share
+      FROM (SELECT DISTINCT location_name FROM located WHERE location_name IS NOT NULL) l
+      CROSS JOIN (SELECT DISTINCT topic FROM located WHERE location_name IS NOT NULL) t
+      LEFT JOIN (SELECT location_name, topic, count(*) AS n FROM located WHERE location_name IS NOT NULL
+                 GROUP BY location_name, topic) g
+        ON g.location_name = l.location_name AND g.topic = t.topic) d) r
+  WHERE rank <= 5)""")

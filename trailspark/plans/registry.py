@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "location_topic_share": location.location_topic_share,
     "location_top5_padded": location.location_top5_padded,
     "few_topics_report": location.few_topics_report,
+    "small_groups_report": location.small_groups_report,
+    "location_chart_rows": location.location_chart_rows,
     "location_top3_entries": location.location_top3_entries,
     "location_entries_wide": location.location_entries_wide,
     "location_top3_entries_by_label": location.location_top3_entries_by_label,

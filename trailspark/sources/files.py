@@ -102,3 +102,26 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if fmt == "csv":
         w = w.option("header", True)
     w.format(fmt).save(path)
+
+
+def read_word_list(spark: SparkSession, path: str, fmt: str = "text", column: str | None = None) -> DataFrame:
+    """A user-supplied word list (one word per line, or one column of a
+    table) as a lowercased, distinct ``word`` DataFrame."""
+    if fmt == "text":
+        df = spark.read.text(path).select(F.col("value").alias("word"))
+    else:
+        df = spark.read.format(fmt).option("header", True).load(path).select(F.col(column).alias("word"))
+    w = F.lower(F.btrim(F.col("word")))
+    return df.select(w.alias("word")).where(F.length("word") > 0).distinct()
+
+
+def with_row_index(df: DataFrame, name: str = "journal_id") -> DataFrame:
+    """A stable row identity for inputs without a natural key.
+
+    ``monotonically_increasing_id`` is unique but depends on the input
+    partitioning, so the numbered table is checkpointed once into the
+    shared checkpoint folder: later reads (and recomputations after an
+    executor loss) see the same ids.
+    """
+    from trailspark.session import cut_lineage
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
