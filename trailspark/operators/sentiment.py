@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import DataFrame
@@ -26,15 +26,23 @@ def _features(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", num_features: int = 1 << 14,
-          max_iter: int = 50):
-    """Fit hashed TF -> IDF -> multinomial logistic regression."""
+          max_iter: int = 25):
+    """Fit hashed TF -> IDF -> multinomial logistic regression.
+
+    The hashed term counts are persisted once (memory, spilling to disk):
+    the IDF fit and every optimizer iteration read them instead of
+    re-tokenising the texts.
+    """
+    from pyspark import StorageLevel
     base = _features(labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()), text_col) \
         .withColumn("_y", F.col(label_col).cast("double"))
-    pipe = Pipeline(stages=[HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-                            IDF(inputCol="_tf", outputCol="_x"),
-                            LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_pred",
-                                               maxIter=max_iter, family="multinomial")])
-    return pipe.fit(base)
+    htf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    tf = htf.transform(base).select("_tf", "_y").persist(StorageLevel.MEMORY_AND_DISK)
+    idf = IDF(inputCol="_tf", outputCol="_x").fit(tf)
+    lr = LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_pred", maxIter=max_iter,
+                            family="multinomial").fit(idf.transform(tf))
+    tf.unpersist()
+    return PipelineModel(stages=[htf, idf, lr])
 
 
 def score(df: DataFrame, model, text_col: str = "journal_story", out: str = "sentiment") -> DataFrame:
