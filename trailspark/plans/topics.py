@@ -66,10 +66,6 @@ def _features(spark, sf_dir):
     return feats
 
 
-def _k(spark, sf_dir, k_max=30):
-    return k_max
-
-
 def topic_fit(spark, sf_dir, k: int = 30, min_topic_size: int = 5):
     """K-means topics, small clusters -> -1, ids by size."""
     clustered, _ = T.fit_clusters(_features(spark, sf_dir), k)
