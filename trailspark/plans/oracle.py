@@ -382,13 +382,14 @@ terms AS (SELECT source, term, count(*) AS tf FROM (
 weights AS (SELECT t.source, t.term, t.tf * ln(1 + (SELECT sum(tf) / count(DISTINCT source) FROM terms) / f.f) AS weight
             FROM terms t JOIN (SELECT term, sum(tf) AS f FROM terms GROUP BY term) f USING (term)),
 ranked AS (SELECT source, term, weight,
-                  row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM weights)"""
+                  CAST(row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS INTEGER) AS rank
+           FROM weights)"""
 
 SQL["term_counts"] = _with("SELECT source, term, tf FROM terms", _TERMS)
 SQL["topic_words_ctfidf"] = _with("SELECT source, term, weight, rank FROM ranked WHERE rank <= 10", _TERMS)
 SQL["topic_bar"] = _with("""
 SELECT r.source, s.topic_rank, r.rank AS word_rank, r.term AS word, r.weight
-FROM ranked r JOIN (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS topic_rank
+FROM ranked r JOIN (SELECT source, CAST(row_number() OVER (ORDER BY count(*) DESC, source) AS INTEGER) AS topic_rank
                     FROM documents WHERE source IS NOT NULL GROUP BY source QUALIFY topic_rank <= 10) s USING (source)
 WHERE r.rank <= 5""", _TERMS)
 
