@@ -63,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_reduce": topics.topic_reduce,
     "topic_hierarchy": topics.topic_hierarchy,
     "topic_assign": topics.topic_assign,
+    "topic_assign_english": topics.topic_assign_english,
+    "emotion_location_topics": topics.emotion_location_topics,
     "topic_per_group": topics.topic_per_group,
     "sentiment_score": topics.sentiment_score,
 }

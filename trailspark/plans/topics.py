@@ -141,3 +141,44 @@ def sentiment_score(spark, sf_dir):
     model = SN.train(train, "text", "label")
     j = S.journals(spark, sf_dir, with_label=False, columns=["journal_id", "journal_story"])
     return SN.score(j, model).select("journal_id", "sentiment")
+
+
+def emotion_location_topics(spark, sf_dir, k: int = 30):
+    """Q7 on fitted topics: whole-corpus topics and c-TF-IDF words, then the
+    (label, location) summary for groups with at least two entries."""
+    j = S.journals(spark, sf_dir, with_label=True,
+                   columns=["journal_id", "journal_story", "trail_club", "location_name", "label"])
+    clustered, _ = T.fit_clusters(_features(spark, sf_dir), k)
+    assign = cut_lineage(T.label_topics(clustered, "journal_id", 5).select("journal_id", "topic"))
+    words = T.topic_words(T.ctfidf(T.term_counts(j.join(assign, "journal_id"), "topic", "journal_story",
+                                                 _stop(spark, sf_dir)), "topic"), "topic")
+    from trailspark.operators.reports import emotion_location_summary
+    return emotion_location_summary(T.assign_topics(j, assign, words))
+
+
+def topic_assign_english(spark, sf_dir, k: int = 30):
+    """Q20, cleaned + English variant: names and extra words removed as
+    substrings (T1), valid stories = some token outside the stop list (F7)
+    and detected English (T5); topics are fitted on valid stories only and
+    invalid rows keep a null topic (T14)."""
+    j = S.journals(spark, sf_dir, with_label=False, columns=["journal_id", "journal_story", "trail_name"])
+    extras = S.stop_words(spark, sf_dir).where(F.col("version") == 1).select("word")
+    stop = C.stop_list(j, extras)
+    cleaned = C.clean_substring(j, stop)
+    masked = C.valid_story_mask(cleaned, stop, lowercase=False)
+    docs = S.read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    profile, langs = L.train_profile(docs)
+    lang = L.is_english(L.detect(cleaned.select(F.col("journal_id").alias("doc_id"),
+                                                F.col("journal_story").alias("text")), profile, langs))
+    valid = (masked.join(lang.select(F.col("doc_id").alias("journal_id"), "is_english"), "journal_id")
+             .where(F.col("valid") & F.col("is_english")).select("journal_id", "journal_story"))
+    # the valid set feeds the model fit and the word counts: materialise it
+    # once in the shared checkpoint folder instead of re-running the cleaning
+    # and language detection for each use
+    valid = cut_lineage(valid)
+    feats, _ = T.embed(valid)
+    clustered, _ = T.fit_clusters(feats, k)
+    assign = cut_lineage(T.label_topics(clustered, "journal_id", 5).select("journal_id", "topic"))
+    words = T.topic_words(T.ctfidf(T.term_counts(valid.join(assign, "journal_id"), "topic", "journal_story",
+                                                 stop), "topic"), "topic")
+    return T.assign_topics(cleaned.select("journal_id", "journal_story"), assign, words, unassigned=None)
