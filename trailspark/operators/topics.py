@@ -176,6 +176,7 @@ def label_topics(clustered: DataFrame, id_col: str, min_topic_size: int, cluster
     kept = rank_within(sizes.where(F.col("size") >= min_topic_size), [],
                        [F.desc("size"), F.asc("first")], None, "r")
     ids = kept.select(cluster_col, (F.col("r") - 1).cast("int").alias("topic"))
+    # at most k rows (one per cluster of the fitted model): bounded by construction
     return (clustered.select(id_col, cluster_col).join(F.broadcast(ids), cluster_col, "left")
             .withColumn("topic", F.coalesce("topic", F.lit(-1))))
 
@@ -214,6 +215,8 @@ def reduce_topics(assign: DataFrame, vectors: DataFrame, nr_topics: int, id_col:
     keep_n = max(nr_topics - 1, 1)
     kept = ranked.where(F.col("r") <= keep_n).select(topic_col)
     small = ranked.where(F.col("r") > keep_n).select(topic_col, "size", "first")
+    # every table below has at most one row per topic (bounded by the fitted
+    # model's k, and checked in cosine_matrix), so broadcasting them is safe
     sims = cosine_matrix(vectors.select(topic_col, vec_col), topic_col, vec_col)
     cand = (sims.join(small.withColumnRenamed(topic_col, "topic_a"), "topic_a")
             .join(F.broadcast(kept.withColumnRenamed(topic_col, "topic_b")), "topic_b"))
