@@ -173,3 +173,17 @@ def test_weather_payload(spark):
     assert rows(payload_valid(df), "id", "valid") == [(1, True), (2, False)]
     flat = flatten_weather(df, keep=["id"])
     assert rows(flat, "id", "weather_main") == [(1, "Clear"), (1, "Rain"), (2, None)]
+
+
+def test_week_buckets_do_not_depend_on_session_time_zone(spark):
+    import __spark_entry__ as E
+    q = E.queries()["weekly_sentiment"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        utc = sorted(tuple(r) for r in q(spark, "/root/testdata/sf0.001").collect())
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = sorted(tuple(r) for r in q(spark, "/root/testdata/sf0.001").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc == ny and len(utc) >= 4
