@@ -84,3 +84,25 @@ def test_clean_tokens_idempotent(spark, stories):
     a = sorted((r["journal_id"], r["journal_story"]) for r in once.collect())
     b = sorted((r["journal_id"], r["journal_story"]) for r in twice.collect())
     assert a == b
+
+
+@SETTINGS
+@given(pts=st.lists(st.tuples(st.one_of(st.dates(min_value=__import__("datetime").date(2016, 1, 1),
+                                                  max_value=__import__("datetime").date(2016, 4, 30)), st.none()),
+                              st.one_of(st.integers(0, 4), st.none())), min_size=1, max_size=30))
+def test_weekly_mean_matches_pandas_resample(spark, pts):
+    import pandas as pd
+
+    from trailspark.operators.timeseries import weekly_mean
+    df = spark.createDataFrame(pts, "d date, sentiment int")
+    got = {r["week_end"]: r["avg_sentiment"] for r in weekly_mean(df, "d", "sentiment").collect()}
+    pdf = pd.DataFrame(pts, columns=["d", "sentiment"]).dropna(subset=["d"])
+    if pdf.empty:
+        assert got == {}
+        return
+    pdf["d"] = pd.to_datetime(pdf["d"])
+    want = pdf.set_index("d")["sentiment"].astype("float").resample("W").mean()
+    want = {k.date(): (None if pd.isna(v) else v) for k, v in want.items()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert (got[k] is None and v is None) or abs(got[k] - v) < 1e-9
