@@ -106,3 +106,31 @@ def test_weekly_mean_matches_pandas_resample(spark, pts):
     assert set(got) == set(want)
     for k, v in want.items():
         assert (got[k] is None and v is None) or abs(got[k] - v) < 1e-9
+
+
+date_text_st = st.builds(
+    lambda m, sp1, d, sp2, w, lead, trail: f"{lead}{m}{sp1}{d},{sp2}{w}{trail}",
+    st.sampled_from(["Jan", "feb", "MAR", "Apr", "Sep", "Sept", "Dec", "zzz"]),
+    st.sampled_from([" ", "  ", "\t", ""]),
+    st.sampled_from(["1", "01", "5", "09", "10", "28", "29", "30", "31", "32", "00", "123"]),
+    st.sampled_from([" ", "", "  "]),
+    st.sampled_from(["Sat", "sun", "MON", "Xyz", "Saturday"]),
+    st.sampled_from(["", " "]),
+    st.sampled_from(["", " "]))
+
+
+@SETTINGS
+@given(texts=st.lists(date_text_st, min_size=1, max_size=20))
+def test_date_parse_matches_python_strptime(spark, texts):
+    import datetime as dt
+
+    from trailspark.functions.dates import parse_month_day
+
+    def ref(s):        # the reference's conversion, year 1900 first (so Feb 29 fails)
+        try:
+            return dt.datetime.strptime(s, "%b %d, %a").replace(year=2016).date()
+        except ValueError:
+            return None
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(parse_month_day("s", strict_leap=True)).collect()]
+    assert got == [ref(t) for t in texts]

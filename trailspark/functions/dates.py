@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trailspark.functions.text import WS
+
 # English month and weekday abbreviations accepted by "%b"/"%a".
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
-_PATTERN = r"^\s*([A-Za-z]{3})\s+(\d{1,2}),\s*([A-Za-z]{3})\s*$"
+# Python's strptime turns each space of the format into "one or more
+# whitespace" and anchors the whole string; day is 1-2 digits.
+_PATTERN = "^([A-Za-z]{3})" + WS + r"(\d{1,2}),"  + WS + "([A-Za-z]{3})$"
 DEFAULT_YEAR = 2016
 
 

@@ -289,9 +289,9 @@ parsed AS (
          THEN try_strptime('2016-' || CAST(m.mon AS VARCHAR) || '-' || m.dd, '%Y-%m-%d')::DATE END AS date
   FROM (SELECT journal_id, date_text,
           list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'],
-                        lower(regexp_extract(date_text, '^\\s*([A-Za-z]{3})\\s+(\\d{1,2}),\\s*([A-Za-z]{3})\\s*$', 1))) AS mon,
-          regexp_extract(date_text, '^\\s*([A-Za-z]{3})\\s+(\\d{1,2}),\\s*([A-Za-z]{3})\\s*$', 2) AS dd,
-          lower(regexp_extract(date_text, '^\\s*([A-Za-z]{3})\\s+(\\d{1,2}),\\s*([A-Za-z]{3})\\s*$', 3)) AS dow
+                        lower(regexp_extract(date_text, '^([A-Za-z]{3})\\s+(\\d{1,2}),\\s+([A-Za-z]{3})$', 1))) AS mon,
+          regexp_extract(date_text, '^([A-Za-z]{3})\\s+(\\d{1,2}),\\s+([A-Za-z]{3})$', 2) AS dd,
+          lower(regexp_extract(date_text, '^([A-Za-z]{3})\\s+(\\d{1,2}),\\s+([A-Za-z]{3})$', 3)) AS dow
         FROM journals) m
 )"""
 SQL["date_parse_rejects"] = _with(
