@@ -134,3 +134,34 @@ def test_date_parse_matches_python_strptime(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     got = [r[0] for r in df.select(parse_month_day("s", strict_leap=True)).collect()]
     assert got == [ref(t) for t in texts]
+
+
+num_text_st = st.one_of(
+    st.floats(allow_nan=True, allow_infinity=True).map(repr),
+    st.integers(-10**6, 10**6).map(str),
+    st.sampled_from([" 35.5 ", "\t-1\n", "+3", "-.5", "5.", "1e5", "1E-3", "abc", "", "nan", "-inf", "Infinity",
+                     "35.5d", "1f", "0x10", "1.2.3", "--1", "e5", ". 5", "3 5"]))
+
+
+@SETTINGS
+@given(texts=st.lists(num_text_st, min_size=1, max_size=25))
+def test_lenient_double_matches_python_float(spark, texts):
+    import math
+
+    from trailspark.functions.geo import lenient_double
+
+    def ref(v):
+        try:
+            return float(str(v).strip())
+        except ValueError:
+            return None
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(lenient_double("s")).collect()]
+    for t, g in zip(texts, got):
+        w = ref(t)
+        if w is None or g is None:
+            assert w is None and g is None, t
+        elif math.isnan(w):
+            assert math.isnan(g), t
+        else:
+            assert g == w, t

@@ -12,6 +12,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the literal syntax Python's float() accepts (digit-group
+# underscores excepted, see README).
+PY_FLOAT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
+
+
 def lenient_double(c) -> Column:
     """``float(str(v).strip())`` or null.
 
@@ -19,7 +24,9 @@ def lenient_double(c) -> Column:
     Python) and are removed by :func:`valid_coordinate`.
     """
     s = ustrip(_col(c).cast("string"))
-    return s.try_cast("double")
+    # Python's float() syntax (Java's parser would also take '1d', '0x1p3', ...)
+    ok = s.rlike(PY_FLOAT)
+    return F.when(ok, s.try_cast("double"))
 
 
 def valid_coordinate(c) -> Column:
