@@ -165,3 +165,17 @@ def test_lenient_double_matches_python_float(spark, texts):
             assert math.isnan(g), t
         else:
             assert g == w, t
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(xs=st.lists(st.one_of(st.floats(-90, 90, allow_nan=False),
+                             st.integers(-90000, 90000).map(lambda i: i / 1000),
+                             st.sampled_from([-73.105, -49.825, 56.005, 14.235, 0.125, 2.675, 1.005, 0.135])),
+                   min_size=1, max_size=200))
+def test_round_half_even_matches_python_round(spark, xs):
+    from trailspark.functions.geo import round_half_even, rounded_key
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select(round_half_even("x", 2).alias("r"), rounded_key("x", 2).alias("k")).collect()
+    for x, r in zip(xs, got):
+        assert r["r"] == round(x, 2), x
+        assert r["k"] == round(round(x, 2) * 100), x

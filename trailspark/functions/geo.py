@@ -35,17 +35,41 @@ def valid_coordinate(c) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+_SPLIT = 134217729.0  # 2**27 + 1, Veltkamp splitting constant (fixed value)
+
+
+def _scaled_rint(x: Column, scale: float) -> Column:
+    """Integer nearest to the *exact* product ``x * scale``, ties to even.
+
+    ``x * scale`` in floating point can land exactly on a .5 tie although the
+    exact product lies just above or below it (e.g. -73.105 * 100); Python's
+    ``round`` decides on the exact value.  The rounding error of the product
+    is recovered exactly (Dekker's two-product with Veltkamp splitting, plain
+    double arithmetic) and breaks such false ties.
+    """
+    p = x * scale
+    c = x * _SPLIT
+    hi = c - (c - x)
+    lo = x - hi
+    err = (hi * scale - p) + lo * scale      # scale is a power of ten <= 1e8: exact split
+    tie = (p - F.floor(p)) == 0.5
+    return (F.when(tie & (err > 0), F.ceil(p).cast("double"))
+             .when(tie & (err < 0), F.floor(p).cast("double"))
+             .otherwise(F.rint(p)))
+
+
 def round_half_even(c, decimals: int = 2) -> Column:
-    """Round to ``decimals`` with ties to even (Python/pandas ``round``).
+    """Python/pandas ``round(x, decimals)``: correctly rounded, ties to even.
 
-    Spark's ``round`` is half-up (0.125 -> 0.13); ``rint`` on the scaled
-    value rounds half to even (0.125 -> 0.12).
+    Spark's ``round`` is half-up (0.125 -> 0.13) and ``bround`` rounds the
+    shortest decimal string of the double (2.675 -> 2.68, Python gives
+    2.67); this rounds the exact binary value like Python does.
     """
     scale = float(10 ** decimals)
     x = _col(c)
-    return F.rint(x * scale) / scale if decimals else F.rint(x)
+    return _scaled_rint(x, scale) / scale if decimals else F.rint(x)
 
 
 def rounded_key(c, decimals: int = 2) -> Column:
     """Integral join key for a rounded coordinate (exact equality on longs)."""
-    return F.rint(_col(c) * float(10 ** decimals)).cast("long")
+    return _scaled_rint(_col(c), float(10 ** decimals)).cast("long")
