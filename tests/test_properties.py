@@ -179,3 +179,42 @@ def test_round_half_even_matches_python_round(spark, xs):
     for x, r in zip(xs, got):
         assert r["r"] == round(x, 2), x
         assert r["k"] == round(round(x, 2) * 100), x
+
+
+story_words = st.sampled_from(["Trail", "trail,", "the", "The", "Bob", "bob", "Bobby", "bear", "a", "tent", "hut",
+                               "then", " ", "x\ty"])
+
+
+@SETTINGS
+@given(stories=st.lists(st.one_of(st.lists(story_words, max_size=10).map(" ".join), st.just(None), st.just("   ")),
+                        min_size=1, max_size=6))
+def test_cleaning_matches_python_reference(spark, stories):
+    names = ["Bob", "Al"]
+    extras = ["the", "then", "a"]
+    vocab = {"trail", "bear", "tent", "bob", "the", "hut"}
+    stop_all = names + extras
+
+    def py_tokens(text):        # keep token iff lower not in stop list and lower in vocabulary
+        if not isinstance(text, str):
+            return text
+        out = " ".join(w for w in text.split() if w.lower() not in stop_all and w.lower() in vocab).strip()
+        return out or None
+
+    def py_substring(text):     # sequential replace, then strip; blank -> None
+        if not isinstance(text, str):
+            return text
+        for w in stop_all:
+            text = text.replace(w, "")
+        return text.strip() or None
+
+    rows = [(i, names[i % 2], s) for i, s in enumerate(stories)]
+    j = spark.createDataFrame(rows, "journal_id long, trail_name string, journal_story string")
+    # names in first-appearance order: Bob (id 0), Al (id 1); then the extras in their given order
+    ex = spark.createDataFrame([(w, i) for i, w in enumerate(extras)], "word string, ord int")
+    stop = C.stop_list(j if len(rows) > 1 else j.union(spark.createDataFrame([(99, "Al", None)], j.schema)), ex)
+    voc = spark.createDataFrame([(w,) for w in sorted(vocab)], "word string")
+    tok = dict((r["journal_id"], r["journal_story"]) for r in C.clean_tokens(j, stop, voc).collect())
+    sub = dict((r["journal_id"], r["journal_story"]) for r in C.clean_substring(j, stop).collect())
+    for i, s in enumerate(stories):
+        assert tok[i] == py_tokens(s), s
+        assert sub[i] == py_substring(s), s
