@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, shard, simhash
-from trailspark.llm.common import documents, materialize
+from trailspark.llm import decontaminate, langid, shard, simhash, toxicity
+from trailspark.llm.common import doc_fold, documents, materialize
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +22,30 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__n_hit") > 0).alias("contaminated"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.classify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select(
+        "doc_id", langid.held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: three-word shingles, two bits."""
     return simhash.near_duplicates(documents(spark, sf_dir)).select(
         "doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(doc_fold() != 1))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", (doc_fold() == 1).alias("held_out"), F.col("__toxicity").alias("score"),
+        (F.col("__toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near-equal bytes."""
     narrow = materialize(documents(spark, sf_dir).select(
@@ -40,7 +58,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_language_id": op3_language_id,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op8_sharding": op8_sharding,
 }
 
