@@ -1,11 +1,11 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the mean of the vectors of itself and its character n-grams (hashed into ``BUCKETS``
-rows), a bag is the mean of its words, and two classes are scored by a softmax; vectors and
-weights are trained jointly in numpy with Adam.  A misspelling never seen shares n-gram vectors
-with the words it resembles.  A text is read as bags of ``BAG`` consecutive words, all of them, and
-scored by its highest bag, so that a few words weigh the same in a short and in a very long text;
-training follows the same rule (first all bags of a text, then its highest one).
+rows), a bag is the mean of its distinct words, and two classes are scored by a softmax; vectors
+and weights are trained jointly in numpy.  A misspelling never seen shares n-gram vectors with
+the words it resembles.  A text is read as bags of ``BAG`` consecutive words, all of them, and
+scored by its highest bag, so that a few words weigh the same in a short and in a very long text.
+Training moves from the mean of a text's bags to its highest one (a softmax over bags that sharpens).
 """
 
 from __future__ import annotations
@@ -24,13 +24,17 @@ from trailspark.llm.decontaminate import words_of
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
-BAG = 32
+BAG = 8
 # Bounds of what the fit reads: labelled texts of each class, and words in all.
-TRAIN_DOCS = {1: 2000, 0: 4000}
-TRAIN_WORDS = 4_000_000
-EPOCHS = 10
-BATCH = 512
-RATE = 0.03
+TRAIN_DOCS = {1: 1200, 0: 2400}
+TRAIN_WORDS = 2_000_000
+# Subwords of fewer training texts get no vector.
+MIN_TEXTS = 3
+STEPS = 110
+RATE = 60.0
+DECAY = 2e-5
+MOMENTUM = 0.9
+SHARPNESS = 4.0
 CACHE = 400_000
 
 
@@ -60,74 +64,71 @@ class Model:
             cache.clear()
         for w in set(words) - cache.keys():
             cache[w] = self.word(w)
-        values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-        at = bag_starts(len(words))
-        mean = np.add.reduceat(values, at) / np.diff(np.append(at, len(words)))
-        return float(1 / (1 + np.exp(-np.clip(mean.max() + self.bias, -50, 50))))
+        get, top = cache.__getitem__, -np.inf
+        at = bag_starts(len(words)).tolist()
+        for a, e in zip(at, [*at[1:], len(words)], strict=True):
+            bag = set(words[a:e])
+            top = max(top, sum(map(get, bag)) / len(bag))
+        return float(1 / (1 + np.exp(-np.clip(top + self.bias, -50, 50))))
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Joint training of vectors and softmax; the two classes weigh the same."""
-    rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    weights = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
+def train(texts: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Model:
+    """Gradient descent with momentum on all texts; the two classes weigh the same.
+
+    With two classes the softmax depends on the difference ``u`` of the class weights, so the gradient
+    of a bag's mean vector is a multiple of ``u`` and one number per bag, word and subword is enough.
+    """
     if not len(labels) or labels.min() == labels.max():
         p = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
+    rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t] or [vocab.setdefault(b"", len(vocab))], np.int32) for t in texts]
     parts = [np.array(subwords(w), np.int32) for w in vocab]
-    size = np.array([len(p) for p in parts])
-    first = np.cumsum(size) - size
-    flat = np.concatenate(parts)
-    starts = [bag_starts(len(t)) for t in ids]
-    bags = [np.split(t, s[1:]) for t, s in zip(ids, starts, strict=True)]
-    share = np.array([1 / max(1, (labels == c).sum()) for c in (0, 1)]) * len(labels) / 2
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, weights, bias)]
-    step = 0
-
-    def expand(words):  # rows of the subwords of each word
-        n = size[words]
-        return flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[words], n)], n
-
-    for epoch in range(epochs):
-        if epoch < 2:
-            chosen = [(b, y, 1 / len(bs)) for bs, y in zip(bags, labels, strict=True) for b in bs]
-        else:  # the highest bag of each text under the present model
-            per_row = vectors @ (weights[:, 1] - weights[:, 0])
-            value = np.add.reduceat(per_row[flat], first) / size
-            chosen = [(bs[int(np.argmax(np.add.reduceat(value[t], s) / np.diff(np.append(s, len(t)))))], y, 1.0)
-                      for t, s, bs, y in zip(ids, starts, bags, labels, strict=True)]
-        order = rng.permutation(len(chosen))
-        for k in range(0, len(order), BATCH):
-            batch = [chosen[i] for i in order[k:k + BATCH]]
-            words = np.concatenate([b for b, _, _ in batch])
-            n = np.array([len(b) for b, _, _ in batch])
-            y = np.array([y for _, y, _ in batch])
-            weight = (np.array([w for _, _, w in batch]) * share[y]).astype(np.float32)
-            weight /= weight.sum()
-            rows, per = expand(words)
-            scale = (1 / np.repeat(per, per) / np.repeat(np.repeat(n, n), per)).astype(np.float32)
-            bag_of = np.repeat(np.repeat(np.arange(len(n)), n), per)
-            cuts = np.searchsorted(bag_of, np.arange(len(n)))
-            mean = np.add.reduceat(vectors[rows] * scale[:, None], cuts, axis=0)
-            z = mean @ weights + bias
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p *= weight[:, None]
-            g_mean = p @ weights.T
-            used, back = np.unique(rows, return_inverse=True)
-            g = np.stack([np.bincount(back, weights=scale * g_mean[bag_of, d], minlength=len(used)) for d in range(DIM)], 1)
-            step += 1
-            for x, m, at, grad in ((vectors, state[0], used, g.astype(np.float32)), (weights, state[1], slice(None), mean.T @ p),
-                                   (bias, state[2], slice(None), p.sum(0))):
-                m[0][at] = 0.9 * m[0][at] + 0.1 * grad
-                m[1][at] = 0.999 * m[1][at] + 0.001 * grad * grad
-                x[at] -= RATE * (m[0][at] / (1 - 0.9 ** step)) / (np.sqrt(m[1][at] / (1 - 0.999 ** step)) + 1e-8)
-    return Model(vectors @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0]))
+    texts_of = np.zeros(BUCKETS, np.int32)
+    for t in ids:
+        texts_of[np.unique(np.concatenate([parts[i] for i in np.unique(t)]))] += 1
+    kept = np.flatnonzero(texts_of >= MIN_TEXTS)
+    row_of = np.full(BUCKETS, -1, np.int32)
+    row_of[kept] = np.arange(len(kept))
+    size = np.array([len(p) for p in parts], np.float32)
+    flat = row_of[np.concatenate(parts)]
+    flat_word = np.repeat(np.arange(len(parts), dtype=np.int32), size.astype(int))[flat >= 0]
+    flat = flat[flat >= 0]
+    bags = [[np.unique(x) for x in np.split(t, bag_starts(len(t))[1:])] for t in ids]
+    n_bags = np.array([len(b) for b in bags])
+    first = np.cumsum(n_bags) - n_bags
+    text_of = np.repeat(np.arange(len(bags)), n_bags)
+    every = [x for b in bags for x in b]
+    words, length = np.concatenate(every), np.array([len(x) for x in every])
+    bag_of = np.repeat(np.arange(len(length)), length)
+    start = np.cumsum(length) - length
+    y = labels.astype(float)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    vectors = rng.normal(0, 0.05, (len(kept), DIM)).astype(np.float32)
+    u = rng.normal(0, 1, DIM).astype(np.float32)
+    u /= np.linalg.norm(u)
+    bias = 0.0
+    m_vectors, m_u, m_bias = np.zeros_like(vectors), np.zeros_like(u), 0.0
+    for step in range(steps):
+        value = np.bincount(flat_word, weights=(vectors @ u)[flat], minlength=len(parts)) / size
+        z = np.add.reduceat(value[words], start) / length
+        sharp = SHARPNESS * min(1.0, 2 * step / steps)
+        e = np.exp(sharp * (z - np.maximum.reduceat(z, first)[text_of]))
+        q = e / np.add.reduceat(e, first)[text_of]
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(q * z, first) + bias, -40, 40)))
+        error = (p - y) * weight
+        per_word = np.bincount(words, weights=(q * error[text_of] / length)[bag_of], minlength=len(parts)) / size
+        a = np.bincount(flat, weights=per_word[flat_word], minlength=len(kept)).astype(np.float32)
+        m_vectors = MOMENTUM * m_vectors + a[:, None] * u + np.float32(DECAY) * vectors
+        m_u = MOMENTUM * m_u + vectors.T @ a + np.float32(DECAY) * u
+        m_bias = MOMENTUM * m_bias + error.sum()
+        vectors -= np.float32(RATE) * m_vectors
+        u -= np.float32(0.02 * RATE) * m_u
+        bias -= 0.02 * RATE * m_bias
+    rows = np.zeros(BUCKETS, np.float32)
+    rows[kept] = vectors @ u
+    return Model(rows, float(bias))
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, text: str) -> DataFrame:
