@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, langid, shard, simhash, toxicity
+from trailspark.llm import decontaminate, langid, lm, shard, simhash, toxicity
 from trailspark.llm.common import doc_fold, documents, materialize
 
 
@@ -46,6 +46,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 likelihood of every document under the recurrent model and the unigram base."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    train = docs.where(doc_fold(folds=10) != 0)
+    counts = lm.count_words(train)
+    model = lm.fit(train, counts)
+    return lm.score(docs, counts, model).select(
+        "doc_id", (doc_fold(folds=10) == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(counts.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near-equal bytes."""
     narrow = materialize(documents(spark, sf_dir).select(
@@ -61,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_sharding": op8_sharding,
 }
 
