@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, langid, lm, shard, simhash, toxicity
+from trailspark.llm import decontaminate, embeddings, langid, lm, shard, simhash, toxicity
 from trailspark.llm.common import doc_fold, documents, materialize
 
 
@@ -67,6 +67,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of a label at cosine 0.98."""
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_language_id": op3_language_id,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_sharding": op8_sharding,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,6 +105,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len([c for c in x if c IS NULL OR NOT isfinite(c)]) = 0
+    AND list_dot_product(x, x) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(node, seen) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp ON comp.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op10_embedding_dedup": OP10_SQL,
 }
