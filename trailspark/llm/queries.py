@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, embeddings, langid, lm, shard, simhash, toxicity
+import corpus_pipeline
+from trailspark.llm import decontaminate, embeddings, langid, lm, mixing, shard, simhash, toxicity
 from trailspark.llm.common import doc_fold, documents, materialize
 
 
@@ -67,6 +68,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling of all documents to tempered source, language and topic shares."""
+    docs = documents(spark, sf_dir)
+    narrow = materialize(docs.select("doc_id", *[c.alias(k) for k, c in mixing.features(docs).items()]))
+    return mixing.mix(narrow).select(
+        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
+        F.col("__tokens").alias("tokens"), F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"),
+        F.col("__sampled").alias("sampled"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings of a label at cosine 0.98."""
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -79,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_sharding": op8_sharding,
+    "op9_mixing": op9_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,6 +118,45 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_COUNTS = {k: " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) / {len(w)}.0" for w in words)
+           for k, words in mixing.TOPIC_SEEDS.items()}
+_RAKE = "".join(f"""
+  r{i} AS (SELECT * REPLACE (fit * t_{m} / sum(fit) OVER (PARTITION BY {m}) AS fit) FROM r{i - 1}),"""
+                for i, m in enumerate(["source", "lang", "topic"] * mixing.ROUNDS, 1))
+
+OP9_SQL = f"""
+WITH raw AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+counted AS (
+  SELECT doc_id, source, lang, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens,
+    [{", ".join(f"({c})" for c in _COUNTS.values())}] AS n FROM raw),
+d AS MATERIALIZED (
+  SELECT doc_id, source, lang, tokens,
+    CASE WHEN list_max(n) <= 0 THEN '{mixing.NO_TOPIC}' ELSE [{", ".join(f"'{k}'" for k in _COUNTS)}][list_position(n, list_max(n))] END AS topic
+  FROM counted),
+cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0),
+{"".join(f"""m_{m} AS (SELECT {m}, pow(sum(tokens), {mixing.TEMPER}) AS p FROM cells GROUP BY {m}),
+""" for m in ("source", "lang", "topic"))}r0 AS MATERIALIZED (
+  SELECT c.source, c.lang, c.topic, c.tokens, CAST(c.tokens AS DOUBLE) AS fit,
+    s.p / (SELECT sum(p) FROM m_source) AS t_source, l.p / (SELECT sum(p) FROM m_lang) AS t_lang, o.p / (SELECT sum(p) FROM m_topic) AS t_topic
+  FROM cells c JOIN m_source s USING (source) JOIN m_lang l USING (lang) JOIN m_topic o USING (topic)),{_RAKE}
+fitted AS MATERIALIZED (
+  SELECT source, lang, topic, tokens, (fit / (SELECT sum(fit) FROM r{3 * mixing.ROUNDS})) / (tokens / (SELECT sum(tokens) FROM cells)) AS weight
+  FROM r{3 * mixing.ROUNDS}),
+rates AS (
+  SELECT weight, ({mixing.KEEP} * (SELECT sum(tokens) FROM fitted) - sum(tokens) OVER (ORDER BY weight DESC, source, lang, topic) + tokens)
+    / sum(tokens * weight) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM fitted WHERE weight > 0),
+best AS (SELECT rate FROM rates WHERE rate * weight <= 1 ORDER BY weight DESC LIMIT 1),
+joined AS (
+  SELECT doc_id, source, lang, topic, tokens, coalesce(weight, 0.0) AS weight,
+    least(1.0, coalesce(weight, 0.0) * (SELECT rate FROM best)) AS probability
+  FROM d LEFT JOIN (SELECT source, lang, topic, weight FROM fitted) USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+  CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:13] AS BIGINT) / 4503599627370496.0 < probability AS sampled
+FROM joined
+"""
+
 OP10_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
@@ -126,5 +178,6 @@ FROM v JOIN comp ON comp.node = vec_id LEFT JOIN n ON n.a = vec_id
 
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op9_mixing": OP9_SQL,
     "op10_embedding_dedup": OP10_SQL,
 }
