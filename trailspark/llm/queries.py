@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailspark.llm import decontaminate, embeddings, langid, lm, mixing, shard, simhash, toxicity
+from trailspark.llm import decontaminate, embeddings, langid, linededup, lm, mixing, shard, simhash, toxicity
 from trailspark.llm.common import doc_fold, documents, materialize
 
 
@@ -31,6 +31,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that repeat an earlier one, at most one edit apart."""
+    kept = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
+                       F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: three-word shingles, two bits."""
     return simhash.near_duplicates(documents(spark, sf_dir)).select(
@@ -86,6 +93,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
