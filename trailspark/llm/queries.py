@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailspark.llm import decontaminate, embeddings, langid, linededup, lm, mixing, shard, simhash, toxicity
+from trailspark.llm import decontaminate, embeddings, langid, linededup, lm, mixing, shard, simhash, toxicity, url_sql, urlfilter
 from trailspark.llm.common import doc_fold, documents, materialize
 
 
@@ -23,6 +23,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__n_hit") > 0).alias("contaminated"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -92,6 +97,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
@@ -186,6 +192,7 @@ FROM v JOIN comp ON comp.node = vec_id LEFT JOIN n ON n.a = vec_id
 
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op2_url_filter": url_sql.SQL,
     "op9_mixing": OP9_SQL,
     "op10_embedding_dedup": OP10_SQL,
 }
