@@ -30,10 +30,11 @@ TRAIN_DOCS = {1: 1200, 0: 2400}
 TRAIN_WORDS = 2_000_000
 # Subwords of fewer training texts get no vector.
 MIN_TEXTS = 3
-STEPS = 110
+STEPS = 120
 RATE = 60.0
 DECAY = 2e-5
 MOMENTUM = 0.9
+FOLDS = 4
 SHARPNESS = 4.0
 CACHE = 400_000
 
@@ -55,15 +56,17 @@ class Model:
     bias: float
 
     def word(self, word: bytes) -> float:
-        return float(self.rows[subwords(word)].mean())
+        at = subwords(word)
+        return float(self.rows[at].sum()) / len(at)
 
     def score(self, words: list[bytes], cache: dict[bytes, float]) -> float:
         if not words:
             return float(1 / (1 + np.exp(-self.bias)))
         if len(cache) > CACHE:
             cache.clear()
-        for w in set(words) - cache.keys():
-            cache[w] = self.word(w)
+        for w in words:
+            if w not in cache:
+                cache[w] = self.word(w)
         get, top = cache.__getitem__, -np.inf
         at = bag_starts(len(words)).tolist()
         for a, e in zip(at, [*at[1:], len(words)], strict=True):
@@ -72,8 +75,41 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(top + self.bias, -50, 50))))
 
 
+class _Fold:
+    """Texts of one gradient step as flat arrays over words, bags and subwords."""
+
+    def __init__(self, ids: list[np.ndarray], y: np.ndarray, parts: list[np.ndarray], row_of: np.ndarray):
+        bags = [[np.unique(x) for x in np.split(t, bag_starts(len(t))[1:])] for t in ids]
+        n_bags = np.array([len(b) for b in bags])
+        self.first = np.cumsum(n_bags) - n_bags
+        self.text_of = np.repeat(np.arange(len(bags)), n_bags)
+        every = [x for b in bags for x in b]
+        self.length = np.array([len(x) for x in every])
+        vocab, self.words = np.unique(np.concatenate(every), return_inverse=True)
+        self.bag_of = np.repeat(np.arange(len(every)), self.length)
+        self.start = np.cumsum(self.length) - self.length
+        own = [parts[w] for w in vocab]
+        self.size = np.array([len(p) for p in own])
+        rows = row_of[np.concatenate(own)]
+        self.flat_word = np.repeat(np.arange(len(own)), self.size)[rows >= 0]
+        self.flat = rows[rows >= 0]
+        self.y, self.weight = y, np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+
+    def gradient(self, row_value: np.ndarray, bias: float, sharp: float, n_rows: int) -> tuple[np.ndarray, float]:
+        """Multiples of the class difference per subword, and the gradient of the bias."""
+        n = len(self.size)
+        value = np.bincount(self.flat_word, weights=row_value[self.flat], minlength=n) / self.size
+        z = np.add.reduceat(value[self.words], self.start) / self.length
+        e = np.exp(sharp * (z - np.maximum.reduceat(z, self.first)[self.text_of]))
+        q = e / np.add.reduceat(e, self.first)[self.text_of]
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(q * z, self.first) + bias, -40, 40)))
+        error = (p - self.y) * self.weight
+        per_word = np.bincount(self.words, weights=(q * error[self.text_of] / self.length)[self.bag_of], minlength=n) / self.size
+        return np.bincount(self.flat, weights=per_word[self.flat_word], minlength=n_rows).astype(np.float32), float(error.sum())
+
+
 def train(texts: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Model:
-    """Gradient descent with momentum on all texts; the two classes weigh the same.
+    """Gradient descent with momentum on ``FOLDS`` parts of the texts in turn; the two classes weigh the same.
 
     With two classes the softmax depends on the difference ``u`` of the class weights, so the gradient
     of a bag's mean vector is a multiple of ``u`` and one number per bag, word and subword is enough.
@@ -91,38 +127,20 @@ def train(texts: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed
     kept = np.flatnonzero(texts_of >= MIN_TEXTS)
     row_of = np.full(BUCKETS, -1, np.int32)
     row_of[kept] = np.arange(len(kept))
-    size = np.array([len(p) for p in parts], np.float32)
-    flat = row_of[np.concatenate(parts)]
-    flat_word = np.repeat(np.arange(len(parts), dtype=np.int32), size.astype(int))[flat >= 0]
-    flat = flat[flat >= 0]
-    bags = [[np.unique(x) for x in np.split(t, bag_starts(len(t))[1:])] for t in ids]
-    n_bags = np.array([len(b) for b in bags])
-    first = np.cumsum(n_bags) - n_bags
-    text_of = np.repeat(np.arange(len(bags)), n_bags)
-    every = [x for b in bags for x in b]
-    words, length = np.concatenate(every), np.array([len(x) for x in every])
-    bag_of = np.repeat(np.arange(len(length)), length)
-    start = np.cumsum(length) - length
-    y = labels.astype(float)
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    order = rng.permutation(len(ids))
+    folds = [_Fold([ids[i] for i in order[k::FOLDS]], labels[order[k::FOLDS]].astype(float), parts, row_of)
+             for k in range(min(FOLDS, len(ids))) if 0 < labels[order[k::FOLDS]].mean() < 1]
+    folds = folds or [_Fold(ids, labels.astype(float), parts, row_of)]
     vectors = rng.normal(0, 0.05, (len(kept), DIM)).astype(np.float32)
     u = rng.normal(0, 1, DIM).astype(np.float32)
     u /= np.linalg.norm(u)
     bias = 0.0
     m_vectors, m_u, m_bias = np.zeros_like(vectors), np.zeros_like(u), 0.0
     for step in range(steps):
-        value = np.bincount(flat_word, weights=(vectors @ u)[flat], minlength=len(parts)) / size
-        z = np.add.reduceat(value[words], start) / length
-        sharp = SHARPNESS * min(1.0, 2 * step / steps)
-        e = np.exp(sharp * (z - np.maximum.reduceat(z, first)[text_of]))
-        q = e / np.add.reduceat(e, first)[text_of]
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(q * z, first) + bias, -40, 40)))
-        error = (p - y) * weight
-        per_word = np.bincount(words, weights=(q * error[text_of] / length)[bag_of], minlength=len(parts)) / size
-        a = np.bincount(flat, weights=per_word[flat_word], minlength=len(kept)).astype(np.float32)
+        a, error = folds[step % len(folds)].gradient(vectors @ u, bias, SHARPNESS * min(1.0, 2 * step / steps), len(kept))
         m_vectors = MOMENTUM * m_vectors + a[:, None] * u + np.float32(DECAY) * vectors
         m_u = MOMENTUM * m_u + vectors.T @ a + np.float32(DECAY) * u
-        m_bias = MOMENTUM * m_bias + error.sum()
+        m_bias = MOMENTUM * m_bias + error
         vectors -= np.float32(RATE) * m_vectors
         u -= np.float32(0.02 * RATE) * m_u
         bias -= 0.02 * RATE * m_bias
