@@ -41,6 +41,6 @@ WEATHER_PAYLOAD = T.StructType([
 
 
 def has_key(payload, key: str) -> Column:
-    """True when the top-level JSON object has ``key`` (null-valued counts as absent)."""
+    """True when the top-level JSON object has ``key``, whatever its value (null included)."""
     p = F.col(payload) if isinstance(payload, str) else payload
-    return F.get_json_object(p, f"$.{key}").isNotNull()
+    return F.array_contains(F.json_object_keys(p), key)

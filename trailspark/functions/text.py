@@ -2,7 +2,7 @@
 
 Python's ``str.strip()`` / ``str.split()`` use every Unicode whitespace
 character; Spark's ``trim`` strips only the space character, so these
-helpers use ``(?U)\\s`` regexes instead.
+helpers list the characters (``btrim``, ``translate``).
 """
 
 from __future__ import annotations
@@ -53,24 +53,10 @@ def word_terms(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD_PATTERN), 0)
 
 
-def remove_substrings(c, words: list[str]) -> Column:
-    """Remove each word as a substring, in list order, case-sensitive.
+def remove_substrings(c, words: Column) -> Column:
+    """Remove each word of an array as a substring, in array order, case-sensitive.
 
     Mirrors sequential ``text.replace(w, '')``: a word is removed inside
     longer words too, and the order matters when words overlap.
     """
-    out = _col(c)
-    for w in words:
-        if w:
-            out = F.replace(out, F.lit(w), F.lit(""))
-    return out
-
-
-def remove_substrings_array(c, words: Column) -> Column:
-    """Same as :func:`remove_substrings` with the list as an array column."""
     return F.aggregate(words, _col(c), lambda acc, w: F.when(F.length(w) > 0, F.replace(acc, w, F.lit(""))).otherwise(acc))
-
-
-def topic_line(topic, words) -> Column:
-    """``Topic {t}: {words}`` line of the chart tables."""
-    return F.format_string("Topic %s: %s", _col(topic), _col(words))

@@ -2,13 +2,13 @@
 (T3) and the valid-story masks (F7, F8).
 
 Word lists are DataFrames.  A list that is applied to every row as a
-sequence of substring removals (T1) has to reach each task whole; it is
-passed as a scalar subquery after a checked row bound.  The vocabulary can
+sequence of substring removals (T1) has to reach each task whole, whatever
+its length: it is a scalar subquery, one array of words.  The vocabulary can
 be large, so token filtering (T2, T3) is a join: tokens are exploded with
-their position, semi-joined with the vocabulary and anti-joined with the
-stop list (broadcast only behind a size check; otherwise shuffle joins
-that AQE splits when one word is hot), then regrouped per journal in
-position order.  One journal's tokens are bounded by its own length.
+their position, joined with the vocabulary and the stop list (Spark picks a
+broadcast from the sizes it measures at run time, or splits a skewed
+shuffle), then regrouped per journal in position order.  One journal's
+tokens are bounded by its own length.  No job runs before the result is used.
 """
 
 from __future__ import annotations
@@ -16,14 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.functions.text import blank_to_null, remove_substrings, remove_substrings_array, tokens
-from trailspark.operators.common import BROADCAST_MAX_ROWS, has_at_most, ordered_join
-
-STOP_LIST_MAX = 100_000
-# Up to this many words the removal chain is compiled into nested
-# ``replace`` expressions (whole-stage codegen); longer lists use the
-# interpreted ``aggregate`` lambda with the list as a scalar subquery.
-INLINE_MAX = 2_000
+from trailspark.functions.text import blank_to_null, remove_substrings, tokens
 
 
 def stop_list(journals: DataFrame, extras: DataFrame, name_col: str = "trail_name") -> DataFrame:
@@ -44,21 +37,10 @@ def stop_list(journals: DataFrame, extras: DataFrame, name_col: str = "trail_nam
             .select("word", F.col("o.g").alias("g"), F.col("o.k").alias("k")))
 
 
-def _ordered_words(stop: DataFrame):
-    """Scalar subquery: the stop words as one ordered array (bounded list)."""
-    if not has_at_most(stop, STOP_LIST_MAX):
-        raise ValueError(f"stop list longer than {STOP_LIST_MAX} words")
-    arr = stop.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "k", "word"))), lambda x: x["word"]).alias("w"))
-    return arr.scalar()
-
-
 def _remove_all(df: DataFrame, text, stop: DataFrame, out: str) -> DataFrame:
     """``df`` with ``out`` = ``text`` after removing every stop word in order."""
-    if has_at_most(stop, INLINE_MAX):
-        words = [r["word"] for r in stop.orderBy("g", "k", "word").select("word").collect()]
-        return df.withColumn(out, remove_substrings(text, words))
-    return (df.withColumn("_stop", _ordered_words(stop))
-            .withColumn(out, remove_substrings_array(text, F.col("_stop"))).drop("_stop"))
+    words = stop.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "k", "word"))), lambda x: x["word"]).alias("w")).scalar()
+    return df.withColumn("_stop", words).withColumn(out, remove_substrings(text, F.col("_stop"))).drop("_stop")
 
 
 def clean_substring(df: DataFrame, stop: DataFrame, col: str = "journal_story") -> DataFrame:
@@ -67,9 +49,13 @@ def clean_substring(df: DataFrame, stop: DataFrame, col: str = "journal_story")
     return _remove_all(df, F.col(col), stop, col).withColumn(col, blank_to_null(F.col(col)))
 
 
-def _lookup(words: DataFrame, lower: bool) -> DataFrame:
-    k = words.select((F.lower("word") if lower else F.col("word")).alias("key")).distinct()
-    return F.broadcast(k) if has_at_most(k, BROADCAST_MAX_ROWS * 5) else k
+def keep_raw(df: DataFrame, col: str = "journal_story", raw: str = "journal_story_raw") -> DataFrame:
+    """The text as it was read, beside the column that cleaning overwrites."""
+    return df.withColumn(raw, F.col(col))
+
+
+def _lookup(words: DataFrame, lower: bool, flag: str) -> DataFrame:
+    return words.select((F.lower("word") if lower else F.col("word")).alias("key")).distinct().withColumn(flag, F.lit(True))
 
 
 def _filter_tokens(df: DataFrame, col: str, keep: DataFrame | None, drop: DataFrame | None,
@@ -77,29 +63,26 @@ def _filter_tokens(df: DataFrame, col: str, keep: DataFrame | None, drop: DataFr
     """Keep tokens whose lowercase form is in ``keep`` and not in ``drop``,
     rejoined with single spaces into ``out``; every input row is kept.
 
-    One shuffle: tokens are flagged by broadcast left joins (no row is
-    dropped), and the regroup carries the other columns with ``first`` so
-    no join back to the input is needed.  The partial aggregate builds each
-    journal's list map-side (all its tokens are in one partition), so what
-    crosses the shuffle is one row per journal, not one per token.
+    The text is read once: tokens are flagged by left joins (no row is
+    dropped), and the regroup by id carries the other columns with ``first``.
+    ``col`` keeps only whether it was null.
     """
-    toks = df.select(id_col, F.col(col).isNull().alias("_null"),
+    others = [c for c in df.columns if c not in (id_col, col)]
+    toks = df.select(id_col, *others, F.col(col).isNull().alias("_null"),
                      F.posexplode_outer(tokens(F.coalesce(F.col(col), F.lit("")))).alias("_pos", "_tok"))
     toks = toks.withColumn("key", F.lower("_tok"))
     ok = F.col("_tok").isNotNull()
     if keep is not None:
-        toks = toks.join(_lookup(keep, True).withColumn("_in", F.lit(True)), "key", "left")
+        toks = toks.join(_lookup(keep, True, "_in"), "key", "left")
         ok = ok & F.col("_in").isNotNull()
     if drop is not None:
-        toks = toks.join(_lookup(drop, False).withColumn("_out", F.lit(True)), "key", "left")
+        toks = toks.join(_lookup(drop, False, "_out"), "key", "left")
         ok = ok & F.col("_out").isNull()
     kept = F.collect_list(F.when(ok, F.struct(F.col("_pos").alias("o"), F.col("_tok").alias("v"))))
     cleaned = toks.groupBy(id_col).agg(
-        F.first("_null").alias("_null"),
+        F.first("_null").alias("_null"), *[F.first(c).alias(c) for c in others],
         F.array_join(F.transform(F.array_sort(kept), lambda x: x["v"]), " ").alias(out))
-    # the text column is replaced, so only the narrow remaining columns are joined back
-    return df.drop(col).join(cleaned, id_col).withColumn(
-        col, F.when(~F.col("_null"), F.lit("x"))).drop("_null")
+    return cleaned.withColumn(col, F.when(~F.col("_null"), F.lit("x"))).drop("_null")
 
 
 def clean_tokens(df: DataFrame, stop: DataFrame, vocabulary: DataFrame, col: str = "journal_story",
@@ -129,11 +112,8 @@ def valid_story_mask(df: DataFrame, stop: DataFrame, col: str = "journal_story",
     """F8 (``lowercase``) / F7 stop-word part: a story is valid when it is
     non-null and some token (lowercased for F8) is not a stop word.
     Adds boolean ``valid``.  F7 also needs the language test (T5)."""
-    toks = (df.where(F.col(col).isNotNull())
-            .select(id_col, F.explode(tokens(col)).alias("tok"))
-            .select(id_col, (F.lower("tok") if lowercase else F.col("tok")).alias("key")))
-    d = stop.select(F.col("word").alias("key")).distinct()
-    d = F.broadcast(d) if has_at_most(d, BROADCAST_MAX_ROWS * 5) else d
-    ok = toks.join(d, "key", "left_anti").select(id_col).distinct().withColumn("_ok", F.lit(True))
+    distinct = F.array_distinct(F.transform(tokens(col), lambda t: F.lower(t) if lowercase else t))
+    toks = df.where(F.col(col).isNotNull()).select(id_col, F.explode(distinct).alias("key"))
+    ok = (toks.join(_lookup(stop, False, "_out"), "key", "left_anti").select(id_col).distinct().withColumn("_ok", F.lit(True)))
     return (df.join(ok, id_col, "left")
             .withColumn("valid", F.col(col).isNotNull() & F.coalesce("_ok", F.lit(False))).drop("_ok"))

@@ -7,26 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Lookups at or below this many rows may be broadcast.  The bound is checked
-# on the data (``limit(n+1).count()``), never assumed.
-BROADCAST_MAX_ROWS = 200_000
-
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Size check that reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked row bound; otherwise leave the
-    choice to the planner (sort-merge join, or an AQE switch at runtime)."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
 def not_equal_keep_null(c, value) -> Column:
     """``c != value`` with pandas semantics: null rows are kept."""
     return ~col(c).eqNullSafe(F.lit(value))

@@ -1,20 +1,19 @@
 """Geo attribution: shelters by rounded latitude (J1-J3), clubs by latitude
 range with first-match-wins (J4, J5), club gap fill (P5 / N15).
 
-Both lookups are small reference tables.  They are broadcast only behind a
-checked row bound; above it the joins stay shuffle joins on an integral key
-(rounded hundredths, or a latitude bin), so the fact table is never
-compared against every lookup row.
+Both joins are equi-joins on an integral key (rounded hundredths, or a
+latitude bin), so the fact table is never compared against every lookup
+row; Spark broadcasts a lookup whose measured size is small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.geo import lenient_double, rounded_key, valid_coordinate
 from trailspark.functions.text import ustrip
-from trailspark.operators.common import BROADCAST_MAX_ROWS, has_at_most
+from trailspark.session import cut_lineage
 
 NO_CLUB = "No Club"
 
@@ -38,8 +37,6 @@ def attach_shelters(posts: DataFrame, shelters: DataFrame, decimals: int = 2, la
     p = clean_latitude(posts, lat).withColumn("_key", rounded_key(lat, decimals))
     s = (clean_latitude(shelters.select("shelter_name", F.col(lat).alias("_slat")), "_slat")
          .select(rounded_key("_slat", decimals).alias("_key"), F.col("shelter_name").alias("location_name")))
-    if has_at_most(s, BROADCAST_MAX_ROWS):
-        s = F.broadcast(s)
     return p.join(s, "_key", how).drop("_key")
 
 
@@ -48,8 +45,6 @@ def unmatched_posts(posts: DataFrame, shelters: DataFrame, decimals: int = 2, la
     p = clean_latitude(posts, lat).withColumn("_key", rounded_key(lat, decimals))
     s = (clean_latitude(shelters.select(F.col(lat).alias("_slat")), "_slat")
          .select(rounded_key("_slat", decimals).alias("_key")).distinct())
-    if has_at_most(s, BROADCAST_MAX_ROWS):
-        s = F.broadcast(s)
     return p.join(s, "_key", "left_anti").drop("_key")
 
 
@@ -71,19 +66,40 @@ def club_pieces(clubs: DataFrame) -> DataFrame:
     valid = (clubs.select("trail_club", "club_order", F.col("lat_start").cast("double").alias("s"),
                           F.col("lat_end").cast("double").alias("e"))
              .where(valid_coordinate("s") & valid_coordinate("e") & (F.col("s") <= F.col("e"))))
-    bounds = valid.select(F.col("s").alias("b")).union(valid.select(F.col("e").alias("b"))).distinct()
-    w = Window.orderBy("b")
-    nxt = bounds.withColumn("nb", F.lead("b").over(w))
-    points = nxt.select(F.col("b").alias("lo"), F.col("b").alias("hi"), F.lit(True).alias("lo_incl"),
-                        F.lit(True).alias("hi_incl"), F.col("b").alias("rep"))
-    opens = nxt.where(F.col("nb").isNotNull()).select(
-        F.col("b").alias("lo"), F.col("nb").alias("hi"), F.lit(False).alias("lo_incl"), F.lit(False).alias("hi_incl"),
-        ((F.col("b") + F.col("nb")) / 2).alias("rep"))
-    pieces = points.unionByName(opens)
-    cover = pieces.join(valid, (valid.s <= pieces.rep) & (pieces.rep <= valid.e))
-    won = cover.groupBy("lo", "hi", "lo_incl", "hi_incl").agg(
-        F.min_by("trail_club", "club_order").alias("trail_club"))
-    return won
+    # the lookup is one table of ranges; one task sweeps its sorted bounds once
+    schema = "lo double, hi double, lo_incl boolean, hi_incl boolean, trail_club string"
+    ordered = valid.select("s", "e", "club_order", F.col("trail_club").cast("string").alias("club"))
+    return ordered.coalesce(1).mapInPandas(_sweep, schema)
+
+
+def _sweep(batches):
+    """Disjoint pieces of the line with the first club that covers each.
+
+    A heap holds the ranges that have begun, smallest order first; ranges that
+    have ended leave it when they come to its top, so the sweep is
+    O(ranges log ranges).
+    """
+    import heapq
+
+    import pandas as pd
+    rows = [r for b in batches for r in b.itertuples(index=False, name=None)]
+    rows.sort()
+    bounds = sorted({x for s, e, _, _ in rows for x in (s, e)})
+    out, heap, k = [], [], 0
+    for i, lo in enumerate(bounds):
+        while k < len(rows) and rows[k][0] <= lo:
+            heapq.heappush(heap, (rows[k][2], k))
+            k += 1
+        while heap and rows[heap[0][1]][1] < lo:
+            heapq.heappop(heap)
+        if heap:
+            out.append((lo, lo, True, True, rows[heap[0][1]][3]))
+        # the open interval up to the next bound: ranges that end at lo don't reach it
+        while heap and rows[heap[0][1]][1] <= lo:
+            heapq.heappop(heap)
+        if heap and i + 1 < len(bounds):
+            out.append((lo, bounds[i + 1], False, False, rows[heap[0][1]][3]))
+    yield pd.DataFrame(out, columns=["lo", "hi", "lo_incl", "hi_incl", "trail_club"])
 
 
 def _in_piece(lat, p) -> F.Column:
@@ -99,12 +115,10 @@ def assign_clubs(locations: DataFrame, clubs: DataFrame, lat: str = "latitude",
     Rows whose latitude does not parse are kept, unassigned.  Unmatched rows
     get ``fill`` ('' as in the reference; None keeps null).  The join runs
     on an integral latitude bin (``floor(lat / bin_width)``) with the exact
-    bound test as a residual, so it is a hash join, not a nested loop; the
-    pieces are broadcast when their row bound is checked.
+    bound test as a residual, so it is an equi-join, not a nested loop;
+    Spark broadcasts the pieces if it measures them to be small.
     """
-    if not has_at_most(clubs, BROADCAST_MAX_ROWS):
-        raise ValueError("club lookup exceeds the lookup bound; split it by latitude band first")
-    pieces = club_pieces(clubs)
+    pieces = cut_lineage(club_pieces(clubs))  # read four times below
     if bin_width is None:
         span = pieces.agg((F.max("hi") - F.min("lo")).alias("span"), F.count(F.lit(1)).alias("n"))
         bw = F.greatest(span.select(F.col("span") / F.greatest(F.col("n"), F.lit(1))).scalar(), F.lit(1e-9))
@@ -113,12 +127,11 @@ def assign_clubs(locations: DataFrame, clubs: DataFrame, lat: str = "latitude",
     pieces = pieces.withColumn("_bw", bw)
     binned = pieces.select("*", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_bw")),
                                                       F.floor(F.col("hi") / F.col("_bw")))).alias("_bin"))
-    if has_at_most(pieces, BROADCAST_MAX_ROWS // 10):
-        binned = F.broadcast(binned)
     p = binned.alias("p")
     lat_val = lenient_double(lat)
     rows = locations.withColumn("_lat", F.when(valid_coordinate(lat_val), lat_val))
-    rows = rows.withColumn("_bin", F.floor(F.col("_lat") / bw))
+    # rows without a position match nothing: spread their bins instead of one null key
+    rows = rows.withColumn("_bin", F.coalesce(F.floor(F.col("_lat") / bw), F.xxhash64(F.rand(0))))
     j = rows.alias("r").join(p, (F.col("r._bin") == F.col("p._bin")) & _in_piece(F.col("r._lat"), p), "left")
     club = F.col("p.trail_club")
     if fill is not None:

@@ -2,19 +2,19 @@
 style n-gram profiles) trained and applied as DataFrame jobs.
 
 Training is ``groupBy(lang, gram).count()`` (partial aggregation).  Scoring
-explodes each document's trigrams, joins the profile (broadcast after a
-checked bound; the profile is bounded by alphabet^3 x languages, not by the
-data) and sums log-probabilities per ``(doc, lang)``; all trigrams of a
-document sit in one partition, so the partial aggregate collapses a whole
-document to one row per language before the shuffle.  Whole texts are used.
+explodes each document's trigrams, joins the profile (adaptive execution
+measures it and picks the join) and sums log-probabilities per ``(doc,
+lang)``; the partial aggregate collapses a document to one row per language
+before the shuffle.  Whole texts are used; any number of languages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.operators.common import BROADCAST_MAX_ROWS, has_at_most
 from trailspark.session import cut_lineage
 
 
@@ -27,7 +27,8 @@ def trigrams(text) -> Column:
             .otherwise(F.array().cast("array<string>"))
 
 
-def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                  grams: Callable[..., Column] = trigrams) -> tuple[DataFrame, DataFrame]:
     """Returns ``(profile, langs)``: ``(lang, gram, delta)`` and per-language
     ``(lang, base, prior)``.
 
@@ -36,7 +37,7 @@ def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     per-document score is ``prior + n_grams * base + sum(delta)``.
     """
     labelled = docs.where(F.col(lang_col).isNotNull())
-    counts = (labelled.select(F.col(lang_col).alias("lang"), F.explode(trigrams(text_col)).alias("gram"))
+    counts = (labelled.select(F.col(lang_col).alias("lang"), F.explode(grams(text_col)).alias("gram"))
               .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")))
     # the profile is small and read four times below: checkpoint it once
     counts = cut_lineage(counts)
@@ -53,33 +54,27 @@ def train_profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return profile, langs.select("lang", "base", "prior")
 
 
-MAX_LANGS = 200
-
-
-def detect(docs: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           grams: Callable[..., Column] = trigrams) -> DataFrame:
     """``(id, lang_pred)``: best language per document; null when the text
-    has no letters (the reference's detector fails there -> not English).
+    has no gram (the reference's detector fails there -> not English).
 
-    The profile is pivoted to one row per trigram with one delta column per
-    language (languages are a small checked list), so each document
-    trigram joins exactly one profile row and the per-document sums are
-    plain column sums; the arg-max is taken over the language columns.
+    A gram meets one profile row that holds its deltas for all languages; the
+    sums are one row per (document, language), and every language is a
+    candidate for every document through its base score.
     """
-    if not has_at_most(langs, MAX_LANGS):
-        raise ValueError(f"more than {MAX_LANGS} languages in the profile")
-    lang_rows = langs.orderBy("lang").collect()
-    names = [r["lang"] for r in lang_rows]
-    wide = profile.groupBy("gram").pivot("lang", names).agg(F.first("delta")).na.fill(0.0)
-    if has_at_most(wide, BROADCAST_MAX_ROWS * 10):
-        wide = F.broadcast(wide)
-    g = docs.select(id_col, F.explode(trigrams(text_col)).alias("gram"))
-    scored = g.join(wide, "gram", "left").groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"`{x}`")).alias(f"d{i}") for i, x in enumerate(names)])
-    cands = F.array(*[F.struct((F.lit(r["prior"]) + F.col("n") * F.lit(r["base"]) + F.coalesce(F.col(f"d{i}"), F.lit(0.0)))
-                               .alias("score"), F.lit(-i).alias("neg"), F.lit(r["lang"]).alias("lang"))
-                      for i, r in enumerate(lang_rows)])
-    best = scored.select(id_col, F.array_max(cands)["lang"].alias("lang_pred"))
+    by_gram = profile.groupBy("gram").agg(F.collect_list(F.struct("lang", "delta")).alias("deltas"))  # at most one per language
+    every = langs.agg(F.array_sort(F.collect_list(F.struct("lang", "base", "prior")))).scalar()
+    g = docs.select(id_col, F.explode(grams(text_col)).alias("gram"))
+    n = g.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    sums = (g.join(by_gram, "gram").select(id_col, F.explode("deltas").alias("x"))
+            .groupBy(id_col, F.col("x.lang").alias("lang")).agg(F.sum("x.delta").alias("d")))
+    per_doc = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lang", "d"))).alias("d"))  # at most one per language
+    scored = n.join(per_doc, id_col, "left").withColumn("_all", every)
+    candidates = F.transform("_all", lambda x, i: F.struct(
+        (x["prior"] + F.col("n") * x["base"] + F.coalesce(F.element_at(F.col("d"), x["lang"]), F.lit(0.0))).alias("score"),
+        (-i).alias("neg"), x["lang"].alias("lang")))
+    best = scored.select(id_col, F.array_max(candidates)["lang"].alias("lang_pred"))
     return docs.select(id_col).join(best, id_col, "left")
 
 

@@ -1,71 +1,35 @@
-"""T16 sentiment: a Spark ML text classifier trained on a labelled table,
-applied to every non-null story (input cut to the first 512 tokens, as the
-reference's model input is).  A plug-in scorer can replace the model:
-``score_with`` runs any batch function in ``mapInPandas`` and takes the
-arg-max of its score vector (X17).
+"""T16 sentiment: multinomial naive Bayes over the terms of whole texts,
+trained and applied as DataFrame jobs (the same aggregation as T5), and the
+arg-max of a score vector (X17).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.functions.text import word_terms
-
-MAX_TOKENS = 512
-
-
-def _features(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("_tok", F.slice(word_terms(text_col), 1, MAX_TOKENS))
-
-
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", num_features: int = 1 << 14,
-          max_iter: int = 25):
-    """Fit hashed TF -> IDF -> multinomial logistic regression.
+from trailspark.functions.text import blank_to_null, word_terms
+from trailspark.operators.language import detect, train_profile
 
-    The hashed term counts are persisted once (memory, spilling to disk):
-    the IDF fit and every optimizer iteration read them instead of
-    re-tokenising the texts.
-    """
-    from pyspark import StorageLevel
-    base = _features(labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()), text_col) \
-        .withColumn("_y", F.col(label_col).cast("double"))
-    htf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    tf = htf.transform(base).select("_tf", "_y").persist(StorageLevel.MEMORY_AND_DISK)
-    idf = IDF(inputCol="_tf", outputCol="_x").fit(tf)
-    lr = LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_pred", maxIter=max_iter,
-                            family="multinomial").fit(idf.transform(tf))
-    tf.unpersist()
-    return PipelineModel(stages=[htf, idf, lr])
 
+def argmax(scores) -> Column:
+    """Position (from 0) of the first maximum of an array; null for a null or empty one."""
+    s = F.col(scores) if isinstance(scores, str) else scores
+    return (F.array_position(s, F.array_max(s)) - 1).cast("int")
 
-def score(df: DataFrame, model, text_col: str = "journal_story", out: str = "sentiment") -> DataFrame:
-    """Adds ``out`` (int class); null stories stay null."""
-    scored = model.transform(_features(df.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))), "_t"))
-    keep = [c for c in df.columns]
-    return scored.select(*keep, F.when(F.col(text_col).isNotNull(), F.col("_pred").cast("int")).alias(out))
 
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """``(profile, classes)`` of the labelled texts; null labels and texts teach nothing."""
+    rows = labelled.where(F.col(text_col).isNotNull())
+    return train_profile(rows, text_col, label_col, word_terms)
 
-def score_with(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], text_col: str = "journal_story",
-               out: str = "sentiment") -> DataFrame:
-    """Plug-in scorer: ``fn(texts) -> score vectors`` on Arrow batches; the
-    class is the position of the first maximum; null text -> null."""
-    schema = df.schema.add(out, "int")
 
-    def run(batches):
-        for pdf in batches:
-            texts = pdf[text_col]
-            mask = texts.notna()
-            res = pd.Series([None] * len(pdf), dtype="Int64")
-            if mask.any():
-                scores = fn(texts[mask].tolist())
-                res[mask.values] = [int(max(range(len(s)), key=lambda i: s[i])) for s in scores]
-            pdf[out] = res
-            yield pdf
-    return df.mapInPandas(run, schema)
+def score(df: DataFrame, model: tuple[DataFrame, DataFrame], id_col: str = "journal_id", text_col: str = "journal_story",
+          out: str = "sentiment") -> DataFrame:
+    """Adds ``out`` (int class); null and blank stories are not scored and stay
+    null, and the story comes back as '' where it is null (P7).  A story
+    without any term is not scored either."""
+    stories = df.select(id_col, blank_to_null(F.col(text_col)).alias("_t")).where(F.col("_t").isNotNull())
+    best = detect(stories, *model, id_col=id_col, text_col="_t", grams=word_terms).select(
+        id_col, F.col("lang_pred").cast("int").alias(out))
+    return df.join(best, id_col, "left").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))

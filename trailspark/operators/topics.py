@@ -4,15 +4,14 @@ size-ordered ids (T10), target-count search (T11), topic reduction and its
 merge log (T12, T18), assignment back to the journals (T14), per-group
 topics (T15) and bar-chart data (T17).
 
-Scale notes: term counting is ``explode`` -> broadcast anti-join (checked
-stop list) -> ``groupBy(class, term)`` with map-side partial aggregation,
+Scale notes: term counting is ``explode`` -> anti-join (stop list) ->
+``groupBy(class, term)`` with map-side partial aggregation,
 so the outlier topic -1 holding a third of all documents reaches the
 shuffle as one partial row per (partition, term).  Everything after the
 counts works on topic-level tables whose size is bounded by the number of
 topics and the vocabulary, never by the number of documents.  The only
 all-pairs step is the topic x topic similarity matrix (its output *is* the
-matrix); it runs on the topic table after a checked bound on the number of
-topics.
+matrix); it runs on the topic table, in blocks.
 """
 
 from __future__ import annotations
@@ -23,48 +22,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.text import word_terms
-from trailspark.operators.common import BROADCAST_MAX_ROWS, has_at_most, rank_within
-from trailspark.session import cut_lineage
+from trailspark.operators.common import rank_within
 
-MAX_TOPICS_FOR_MATRIX = 5_000
 
-
-def ngram_terms(text, stop_words: list[str], n_max: int = 2):
-    """Unigrams and, for ``n_max=2``, bigrams of consecutive terms after
-    stop-word removal (the vectoriser drops stop words before pairing)."""
-    stop_arr = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    t = F.filter(word_terms(text), lambda x: ~F.array_contains(stop_arr, x))
-    if n_max == 1:
-        return t
-    n = F.size(t)
-    bi = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(1))), F.slice(t, 2, F.greatest(n - 1, F.lit(1))),
-                    lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(t, F.when(n >= 2, bi).otherwise(F.array().cast("array<string>")))
-
-
-STOP_INLINE_MAX = 2_000
+def _bigrams(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of consecutive terms left after stop-word removal: the kept
+    terms of a document are put back in order and paired inside its row."""
+    kept = terms.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "term"))), lambda x: x["term"]).alias("t"))
+    n = F.size("t")
+    pairs = F.zip_with(F.slice("t", 1, F.greatest(n - 1, F.lit(1))), F.slice("t", 2, F.greatest(n - 1, F.lit(1))),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return kept.where(n >= 2).select(keys[0], F.explode(pairs).alias("term"))
 
 
 def term_counts(df: DataFrame, class_col: str, text_col: str, stop: DataFrame | None = None,
                 ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
     """``(class, term, tf)``; a term is a run of >= 2 word characters,
-    lowercased; stop words (column ``word``) removed.  ``ngram_range=(1, 2)``
-    adds bigrams (T9), formed after stop-word removal; that needs the stop
-    list inline, so it must be short (checked)."""
-    if ngram_range != (1, 1):
-        words = []
-        if stop is not None:
-            if not has_at_most(stop, STOP_INLINE_MAX):
-                raise ValueError("stop list too long for n-gram terms")
-            words = sorted({r["w"] for r in stop.select(F.lower("word").alias("w")).collect()})
-        t = df.where(F.col(class_col).isNotNull()).select(
-            F.col(class_col).alias("cls"), F.explode(ngram_terms(text_col, words, ngram_range[1])).alias("term"))
-        return t.groupBy("cls", "term").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("cls", class_col)
-    t = df.where(F.col(class_col).isNotNull()).select(
-        F.col(class_col).alias("cls"), F.explode(word_terms(text_col)).alias("term"))
+    lowercased; stop words (column ``word``) removed as they are given, so a
+    capitalised stop word removes nothing.  ``ngram_range=(1, 2)`` adds bigrams
+    (T9), formed after stop-word removal.  Stop lists may have any length."""
+    docs = df.where(F.col(class_col).isNotNull()).select(F.col(class_col).alias("cls"), F.col(text_col).alias("_text"))
+    if ngram_range != (1, 1):  # numbered before the terms are exploded
+        docs = docs.withColumn("_doc", F.monotonically_increasing_id())
+    t = docs.select(*[c for c in docs.columns if c != "_text"], F.posexplode(word_terms("_text")).alias("_pos", "term"))
     if stop is not None:
-        s = stop.select(F.lower("word").alias("term")).distinct()
-        t = t.join(F.broadcast(s) if has_at_most(s, BROADCAST_MAX_ROWS * 5) else s, "term", "left_anti")
+        t = t.join(stop.select(F.col("word").alias("term")).distinct(), "term", "left_anti")
+    if ngram_range != (1, 1):
+        t = t.select("cls", "term").unionByName(_bigrams(t, ["cls", "_doc"]))
     return t.groupBy("cls", "term").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("cls", class_col)
 
 
@@ -110,25 +94,31 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def cosine_matrix(vectors: DataFrame, topic_col: str = "topic", vec_col: str = "centroid") -> DataFrame:
-    """Long-form ``(topic_a, topic_b, similarity)`` for all topic pairs.
+def _unit_vectors(vectors: DataFrame, topic_col: str, vec_col: str) -> DataFrame:
+    norm = F.sqrt(_dot(F.col(vec_col), F.col(vec_col)))
+    return vectors.select(F.col(topic_col).alias("t"), F.col(vec_col).alias("v"), norm.alias("norm"))
 
-    The result is the full topic x topic matrix by definition.  The topic
-    table is bounded (checked), shipped once as a scalar array, and each
-    topic row scores itself against it: O(topics^2) work, independent of
-    the number of documents.
-    """
-    if not has_at_most(vectors, MAX_TOPICS_FOR_MATRIX):
-        raise ValueError(f"more than {MAX_TOPICS_FOR_MATRIX} topics; reduce topics first")
-    v = vectors.select(F.col(topic_col).alias("t"), F.col(vec_col).alias("v"),
-                       F.sqrt(_dot(F.col(vec_col), F.col(vec_col))).alias("norm"))
-    every = v.agg(F.collect_list(F.struct("t", "v", "norm")).alias("all")).scalar()
-    scored = v.withColumn("_all", every).select(
-        F.col("t").alias("topic_a"),
-        F.explode(F.transform("_all", lambda o: F.struct(
-            o["t"].alias("topic_b"), (_dot(F.col("v"), o["v"]) / (F.col("norm") * o["norm"])).alias("similarity")))
-        ).alias("p"))
-    return scored.select("topic_a", F.col("p.topic_b").alias("topic_b"), F.col("p.similarity").alias("similarity"))
+
+def cosine_pairs(left: DataFrame, right: DataFrame, topic_col: str = "topic", vec_col: str = "centroid",
+                 blocks: int = 8) -> DataFrame:
+    """``(topic_a, topic_b, similarity)`` for every topic of ``left`` with every
+    topic of ``right``.  Topics are dealt to blocks and blocks are joined on a
+    key, so pairs are made in ``blocks ** 2`` tasks, none of which holds a whole side."""
+    def dealt(df, side, other):
+        u = _unit_vectors(df, topic_col, vec_col)
+        own = F.pmod(F.xxhash64("t"), F.lit(blocks)).alias(side)
+        return u.select(own, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias(other), "t", "v", "norm")
+
+    a, b = dealt(left, "i", "j").alias("a"), dealt(right, "j", "i").alias("b")
+    return a.join(b, ["i", "j"]).select(
+        F.col("a.t").alias("topic_a"), F.col("b.t").alias("topic_b"),
+        (_dot(F.col("a.v"), F.col("b.v")) / (F.col("a.norm") * F.col("b.norm"))).alias("similarity"))
+
+
+def cosine_matrix(vectors: DataFrame, topic_col: str = "topic", vec_col: str = "centroid") -> DataFrame:
+    """Long-form ``(topic_a, topic_b, similarity)`` for all topic pairs;
+    the result is the full topic x topic matrix by definition."""
+    return cosine_pairs(vectors, vectors, topic_col, vec_col)
 
 
 # ---------------------------------------------------------------------------
@@ -215,11 +205,10 @@ def reduce_topics(assign: DataFrame, vectors: DataFrame, nr_topics: int, id_col:
     keep_n = max(nr_topics - 1, 1)
     kept = ranked.where(F.col("r") <= keep_n).select(topic_col)
     small = ranked.where(F.col("r") > keep_n).select(topic_col, "size", "first")
-    # every table below has at most one row per topic (bounded by the fitted
-    # model's k, and checked in cosine_matrix), so broadcasting them is safe
-    sims = cosine_matrix(vectors.select(topic_col, vec_col), topic_col, vec_col)
-    cand = (sims.join(small.withColumnRenamed(topic_col, "topic_a"), "topic_a")
-            .join(F.broadcast(kept.withColumnRenamed(topic_col, "topic_b")), "topic_b"))
+    # small x kept topics only
+    v = vectors.select(topic_col, vec_col)
+    sims = cosine_pairs(v.join(small.select(topic_col), topic_col), v.join(kept, topic_col), topic_col, vec_col)
+    cand = sims.join(small.withColumnRenamed(topic_col, "topic_a"), "topic_a")
     best = cand.groupBy("topic_a", "size", "first").agg(
         F.max_by(F.struct("topic_b", "similarity"), F.struct("similarity", -F.col("topic_b"))).alias("b"))
     log = rank_within(best.select(F.col("topic_a").alias("topic"), F.col("b.topic_b").alias("into"),
@@ -247,9 +236,7 @@ def assign_topics(journals: DataFrame, assignments: DataFrame, words: DataFrame,
     j = journals.drop("topic", "topic_words").join(assignments.select(id_col, "topic"), id_col, "left")
     if unassigned is not None:
         j = j.withColumn("topic", F.coalesce("topic", F.lit(unassigned)))
-    w = words.select("topic", "topic_words")
-    w = F.broadcast(w) if has_at_most(w, BROADCAST_MAX_ROWS) else w
-    j = j.join(w, "topic", "left")
+    j = j.join(words.select("topic", "topic_words"), "topic", "left")
     return j.withColumn("topic_words", F.when(F.col("topic").isNotNull(), F.coalesce("topic_words", F.lit(""))))
 
 

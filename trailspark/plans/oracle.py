@@ -366,7 +366,7 @@ FROM journals j LEFT JOIN (
 """, _stop_cte(1))
 
 SQL["json_required_key"] = """
-SELECT event_id, coalesce(json_extract(props, '$.k') IS NOT NULL AND json_type(json_extract(props, '$.k')) <> 'NULL', false) AS valid
+SELECT event_id, coalesce(list_contains(json_keys(props), 'k'), false) AS valid
 FROM events"""
 SQL["json_flatten"] = """
 SELECT event_id, event_type, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"""
@@ -378,7 +378,7 @@ _TERMS = _stop_cte(1) + f""",
 terms AS (SELECT source, term, count(*) AS tf FROM (
             SELECT source, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM documents
             WHERE source IS NOT NULL) t
-          WHERE term NOT IN (SELECT lower(word) FROM stop) GROUP BY source, term),
+          WHERE term NOT IN (SELECT word FROM stop) GROUP BY source, term),
 weights AS (SELECT t.source, t.term, t.tf * ln(1 + (SELECT sum(tf) / count(DISTINCT source) FROM terms) / f.f) AS weight
             FROM terms t JOIN (SELECT term, sum(tf) AS f FROM terms GROUP BY term) f USING (term)),
 ranked AS (SELECT source, term, weight,
@@ -472,7 +472,7 @@ SELECT source, term, count(*) AS tf FROM (
            list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term
   FROM (SELECT source, list_filter(regexp_extract_all(lower(text), '{_WORD}'),
                                    lambda x: NOT list_contains(sw.w, x)) AS t
-        FROM documents, (SELECT list(lower(word)) AS w FROM stop) sw WHERE source IS NOT NULL) a) b
+        FROM documents, (SELECT list(word) AS w FROM stop) sw WHERE source IS NOT NULL) a) b
 GROUP BY source, term""", _stop_cte(1))
 
 SQL["missing_values_report"] = _with("""
@@ -513,3 +513,55 @@ top5 AS (
                  GROUP BY location_name, topic) g
         ON g.location_name = l.location_name AND g.topic = t.topic) d) r
   WHERE rank <= 5)""")
+
+# ---------------------------------------------------------------------------
+# T16 sentiment: naive Bayes over whole texts; blank stories are not scored
+
+_SENTIMENT = rf"""
+lab AS (
+  SELECT d.doc_id, CAST(2 + l.quality - 2 * l.toxic AS INTEGER) AS cls, d.text FROM documents d JOIN labels l USING (doc_id)
+  WHERE d.text IS NOT NULL AND l.quality IS NOT NULL AND l.toxic IS NOT NULL),
+counts AS (SELECT cls, gram, count(*) AS c FROM (
+  SELECT cls, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS gram FROM lab) x GROUP BY cls, gram),
+v AS (SELECT count(DISTINCT gram) AS v FROM counts),
+classes AS (
+  SELECT t.cls, ln(1.0 / (t.n + v.v)) AS base, ln(d.d / (SELECT count(*) FROM lab)) AS prior, t.n
+  FROM (SELECT cls, sum(c) AS n FROM counts GROUP BY cls) t JOIN (SELECT cls, count(*) AS d FROM lab GROUP BY cls) d USING (cls), v),
+profile AS (
+  SELECT c.cls, c.gram, ln((c.c + 1.0) / (l.n + v.v)) - ln(1.0 / (l.n + v.v)) AS delta FROM counts c JOIN classes l USING (cls), v),
+story AS (
+  SELECT journal_id, unnest(regexp_extract_all(lower(journal_story), '{_WORD}')) AS gram FROM journals
+  WHERE {_blank_null('journal_story')} IS NOT NULL),
+nd AS (SELECT journal_id, count(*) AS n FROM story GROUP BY journal_id),
+sums AS (SELECT s.journal_id, p.cls, sum(p.delta) AS d FROM story s JOIN profile p USING (gram) GROUP BY s.journal_id, p.cls),
+scored AS (
+  SELECT nd.journal_id, l.cls AS sentiment FROM nd CROSS JOIN classes l
+  LEFT JOIN sums ON sums.journal_id = nd.journal_id AND sums.cls = l.cls
+  QUALIFY row_number() OVER (PARTITION BY nd.journal_id ORDER BY l.prior + nd.n * l.base + coalesce(sums.d, 0) DESC, l.cls) = 1)
+"""
+
+SQL["sentiment_score"] = _with("""
+SELECT journal_id, sentiment FROM journals LEFT JOIN scored USING (journal_id)
+""", _SENTIMENT)
+
+SQL["sentiment_weekly"] = _with("""
+, w AS (SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS week_end, sentiment FROM parsed LEFT JOIN scored USING (journal_id) WHERE date IS NOT NULL),
+a AS (SELECT week_end, avg(sentiment) AS avg_sentiment FROM w GROUP BY week_end),
+cal AS (SELECT CAST(unnest(generate_series(min(week_end), max(week_end), INTERVAL 7 DAY)) AS DATE) AS week_end FROM a)
+SELECT cal.week_end, a.avg_sentiment FROM cal LEFT JOIN a USING (week_end)
+""", _PARSE.rstrip() + "," + _SENTIMENT)
+
+# ---------------------------------------------------------------------------
+# Raw text beside the cleaned one
+
+SQL["clean_keep_raw"] = _with("""
+SELECT journal_id, journal_story AS journal_story_raw, cleaned AS journal_story FROM journals LEFT JOIN (
+  SELECT journal_id, """ + _blank_null("string_agg(tok, ' ' ORDER BY pos)") + """ AS cleaned FROM toks
+  WHERE lower(tok) IN (SELECT word FROM vocab) AND lower(tok) NOT IN (SELECT word FROM stop)
+  GROUP BY journal_id) c USING (journal_id)""", _stop_cte(1))
+
+SQL["shelter_match_2dp"] = "WITH " + _POSTS + """
+SELECT p.post_id, p.trail_name, CAST(p.latitude AS DOUBLE) / 700 AS latitude, s.shelter_name AS location_name
+FROM posts p JOIN shelters s
+  ON CAST(round(CAST(p.latitude AS DOUBLE) / 700 * 100) AS BIGINT) = CAST(round(CAST(s.latitude AS DOUBLE) / 700 * 100) AS BIGINT)
+"""

@@ -64,6 +64,13 @@ def shelter_match(spark, sf_dir):
     return G.attach_shelters(S.posts(spark, sf_dir), S.shelters(spark, sf_dir), decimals=0, how="inner")
 
 
+def shelter_match_2dp(spark, sf_dir):
+    """Q12/J1 at two decimals: posts whose position rounds to a shelter's
+    (positions divided by 700, so that they have many decimals and meet)."""
+    near = lambda df: df.withColumn("latitude", F.col("latitude").cast("double") / 700)
+    return G.attach_shelters(near(S.posts(spark, sf_dir)), near(S.shelters(spark, sf_dir)), decimals=2, how="inner")
+
+
 def shelter_unmatched(spark, sf_dir):
     """Posts without a shelter (trail name, latitude)."""
     return G.unmatched_posts(S.posts(spark, sf_dir), S.shelters(spark, sf_dir), decimals=0).select(

@@ -67,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "emotion_location_topics": topics.emotion_location_topics,
     "topic_per_group": topics.topic_per_group,
     "sentiment_score": topics.sentiment_score,
+    "sentiment_weekly": topics.sentiment_weekly,
+    "clean_keep_raw": text.clean_keep_raw,
+    "shelter_match_2dp": prep.shelter_match_2dp,
 }
 
 

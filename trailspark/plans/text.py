@@ -37,6 +37,13 @@ def clean_tokens(spark, sf_dir):
     return C.clean_tokens(j, stop, S.english_vocabulary(spark, sf_dir)).select("journal_id", "journal_story")
 
 
+def clean_keep_raw(spark, sf_dir):
+    """The T3-cleaned story beside the raw one."""
+    j, stop = _inputs(spark, sf_dir, 1)
+    kept = C.clean_tokens(C.keep_raw(j), stop, S.english_vocabulary(spark, sf_dir))
+    return kept.select("journal_id", "journal_story", "journal_story_raw")
+
+
 def valid_story_mask(spark, sf_dir):
     """F8: story has a token outside the version-1 stop list (lowercased)."""
     j, stop = _inputs(spark, sf_dir, 1)

@@ -132,8 +132,20 @@ def topic_per_group(spark, sf_dir, k: int = 30):
     return c.join(words, "club_topic", "left").select("journal_id", "trail_club", "topic", "topic_words")
 
 
+def sentiment_weekly(spark, sf_dir):
+    """Q21 -> X13 -> Q11/A16: weekly mean of the sentiment over parsed journal dates."""
+    from trailspark.operators import timeseries as TS
+    j = S.journals(spark, sf_dir, with_label=False, columns=["journal_id", "date_text"])
+    scored = TS.parse_dates(j).join(sentiment_score(spark, sf_dir), "journal_id")
+    return TS.weekly_mean(scored, "date", "sentiment")
+
+
 def sentiment_score(spark, sf_dir):
-    """Sentiment class per journal from a model trained on labels."""
+    """Sentiment class per journal, learned from the labels.
+
+    The labels give quality and toxicity; the class is 2 + quality - 2 * toxic,
+    from 0 (toxic) to 3 (good), on the reference's scale of 0 to 4.
+    """
     docs = S.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = S.read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
     train = docs.join(labels, "doc_id").withColumn(
