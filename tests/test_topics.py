@@ -1,6 +1,5 @@
 """Contract tests for the model-based operators (no library parity)."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from trailspark.operators import language as L
@@ -12,9 +11,9 @@ SF = "/root/testdata/sf0.001"
 
 def test_kmeans_topics_contract(spark):
     j = S.journals(spark, SF, with_label=False, columns=["journal_id", "journal_story"])
-    feats, _ = T.embed(j)
-    clustered, _ = T.fit_clusters(feats, 12)
-    clustered = clustered.select("journal_id", "cluster", vector_to_array("features").alias("vec")).cache()
+    cached = len(spark.sparkContext._jsc.getPersistentRDDs())
+    clustered = T.fit_clusters(j, "journal_id", 12)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= cached + 1  # a checkpoint, no cache left
     lab = T.label_topics(clustered, "journal_id", 3)
     sizes = {r["topic"]: r["n"] for r in lab.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).collect()}
     real = sorted(t for t in sizes if t != -1)
@@ -22,12 +21,15 @@ def test_kmeans_topics_contract(spark):
     assert all(sizes[t] >= 3 for t in real)                      # no topic under min size
     assert [sizes[t] for t in real] == sorted((sizes[t] for t in real), reverse=True)  # ids by size
     assert lab.count() == j.count()                              # every row labelled
-    vecs = T.centroids(clustered.join(lab.select("journal_id", "topic"), "journal_id")
-                       .where("topic != -1"), "topic", "vec")
-    reduced, log = T.reduce_topics(lab.select("journal_id", "topic"), vecs, 3, "journal_id")
-    n_after = reduced.where("topic != -1").select("topic").distinct().count()
-    assert n_after <= 3 - 1 or n_after <= len(real)
-    assert log.count() == max(len(real) - 2, 0)
+    vecs = T.topic_vectors(clustered.join(lab.select("journal_id", "topic"), "journal_id"), "journal_id")
+    log = T.merge_topics(vecs, 2)
+    reduced = T.reduce_topics(lab.select("journal_id", "topic"), log, "journal_id")
+    n_after = sorted(r["topic"] for r in reduced.where("topic != -1").select("topic").distinct().collect())
+    assert n_after == list(range(min(2, len(real))))
+    assert log.count() == max(len(real) - 2, 0) and T.merge_topics(vecs).count() == len(real) - 1
+    assert reduced.where("topic = -1").count() == sizes.get(-1, 0)
+    auto = T.merge_topics(vecs, 1, 0.3).collect()
+    assert all(r["similarity"] >= 0.3 for r in auto)
     sim = T.cosine_matrix(vecs)
     diag = [r["similarity"] for r in sim.where("topic_a = topic_b").collect()]
     assert all(abs(d - 1.0) < 1e-9 for d in diag)

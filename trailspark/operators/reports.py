@@ -127,9 +127,9 @@ def top_topics_entries_long(df: DataFrame, n: int = 3, by: Sequence[str] = ()) -
     return words.join(entries, coord).select(*coord, "top_topics", "journal_id", "journal_entry")
 
 
-def join_entries(long_df: DataFrame, sep: str = " | ") -> DataFrame:
-    """Presentation form of Q3 (one joined cell per coordinate); small outputs only."""
-    coord = ["location_name", "latitude", "longitude", "top_topics"]
+def join_entries(long_df: DataFrame, sep: str = " | ", by: Sequence[str] = ()) -> DataFrame:
+    """Presentation form of Q3 (one joined cell per coordinate and key of ``by``, such as the label); small outputs only."""
+    coord = [*by, "location_name", "latitude", "longitude", "top_topics"]
     return long_df.groupBy(*coord).agg(ordered_join("journal_id", "journal_entry", sep).alias("journal_entries"))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.text import word_terms
 from trailspark.operators.common import rank_within
+from trailspark.session import cut_lineage
 
 
 def _bigrams(terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,8 +131,8 @@ def embed(df: DataFrame, text_col: str = "journal_story", num_features: int = 40
 
     The hashed term counts are persisted once, so the texts are tokenised
     a single time for both the IDF fit and the transform.  Returns
-    ``(DataFrame with `out`, fitted IDF model)``.  A pretrained embedding
-    can replace this by supplying an ``array<float>`` column.
+    ``(DataFrame with `out`, fitted IDF model, persisted counts)``; the caller
+    unpersists the counts.
     """
     from pyspark import StorageLevel
     tf = (HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=num_features)
@@ -139,91 +140,127 @@ def embed(df: DataFrame, text_col: str = "journal_story", num_features: int = 40
           .persist(StorageLevel.MEMORY_AND_DISK))
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf)
     vec = Normalizer(inputCol="_idf", outputCol=out, p=2.0).transform(idf.transform(tf))
-    return vec.drop("_tf", "_idf"), idf
+    return vec.drop("_tf", "_idf"), idf, tf
 
 
-def fit_clusters(features: DataFrame, k: int, seed: int = 42, max_iter: int = 20, vec_col: str = "features"):
-    """Seeded k-means; returns ``(rows with 'cluster', model)``.
+def fit_clusters(df: DataFrame, id_col: str, k: int, text_col: str = "journal_story", keep: tuple[str, ...] = (),
+                 seed: int = 42, max_iter: int = 20) -> DataFrame:
+    """Seeded k-means over the document vectors: ``(id, keep..., cluster, features)``.
 
-    The features are persisted (memory, spilling to disk) for the
-    iterations: without it every Lloyd step would re-read and re-tokenise
-    the texts.
+    Vectors are persisted for the iterations and released when the assignment is
+    written to the shared checkpoint folder; the result reads that copy.
     """
     from pyspark import StorageLevel
-    feats = features.persist(StorageLevel.MEMORY_AND_DISK)
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=vec_col, predictionCol="cluster")
-    model = km.fit(feats)
-    return model.transform(feats), model
-
-
-def label_topics(clustered: DataFrame, id_col: str, min_topic_size: int, cluster_col: str = "cluster") -> DataFrame:
+    feats, _, tf = embed(df.select(id_col, *keep, text_col), text_col)
+    feats = feats.drop(text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(feats)
+        return cut_lineage(model.transform(feats).select(id_col, *keep, "cluster", "features"))
+    finally:
+        feats.unpersist()
+        tf.unpersist()
+
+
+def label_topics(clustered: DataFrame, id_col: str, min_topic_size: int, cluster_col: str = "cluster",
+                 by: tuple[str, ...] = ()) -> DataFrame:
     """Clusters smaller than ``min_topic_size`` become -1; the others are
-    renumbered 0..k-1 by size descending (ties: smallest member id).
+    renumbered 0..k-1 by size descending (ties: smallest member id), inside
+    each group of ``by`` (T15) if given.  Every row is kept; one whose group or
+    cluster is null keeps a null topic.
 
-    Returns ``(id, cluster, topic)``.
+    Returns ``(id, by..., cluster, topic)``.
+    """
+    keys = [*by, cluster_col]
+    sizes = clustered.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min(id_col).alias("first"))
+    kept = rank_within(sizes.where(F.col("size") >= min_topic_size), list(by), [F.desc("size"), F.asc("first")], None, "r")
+    ids = kept.select(*keys, (F.col("r") - 1).cast("int").alias("topic"))
+    known = F.lit(True)
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    return (clustered.select(id_col, *keys).join(ids, keys, "left")
+            .withColumn("topic", F.when(known, F.coalesce("topic", F.lit(-1)))).select(id_col, *keys, "topic"))
+
+
+def search_topics(df: DataFrame, id_col: str, target: int, sizes=(5, 4, 3, 2), text_col: str = "journal_story") -> DataFrame:
+    """Fit until the number of topics (-1 included) reaches ``target``, at most
+    once for each of ``sizes``: every fit lowers the minimum topic size and doubles
+    the number of clusters, from ``target``.  The last fit is kept if none reaches it.
+
+    Returns ``(id, cluster, features, topic, min_topic_size)``.
     """
-    sizes = clustered.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size"), F.min(id_col).alias("first"))
-    kept = rank_within(sizes.where(F.col("size") >= min_topic_size), [],
-                       [F.desc("size"), F.asc("first")], None, "r")
-    ids = kept.select(cluster_col, (F.col("r") - 1).cast("int").alias("topic"))
-    # at most k rows (one per cluster of the fitted model): bounded by construction
-    return (clustered.select(id_col, cluster_col).join(F.broadcast(ids), cluster_col, "left")
-            .withColumn("topic", F.coalesce("topic", F.lit(-1))))
-
-
-def target_search(clustered: DataFrame, id_col: str, target: int, sizes=(5, 4, 3, 2),
-                  cluster_col: str = "cluster") -> DataFrame:
-    """Lower ``min_topic_size`` (5, 4, 3, 2) until the number of topics
-    (-1 included) reaches ``target``; the clustering is fitted once and
-    cached, only the outlier rule changes.  Returns the chosen labelling
-    with a ``min_topic_size`` column."""
-    counts = clustered.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size")).cache()
-    chosen = sizes[-1]
-    for m in sizes:
-        row = counts.agg(F.sum(F.when(F.col("size") >= m, 1).otherwise(0)).alias("kept"),
-                         F.max(F.when(F.col("size") < m, 1).otherwise(0)).alias("has_out")).first()
-        n_topics = (row["kept"] or 0) + (row["has_out"] or 0)
-        chosen = m
-        if n_topics >= target:
+    for attempt, size in enumerate(sizes):
+        fitted = fit_clusters(df, id_col, target << attempt, text_col)
+        labels = cut_lineage(label_topics(fitted, id_col, size))
+        if labels.select("topic").distinct().count() >= target:
             break
-    counts.unpersist()
-    return label_topics(clustered, id_col, chosen, cluster_col).withColumn("min_topic_size", F.lit(chosen))
+    return fitted.join(labels.select(id_col, "topic"), id_col).withColumn("min_topic_size", F.lit(size))
+
+
+def topic_vectors(fitted: DataFrame, id_col: str, topic_col: str = "topic", vec_col: str = "features") -> DataFrame:
+    """``(topic, size, first, centroid)`` of the topics but -1: the mean of the sparse
+    document vectors by a partial aggregation, without exploding them."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+    means = fitted.where((F.col(topic_col) != -1)).groupBy(topic_col).agg(
+        F.count(F.lit(1)).alias("size"), F.min(id_col).alias("first"), Summarizer.mean(F.col(vec_col)).alias("m"))
+    return means.select(F.col(topic_col).alias("topic"), "size", "first", vector_to_array("m").alias("centroid"))
 
 
-def reduce_topics(assign: DataFrame, vectors: DataFrame, nr_topics: int, id_col: str,
-                  topic_col: str = "topic", vec_col: str = "centroid"):
-    """Keep the ``nr_topics - 1`` largest topics (plus -1) and merge every
-    other topic into its most similar kept topic (cosine of the topic
-    vectors); ids renumbered by size.  ``nr_topics`` is an upper bound.
+def merge_topics(vectors: DataFrame, nr_topics: int = 1, min_similarity: float | None = None) -> DataFrame:
+    """The merge log ``(step, topic, into, similarity)``.
 
-    Returns ``(assignments, merge_log)``; the log (T18) lists
-    ``(step, topic, into, similarity)`` with steps smallest topic first.
+    With ``nr_topics`` the smallest topic (ties: the later first id) is merged into its
+    most similar one until that many are left (1: the whole hierarchy).  With
+    ``min_similarity`` (``auto``) the most similar pair is merged, the smaller into the
+    larger, while it is at least that similar.  The merged vector is the mean by
+    size.  ``vectors`` (:func:`topic_vectors`) holds one row per topic, at most the number of
+    clusters asked for; documents are not touched.
     """
-    sizes = assign.where(F.col(topic_col) != -1).groupBy(topic_col).agg(
-        F.count(F.lit(1)).alias("size"), F.min(id_col).alias("first"))
-    ranked = rank_within(sizes, [], [F.desc("size"), F.asc("first")], None, "r")
-    keep_n = max(nr_topics - 1, 1)
-    kept = ranked.where(F.col("r") <= keep_n).select(topic_col)
-    small = ranked.where(F.col("r") > keep_n).select(topic_col, "size", "first")
-    # small x kept topics only
-    v = vectors.select(topic_col, vec_col)
-    sims = cosine_pairs(v.join(small.select(topic_col), topic_col), v.join(kept, topic_col), topic_col, vec_col)
-    cand = sims.join(small.withColumnRenamed(topic_col, "topic_a"), "topic_a")
-    best = cand.groupBy("topic_a", "size", "first").agg(
-        F.max_by(F.struct("topic_b", "similarity"), F.struct("similarity", -F.col("topic_b"))).alias("b"))
-    log = rank_within(best.select(F.col("topic_a").alias("topic"), F.col("b.topic_b").alias("into"),
-                                  F.col("b.similarity").alias("similarity"), "size", "first"),
-                      [], [F.asc("size"), F.desc("first")], None, "step").drop("size", "first")
-    mapping = log.select(F.col("topic").alias(topic_col), F.col("into"))
-    merged = (assign.join(F.broadcast(mapping), topic_col, "left")
-              .withColumn(topic_col, F.coalesce("into", F.col(topic_col))).drop("into"))
-    new_sizes = merged.where(F.col(topic_col) != -1).groupBy(topic_col).agg(
-        F.count(F.lit(1)).alias("size"), F.min(id_col).alias("first"))
-    renum = rank_within(new_sizes, [], [F.desc("size"), F.asc("first")], None, "r").select(
-        topic_col, (F.col("r") - 1).cast("int").alias("_new"))
-    out = (merged.join(F.broadcast(renum), topic_col, "left")
-           .withColumn(topic_col, F.coalesce("_new", F.lit(-1))).drop("_new"))
-    return out, log
+    import numpy as np
+    rows = sorted(vectors.collect(), key=lambda r: r["topic"])
+    ids, size, first = [r["topic"] for r in rows], [r["size"] for r in rows], [r["first"] for r in rows]
+    v = np.array([r["centroid"] for r in rows], float).reshape(len(rows), -1)
+    live, log = list(range(len(rows))), []
+    while len(live) > max(1, nr_topics):
+        unit = v[live] / np.maximum(np.linalg.norm(v[live], axis=1, keepdims=True), 1e-300)
+        sim = unit @ unit.T
+        np.fill_diagonal(sim, -2)
+        if min_similarity is None:
+            a = min(range(len(live)), key=lambda i: (size[live[i]], -first[live[i]]))
+            b = int(sim[a].argmax())
+        else:
+            a, b = divmod(int(sim.argmax()), len(live))
+            if sim[a, b] < min_similarity:
+                break
+            a, b = sorted((a, b), key=lambda i: (size[live[i]], -first[live[i]]))
+        x, y = live[a], live[b]
+        log.append((len(log) + 1, ids[x], ids[y], float(sim[a, b])))
+        v[y] = (v[y] * size[y] + v[x] * size[x]) / (size[x] + size[y])
+        size[y], first[y] = size[x] + size[y], min(first[x], first[y])
+        live.remove(x)
+    return vectors.sparkSession.createDataFrame(log, "step int, topic int, into int, similarity double")
+
+
+def reduce_topics(assign: DataFrame, log: DataFrame, id_col: str, topic_col: str = "topic") -> DataFrame:
+    """The assignments after the merges of ``log``, ids renumbered by size (-1 stays)."""
+    into = {r["topic"]: r["into"] for r in log.orderBy("step").collect()}  # one row per merged topic
+
+    def last(t):
+        while t in into:
+            t = into[t]
+        return t
+
+    mapping = assign.sparkSession.createDataFrame([(t, last(t)) for t in into], f"{topic_col} int, _into int")
+    merged = (assign.join(mapping, topic_col, "left")
+              .withColumn("_into", F.coalesce("_into", F.when(F.col(topic_col) != -1, F.col(topic_col)))))
+    labels = label_topics(merged, id_col, 1, "_into").select(id_col, F.col("topic").alias("_new"))
+    return (merged.drop("_into").join(labels, id_col)
+            .withColumn(topic_col, F.coalesce("_new", F.col(topic_col))).drop("_new").select(*assign.columns))
+
+
+def skipped_groups(df: DataFrame, by: str, min_rows: int) -> DataFrame:
+    """Groups with too few rows to be clustered, and their size."""
+    return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") < min_rows)
 
 
 def assign_topics(journals: DataFrame, assignments: DataFrame, words: DataFrame, id_col: str = "journal_id",

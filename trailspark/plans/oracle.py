@@ -565,3 +565,22 @@ SELECT p.post_id, p.trail_name, CAST(p.latitude AS DOUBLE) / 700 AS latitude, s.
 FROM posts p JOIN shelters s
   ON CAST(round(CAST(p.latitude AS DOUBLE) / 700 * 100) AS BIGINT) = CAST(round(CAST(s.latitude AS DOUBLE) / 700 * 100) AS BIGINT)
 """
+
+# ---------------------------------------------------------------------------
+# T10 / T15 over given cluster columns
+
+SQL["topic_label_given"] = """
+WITH s AS (SELECT label, count(*) AS n, min(vec_id) AS f FROM embeddings WHERE label IS NOT NULL GROUP BY label HAVING count(*) >= 45),
+r AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, f) - 1 AS INTEGER) AS topic FROM s)
+SELECT vec_id, e.label, CASE WHEN e.label IS NOT NULL THEN coalesce(topic, -1) END AS topic FROM embeddings e LEFT JOIN r ON r.label = e.label
+"""
+SQL["topic_per_group_given"] = """
+WITH s AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents
+           WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang HAVING count(*) >= 5),
+r AS (SELECT source, lang, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, f) - 1 AS INTEGER) AS topic FROM s)
+SELECT doc_id, d.source, d.lang, CASE WHEN d.source IS NOT NULL AND d.lang IS NOT NULL THEN coalesce(topic, -1) END AS topic
+FROM documents d LEFT JOIN r ON r.source = d.source AND r.lang = d.lang
+"""
+SQL["topic_group_skipped"] = _with("""
+SELECT trail_club, count(*) AS rows FROM journals WHERE trail_club IS NOT NULL GROUP BY trail_club HAVING count(*) < 60
+""")

@@ -61,7 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_fit": topics.topic_fit,
     "topic_target_search": topics.topic_target_search,
     "topic_reduce": topics.topic_reduce,
+    "topic_reduce_auto": topics.topic_reduce_auto,
     "topic_hierarchy": topics.topic_hierarchy,
+    "topic_label_given": topics.topic_label_given,
+    "topic_per_group_given": topics.topic_per_group_given,
+    "topic_group_skipped": topics.topic_group_skipped,
     "topic_assign": topics.topic_assign,
     "topic_assign_english": topics.topic_assign_english,
     "emotion_location_topics": topics.emotion_location_topics,

@@ -7,6 +7,7 @@ convert to CSV or parquet first (see README).
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,28 +75,35 @@ def combine_by_name(frames: list[DataFrame], source_col: str | None = "source_no
 def combine_csv_folder(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
     """S3 + U1 for files whose headers differ.
 
-    The file listing comes from a ``binaryFile`` scan with only ``path``
-    selected (contents are pruned away).  Files are grouped by header and
-    each group is read with one scan, then unioned by name; a thousand
-    files sharing one header are a single scan.
+    One distributed text scan finds the first line of every file; the distinct
+    headers, not the files, decide how many scans follow: files that share
+    a header are read together, then the scans are unioned by name.
     """
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-               .select("path").orderBy("path"))
-    paths = [r["path"] for r in listing.collect()]
-    if not paths:
+    lines = (spark.read.option("pathGlobFilter", glob).text(folder)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                     F.col("value"), F.monotonically_increasing_id().alias("k")))
+    first = (lines.where("start = 0").groupBy("path").agg(F.min_by("value", "k").alias("header"))
+             .groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")))
+    groups = sorted((r["paths"] for r in first.collect()), key=lambda p: p[0])  # one row per distinct header
+    if not groups:
         raise FileNotFoundError(f"no {glob} files in {folder}")
-    by_header: dict[tuple, list[str]] = {}
-    for p in paths:
-        header = tuple(spark.read.option("header", True).csv(p).columns)
-        by_header.setdefault(header, []).append(p)
-    frames = [spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(ps)
-              for ps in by_header.values()]
+    frames = [spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(ps) for ps in groups]
     return combine_by_name(frames)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
-    """K1/K2/K4/K5: write a whole table; ``partition_by`` gives one folder per key."""
+    """K1-K6: write a whole table; ``partition_by`` gives one folder per key.
+
+    Overwriting a folder that the plan reads is refused (K6): write elsewhere and swap.
+    Appending to a table with other columns or types is refused (K3).
+    """
+    if mode == "overwrite":
+        target = unquote(urlparse(path).path).rstrip("/") + "/"
+        if any(unquote(urlparse(f).path).startswith(target) for f in df.inputFiles()):
+            raise ValueError(f"{path} is read by the plan that would overwrite it")
+    if mode == "append":
+        _check_append(df, path, fmt)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -104,6 +112,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.format(fmt).save(path)
 
 
+def _check_append(df: DataFrame, path: str, fmt: str) -> None:
+    from pyspark.errors import AnalysisException
+    try:
+        there = df.sparkSession.read.format(fmt).option("header", True).load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return
+        raise
+    kinds = fmt != "csv"  # CSV has names only
+    have = {f.name: f.dataType.simpleString() if kinds else "" for f in there.schema}
+    new = {f.name: f.dataType.simpleString() if kinds else "" for f in df.schema}
+    if have != new:
+        raise ValueError(f"columns of the appended rows differ from the table's: {new} and {have}")
+
+
 def read_word_list(spark: SparkSession, path: str, fmt: str = "text", column: str | None = None) -> DataFrame:
     """A user-supplied word list (one word per line, or one column of a
     table) as a lowercased, distinct ``word`` DataFrame."""
@@ -121,7 +144,8 @@ def with_row_index(df: DataFrame, name: str = "journal_id") -> DataFrame:
     ``monotonically_increasing_id`` is unique but depends on the input
     partitioning, so the numbered table is checkpointed once into the
     shared checkpoint folder: later reads (and recomputations after an
-    executor loss) see the same ids.
+    executor loss) see the same ids.  Ids rise inside a file; across files they
+    follow Spark's order of input splits, not the file names.
     """
     from trailspark.session import cut_lineage
     return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
