@@ -119,12 +119,12 @@ def top_topics_entries_long(df: DataFrame, n: int = 3, by: Sequence[str] = ()) -
     top = rank_within(g, by + ["location_name"], [F.desc("counts"), F.asc("latitude"), F.asc("longitude"),
                                                   F.asc("topic"), F.asc("topic_words")], n)
     words = top.groupBy(*coord).agg(ordered_join("rank", "topic_words", ", ").alias("top_topics"))
-    chosen = top.select(*coord, "topic").distinct()
+    chosen = top.select(*coord, "topic").distinct().join(words, coord)  # topic-level rows; the texts are joined once
     entries = (drop_null_keys(df, by + ["location_name"])
                .select(*by, "location_name", "topic", "journal_id",
                        F.coalesce(F.col("journal_story"), F.lit("None")).alias("journal_entry"))
                .join(chosen, by + ["location_name", "topic"]))
-    return words.join(entries, coord).select(*coord, "top_topics", "journal_id", "journal_entry")
+    return entries.select(*coord, "top_topics", "journal_id", "journal_entry")
 
 
 def join_entries(long_df: DataFrame, sep: str = " | ", by: Sequence[str] = ()) -> DataFrame:
