@@ -40,7 +40,7 @@ def fixture(seed):
         return rng.choice([x, x, x[:k] + "Z" + x[k:], x[:k] + x[k + 1:], x[:k] + "é" + x[k + 1:], x + "\r", x[1:]])
 
     texts = ["\n".join(edited(rng.choice(lines)) for _ in range(rng.randrange(0, 12))) for _ in range(60)]
-    return [(k, t) for k, t in enumerate(texts + [None, "", "\n\n", "same line of every document here\n" * 50])]
+    return [(k, t) for k, t in enumerate(texts + H.odd_texts() + ["long " * 30_000 + "x", None, "", "\n\n", "same line of every document here\n" * 50])]
 
 
 @pytest.mark.parametrize(("seed", "broadcast"), [(1, 1_000_000), (2, 0)])

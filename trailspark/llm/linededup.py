@@ -229,7 +229,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs`` with repeated lines taken out of ``text``, plus ``__n_lines`` and ``__n_dropped``.
 
-    Lines end at a newline.  Blank lines are kept, as are null texts (no lines) and empty ones (one blank line).
+    Lines end at a newline.  Blank lines (characters up to U+0020 and U+00A0 only) are kept, as are null texts (no lines) and empty ones (one blank line).
     The order of lines is (doc_id, line number), a null id first; repeated rows of an id share their
     lines' places and are changed alike.  An empty table gives an empty result.
     """
