@@ -45,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their ``shard`` and their ``slot`` in it."""
+    """All documents with their ``shard`` and their ``slot`` in it (columns of these names are replaced)."""
     keyed = docs.withColumn("__size", shard.text_size()).withColumn("__key", shard.record_key())
     out = shard.assign_shards(keyed)
     columns = [c for c in docs.columns if c not in ("shard", "slot")]

@@ -48,8 +48,8 @@ def test_equal_brute_force(spark, monkeypatch, seed, broadcast):
     monkeypatch.setattr(linededup, "MAX_BROADCAST_ROWS", broadcast)
     docs = fixture(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("lines", F.lit("clash"))
-    rows = linededup.dedup_lines(df.withColumnRenamed("lines", "line")).collect()
-    assert {r.doc_id: r.text for r in rows} == brute(docs) and all(r.line == "clash" for r in rows)
+    rows = linededup.dedup_lines(df).collect()
+    assert {r.doc_id: r.text for r in rows} == brute(docs) and all(r.lines == "clash" for r in rows)
     for r in rows:
         assert r["__n_lines"] - r["__n_dropped"] == (0 if r.text is None else len(r.text.split("\n"))) or r["__n_dropped"] == r["__n_lines"]
 

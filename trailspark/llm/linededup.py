@@ -233,7 +233,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The order of lines is (doc_id, line number), a null id first; repeated rows of an id share their
     lines' places and are changed alike.  An empty table gives an empty result.
     """
-    drops = materialize(duplicate_lines(docs, doc_id, text).select(F.col("doc_id").alias("__id"), "lines"))
+    drops = materialize(duplicate_lines(docs, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")))
     others = [c for c in docs.columns if c != text]
 
     def run(batches):
@@ -253,7 +253,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())],
                                              names=[*b.schema.names[:-2], "__text", "__n_lines", "__n_dropped"])
 
-    src = docs.join(_small(drops), F.col(doc_id).eqNullSafe(F.col("__id")), "left").select(*others, text_bytes(text).alias("__t"), "lines")
+    src = docs.join(_small(drops), F.col(doc_id).eqNullSafe(F.col("__id")), "left").select(*others, text_bytes(text).alias("__t"), "__lines")
     schema = src.select(*others, F.col("__t").alias("__text"), F.lit(0).cast("long").alias("__n_lines"), F.lit(0).cast("long").alias("__n_dropped")).schema
     out = map_texts(src, run, schema).withColumn("__text", F.col("__text").cast("string"))
     return out.select(*[F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns], "__n_lines", "__n_dropped")
