@@ -584,3 +584,20 @@ FROM documents d LEFT JOIN r ON r.source = d.source AND r.lang = d.lang
 SQL["topic_group_skipped"] = _with("""
 SELECT trail_club, count(*) AS rows FROM journals WHERE trail_club IS NOT NULL GROUP BY trail_club HAVING count(*) < 60
 """)
+
+SQL["journal_dates_strict"] = _with("""
+SELECT journal_id, date_text, CASE WHEN month(date) = 2 AND day(date) = 29 THEN NULL ELSE date END AS date FROM parsed
+""", _PARSE)
+SQL["json_nested_flatten"] = """
+SELECT event_id, value AS lat, CAST(user_id AS DOUBLE) AS lon, event_type AS timezone,
+  CASE WHEN event_id % 5 <> 0 THEN event_id END AS dt, CASE WHEN event_id % 5 <> 0 THEN value END AS temp,
+  CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 0 THEN user_id END AS weather_id,
+  CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 0 THEN event_type END AS weather_main
+FROM events
+"""
+
+SQL["attribution_chain"] = "WITH " + _POSTS + """
+SELECT a.post_id, a.trail_name, a.latitude, s.shelter_name AS location_name, a.club AS trail_club
+FROM assigned a LEFT JOIN shelters s ON CAST(round_even(a.latitude, 0) AS BIGINT) = CAST(round_even(s.latitude, 0) AS BIGINT)
+WHERE a.latitude IS NOT NULL AND coalesce(trim(a.club), '') <> ''
+"""

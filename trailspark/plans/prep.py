@@ -92,6 +92,14 @@ def club_fill(spark, sf_dir):
     return G.fill_no_club(G.assign_clubs(S.posts(spark, sf_dir), S.clubs(spark, sf_dir)))
 
 
+def attribution_chain(spark, sf_dir):
+    """Q12 -> Q13 -> Q14 -> F1 as one plan: shelter and club of every post
+    with a position, blank clubs filled, posts without a club left out."""
+    located = G.attach_shelters(S.posts(spark, sf_dir), S.shelters(spark, sf_dir), decimals=0, how="left")
+    filled = G.fill_no_club(G.assign_clubs(located, S.clubs(spark, sf_dir)))
+    return filled.where(F.col("trail_club") != G.NO_CLUB).select("post_id", "trail_name", "latitude", "location_name", "trail_club")
+
+
 def year_dated_rows(spark, sf_dir):
     """Date text with its year appended (the year a file name would carry)."""
     o = S.read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_custkey", "o_orderdate"])
@@ -115,6 +123,12 @@ def journal_dates(spark, sf_dir):
     return TS.parse_dates(j)
 
 
+def journal_dates_strict(spark, sf_dir):
+    """X13 as the reference parses: Feb 29 is rejected."""
+    j = S.journals(spark, sf_dir, with_label=False, columns=["journal_id", "date_text"])
+    return TS.parse_dates(j, strict_leap=True)
+
+
 def weekly_sentiment(spark, sf_dir):
     """Weekly mean of the event value, empty weeks kept as null."""
     e = S.read_table(spark, sf_dir, "events", ["ts", "value"])
@@ -135,6 +149,21 @@ def json_flatten(spark, sf_dir):
     return flatten_object(e, "props", "k BIGINT", keep=["event_id", "event_type"])
 
 
+def json_nested_flatten(spark, sf_dir):
+    """Nested payloads (written as JSON from the events) flattened to one
+    row per observation and weather item; every fifth payload lacks ``data``,
+    every third has an empty weather list."""
+    from trailspark.operators.payload import flatten_weather
+    e = S.read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
+    weather = F.filter(F.array(F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("main"))),
+                       lambda _: F.col("event_id") % 3 != 0)
+    data = F.array(F.struct(F.col("event_id").alias("dt"), F.col("value").alias("temp"), weather.alias("weather")))
+    payload = F.struct(F.col("value").alias("lat"), F.col("user_id").cast("double").alias("lon"), F.col("event_type").alias("timezone"),
+                       F.when(F.col("event_id") % 5 != 0, data).alias("data"))
+    flat = flatten_weather(e.select("event_id", F.to_json(payload).alias("payload")), keep=["event_id"])
+    return flat.select("event_id", "lat", "lon", "timezone", "dt", "temp", "weather_id", "weather_main")
+
+
 def missing_values_report(spark, sf_dir):
     """null counts of the journal columns the reports depend on."""
     from trailspark.operators.quality import null_report

@@ -40,9 +40,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "club_first_match": prep.club_first_match,
     "club_unassigned": prep.club_unassigned,
     "club_fill": prep.club_fill,
+    "attribution_chain": prep.attribution_chain,
     "year_dated_rows": prep.year_dated_rows,
     "date_parse_rejects": prep.date_parse_rejects,
     "journal_dates": prep.journal_dates,
+    "journal_dates_strict": prep.journal_dates_strict,
     "weekly_sentiment": prep.weekly_sentiment,
     "stop_list": text.stop_list,
     "clean_substring": text.clean_substring,
@@ -52,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_values_report": prep.missing_values_report,
     "json_required_key": prep.json_required_key,
     "json_flatten": prep.json_flatten,
+    "json_nested_flatten": prep.json_nested_flatten,
     "term_counts": topics.term_counts,
     "term_counts_bigrams": topics.term_counts_bigrams,
     "topic_words_ctfidf": topics.topic_words_ctfidf,
