@@ -74,3 +74,37 @@ def test_no_python_on_the_main_path(spark):
     df = spark.createDataFrame([(1, "http://a.net/", "<link rel=canonical href=http://b.com/>")], PAGES)
     plan = U.judge(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "MapInArrow"))
+
+
+def alias(url):
+    """Node of the URLs below: no query but ``utm_`` parameters."""
+    host, path = host_path(url)
+    return host + path.rstrip("/")
+
+
+def test_targets_that_are_no_pages_are_judged(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">'.format, '<meta http-equiv="refresh" content="0; url={}">'.format
+    links = {  # page: targets, few of which are pages
+        "http://a.com/1": [canonical("http://blocked.net/x")], "http://a.com/2": [refresh("http://blocked.net/x")],
+        "http://b.com/1": [canonical("http://blocked.net/y"), refresh("http://ok.org/fr/y")],  # blocked, but also explicitly allowed
+        "http://c.com/1": [canonical("http://c.com/2")], "http://c.com/2": [refresh("http://c.com/3")], "http://c.com/3": [canonical("HTTP://Z.NET/?utm_a=1#f")],
+        "http://d.com/1": [canonical("http://example.net/en/p")], "http://d.com/2": [refresh("http://sub.example.net/fr/p")],
+        "http://e.example.com/de": [canonical("/de/")], "http://f.com/1": [canonical("http://nowhere.com/q")],
+        "http://g.net/p": [canonical("http://ok.org/fr/g")], "http://g.com/p": [canonical("http://g.net/p")],
+        "no scheme": [canonical("http://h.com/de")], "http://h.com/de": []}
+    rows = [(i, u, "<html>" + "".join(tags)) for i, (u, tags) in enumerate(links.items())]
+    got = {r.page_id: r for r in U.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    edges = {u: [m.strip('"').rstrip('">') for m in (t.split("href=")[-1].split("url=")[-1] for t in tags)] for u, tags in links.items()}
+    edges = {u: ["http://e.example.com" + t if t.startswith("/") else t for t in ts] for u, ts in edges.items() if "://" in u}
+    urls = set(edges) | {t for ts in edges.values() for t in ts}
+    pairs = {frozenset((alias(u), alias(t))) for u, ts in edges.items() for t in ts}
+    group = H.components({alias(u) for u in urls}, lambda a, b: frozenset((a, b)) in pairs)
+    actions = {}
+    for u in urls:
+        actions.setdefault(group[alias(u)], set()).add(rule_of(*host_path(u))[0])
+    for i, u in enumerate(links):
+        own, through = rule_of(*host_path(u))[0], actions.get(group.get(alias(u)), set()) if "://" in u else set()
+        want = own or ("block" if "block" in through and "allow" not in through else "allow")
+        assert got[i].verdict == want, u
+        assert got[i].component == (group[alias(u)] if "://" in u else None), u
+    assert [got[i].verdict for i in range(6)] == ["block", "block", "allow", "block", "block", "block"]

@@ -7,6 +7,7 @@ A URL that no rule fits is judged through its aliases.  URLs are nodes up to wha
 fragment, a trailing slash, ``utm_`` parameters); a page's canonical link and its refresh redirect are edges.
 Connected components of these edges are groups of aliases, and a component with a blocked URL blocks
 its members that no rule fits, unless it also has an explicitly allowed one; all others are allowed.
+Link targets are judged by the rules like pages, whether or not they are rows of the table.
 """
 
 from __future__ import annotations
@@ -83,6 +84,18 @@ def _rules(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "rule_host string, rule_path string, action string, rule string")
 
 
+def _best(urls: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys``, ``rule`` and ``action`` of the longest rule that fits the host and path of ``urls``, where one does."""
+    # the host itself and all its parents
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fits = (urls.where("host <> ''").select(*keys, F.col("path").alias("__path"), F.explode(parents).alias("rule_host"))
+            .join(rules, "rule_host").where(F.col("__path").startswith(F.col("rule_path"))))
+    longest = F.struct(F.length("rule"), F.col("action") == ALLOW, F.col("rule"))
+    best = fits.groupBy(*keys).agg(F.max_by(F.struct("rule", "action"), longest).alias("best"))
+    return best.select(*keys, "best.rule", "best.action")
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of ``pages``: ``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``component``.
 
@@ -92,22 +105,20 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, page_id: s
     """
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     targets = F.array_compact(F.array(canonical_link(F.col("html")), refresh_target(F.col("html"))))
-    targets = F.transform(F.coalesce(targets, F.array().cast("array<string>")), lambda t: alias_of(resolved(t, F.col("url"))))
+    targets = F.transform(F.coalesce(targets, F.array().cast("array<string>")), lambda t: resolved(t, F.col("url")))
+    targets = F.transform(F.filter(targets, lambda t: F.instr(t, F.lit("://")) > 0), lambda t: F.struct(
+        alias_of(t).alias("node"), host_of(t).alias("host"), path_of(t).alias("path")))
     narrow = materialize(src.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                                    alias_of(F.col("url")).alias("node"), F.array_compact(targets).alias("targets")))
+                                    alias_of(F.col("url")).alias("node"), targets.alias("targets")))
     narrow = narrow.withColumn("uid", F.monotonically_increasing_id())
-    # the host itself and all its parents
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    fits = (narrow.where("host <> ''").select("uid", "path", F.explode(parents).alias("rule_host"))
-            .join(_rules(pages, rules), "rule_host").where(F.col("path").startswith(F.col("rule_path"))))
-    longest = F.struct(F.length("rule"), F.col("action") == ALLOW, F.col("rule"))
-    best = fits.groupBy("uid").agg(F.max_by(F.struct("rule", "action"), longest).alias("best"))
-    judged = materialize(narrow.join(best, "uid", "left").select(
-        "page_id", "host", "path", "node", "targets", F.col("best.rule").alias("rule"), F.col("best.action").alias("action")))
-    edges = judged.where(F.size("targets") > 0).select(F.col("node").alias("a"), F.explode("targets").alias("b"))
+    table = _rules(pages, rules)
+    judged = materialize(narrow.join(_best(narrow, table, ["uid"]), "uid", "left").select("page_id", "host", "path", "node", "targets", "rule", "action"))
+    links = judged.where("node is not null").select("node", F.explode("targets").alias("target"))
+    linked = _best(links.select("target.*").distinct(), table, ["node", "host", "path"])
+    edges = links.select(F.col("node").alias("a"), F.col("target.node").alias("b"))
     comp = connected_components(edges, "a", "b").withColumnRenamed("component", "root")
-    nodes = judged.where("node is not null").groupBy("node").agg(
+    every = judged.where("node is not null").select("node", "action").unionByName(linked.select("node", "action"))
+    nodes = every.groupBy("node").agg(
         F.max(F.col("action") == BLOCK).alias("blocked"), F.max(F.col("action") == ALLOW).alias("allowed"))
     members = materialize(nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")))
     roots = members.groupBy("root").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
