@@ -47,3 +47,31 @@ def test_one_class_no_rows_and_bags(spark):
     for n in (0, 1, 7, 8, 11, 12, 100):
         at = toxicity.bag_starts(n)
         assert at[0] == 0 and (np.diff(np.append(at, n)) > 0).all() | (n == 0)
+
+
+def test_long_texts_do_not_end_the_sample(spark, monkeypatch):
+    texts, toxic = corpus()
+    words = [w for t, y in zip(texts, toxic, strict=True) if not y for w in t.split()]
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 2 * len(words))  # less than the long text alone
+    head = spark.range(10_000, 20_000).orderBy(F.xxhash64("id")).first().id
+    rows = [(head, " ".join(words * 4), 0), *[(k, t, y) for k, (t, y) in enumerate(zip(texts, toxic, strict=True))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    first = docs.orderBy(F.xxhash64("doc_id")).first()
+    assert first.doc_id == head and len(first.text.split()) > toxicity.TRAIN_WORDS
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic").where("doc_id % 3 <> 1 or doc_id >= 10000"))
+    held = [(model.score(words_of(t.encode()), {}) >= 0.7, y) for k, (t, y) in enumerate(zip(texts, toxic, strict=True)) if k % 3 == 1]
+    assert np.mean([hit for hit, y in held if y]) > 0.9 and np.mean([hit for hit, y in held if not y]) < 0.05
+
+
+def test_word_caps_and_spread():
+    assert toxicity.word_caps({1: [(10, 3)], 0: [(70, 1)]}, 100) == {1: 10, 0: 70}  # all fit
+    assert toxicity.word_caps({1: [(90, 1)], 0: [(10, 1)]}, 100) == {1: 90, 0: 10}
+    assert toxicity.word_caps({1: [(10, 2)], 0: [(5, 4), (1000, 2)]}, 100) == {1: 10, 0: 30}  # (100 - 20 - 4 * 5) / 2
+    assert toxicity.word_caps({1: [(1000, 2)], 0: [(1000, 5)]}, 100) == {1: 25, 0: 10}
+    assert toxicity.word_caps({0: [(1000, 5)]}, 100) == {1: 0, 0: 20} and toxicity.word_caps({}, 100) == {1: 0, 0: 0}
+    for n in (0, 1, 2, 3, 7, 20, 1001):
+        for cap in (2, 3, 7, 19, 20, 1000):
+            words = [b"%d" % k for k in range(n)]
+            got = [int(w) for w in toxicity.spread(words, cap)]
+            assert len(got) <= cap and got == sorted(set(got)) and (n > cap or len(got) == n) and len(got) >= min(n, cap - 1)
+            assert n <= cap or all(b - a == 1 and a % 2 == 0 for a, b in zip(got[::2], got[1::2], strict=True))

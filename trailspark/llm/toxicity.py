@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import map_texts, text_bytes
+from trailspark.llm.common import map_texts, materialize, text_bytes
 from trailspark.llm.decontaminate import words_of
 
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 BAG = 2
-# Bounds of what the fit reads: labelled texts of each class, and words in all.
+# Bounds of what the fit reads: labelled texts of each class, and words in all (longer texts in part, see word_caps).
 TRAIN_DOCS = {1: 1200, 0: 2400}
 TRAIN_WORDS = 2_000_000
 # Subwords of fewer training texts get no vector.
@@ -159,16 +159,63 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, text: st
     return docs.select(F.col(doc_id).alias("__id"), text_bytes(text).alias("__t")).join(F.broadcast(few), "__id")
 
 
+def word_caps(sizes: dict[int, list[tuple[int, int]]], budget: int) -> dict[int, int]:
+    """Words read of one text of each class at most, from (words, texts) of the sampled texts: no text is left out.
+
+    Toxic texts come first, since a part of one may hold nothing toxic: they take half of ``budget``, or more if the
+    others need less.  The cap of a class is the largest with which its texts fit; all are whole if they fit.
+    """
+    total = {y: sum(n * m for n, m in rows) for y, rows in sizes.items()}
+    caps, left = {}, budget
+    for label in (1, 0):
+        rows = sorted(sizes.get(label, []))
+        room = max(budget // 2, budget - total.get(0, 0)) if label else left
+        texts = sum(m for _, m in rows)
+        caps[label] = rows[-1][0] if rows else 0
+        for n, m in rows:
+            if n * texts > room:
+                caps[label] = max(BAG, room // texts)
+                break
+            room, texts = room - n * m, texts - m
+        left = max(0, left - sum(min(n, caps[label]) * m for n, m in rows))
+    return caps
+
+
+def spread(words: list[bytes], cap: int) -> list[bytes]:
+    """At most ``cap`` words (one bag at least): all of a text that is no longer, else bags at even distances."""
+    if len(words) <= cap:
+        return words
+    k, bags = max(1, cap // BAG), len(words) // BAG
+    return [w for i in range(k) for w in words[(2 * i + 1) * bags // (2 * k) * BAG:][:BAG]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", text: str = "text") -> Model:
-    """Train on a bounded sample of the labelled rows (``TRAIN_DOCS`` texts of each class, ``TRAIN_WORDS`` words)."""
-    rows = sample(docs, labels, doc_id, label, text).orderBy(F.xxhash64("__id"), "__id", "__t")
-    texts, ys, words = [], [], 0
+    """Train on a bounded sample of the labelled rows (``TRAIN_DOCS`` texts of each class, ``TRAIN_WORDS`` words).
+
+    Every sampled text is learned from; if they have more words in all, the longest are read in part (:func:`word_caps`).
+    """
+    def measure(batches):
+        for b in batches:
+            n = [len(words_of(t)) if t is not None else 0 for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "__n"])
+
+    picked = sample(docs, labels, doc_id, label, text).select("__id", "__y", "__t")
+    picked = materialize(map_texts(picked, measure, picked.withColumn("__n", F.lit(0).cast("long")).schema))
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for r in picked.groupBy("__y", "__n").count().collect():
+        sizes.setdefault(r["__y"], []).append((r["__n"], r["count"]))
+    caps = word_caps(sizes, TRAIN_WORDS)
+
+    def read(batches):
+        for b in batches:
+            kept = [b" ".join(spread(words_of(t), caps[y])) if t is not None else None
+                    for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary())], names=["__id", "__y", "__t"])
+
+    rows = map_texts(picked.drop("__n"), read, picked.drop("__n").schema).orderBy(F.xxhash64("__id"), "__id", "__t")
+    texts, ys = [], []
     for r in rows.toLocalIterator():
-        w = words_of(bytes(r["__t"])) if r["__t"] is not None else []
-        if words + len(w) > TRAIN_WORDS and texts:
-            break
-        words += len(w)
-        texts.append(w)
+        texts.append(words_of(bytes(r["__t"])) if r["__t"] is not None else [])
         ys.append(r["__y"])
     return train(texts, np.array(ys, int))
 
