@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailspark.llm import decontaminate, langid, mixing, shard, simhash
 from trailspark.llm.common import documents, materialize
@@ -22,13 +23,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model).where(F.col("__lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """128 bits of all columns of a row in two numbers: equal rows have equal keys, in every run."""
+    plain = [F.col(f.name) if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(f.name)) for f in docs.schema.fields]
+    parts = [p for c in plain for p in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component; repeated rows of an id are one document."""
-    groups = simhash.near_duplicates(docs)
-    kept = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).count())
-    one = docs.join(kept.select("__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    # texts are shuffled once more only if an id comes in several rows
-    return one if kept.where("count > 1").isEmpty() else one.dropDuplicates(["doc_id"])
+    """One row of each SimHash component: that of the smallest id, or of the smallest key (:func:`row_keys`) where ids are equal.
+
+    Rows without an id come after all others of their component, and are kept if no other is.  A row belongs to the
+    component of its own text, whatever its id: different texts without an id, or under one id, are different documents.
+    """
+    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), row_keys(docs), strict=True)))
+    rows = simhash.components(keyed, keep=("__k1", "__k2")).groupBy("root", "doc_id", "__k1", "__k2").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__k1", "__k2", "n")).alias("first"))
+    kept = materialize(first.select("first.__k1", "first.__k2", "first.n"))
+    one = keyed.join(kept.select("__k1", "__k2"), ["__k1", "__k2"], "left_semi").select(*keyed.columns)
+    # texts are shuffled once more only if a kept row comes several times, equal in all columns
+    return (one if kept.where("n > 1").isEmpty() else one.dropDuplicates(["__k1", "__k2"])).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

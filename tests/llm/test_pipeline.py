@@ -53,6 +53,23 @@ def test_dedup_stage_keeps_the_first_of_each_component(stages):
     assert sorted(r.doc_id for r in after) == [i for i in want if want[i] == i] and len(after) < len(before)
 
 
+def test_dedup_stage_with_null_and_repeated_ids(spark):
+    rng = H.rng(4)
+    texts = [" ".join(H.words(rng, 60)) for _ in range(12)]
+    rows = [*[(None, t) for t in texts[:6]], (None, texts[0]), (None, texts[0]), (None, texts[1].upper()),  # no id, two texts with copies
+            (5, texts[6]), (None, texts[6]), (4, texts[6].upper()), (4, texts[6].upper()),  # a copy without an id, the first one repeated
+            (7, texts[7]), (7, texts[8]), (7, texts[8].upper()), (8, texts[7]),  # two texts under one id
+            (9, texts[9]), (2, texts[10])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 3}", None) for k, (i, t) in enumerate(rows)], H.DOCS).repartition(3)
+    got = P.near_dedup(spark, docs, "").collect()
+    assert docs.columns == P.near_dedup(spark, docs, "").columns
+    want = [*[(None, t.lower()) for t in texts[:6]], (4, texts[6]), (7, texts[7]), (7, texts[8]), (9, texts[9]), (2, texts[10])]
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.doc_id, r.text.lower()) for r in got) == order(want)
+    again = P.near_dedup(spark, docs.orderBy(F.desc("source"), "text").repartition(2), "").collect()
+    assert order(map(tuple, again)) == order(map(tuple, got))  # whatever the order of the rows
+
+
 def test_decontamination_stage_drops_documents_with_passages(stages):
     _, before, _, after = stages[2][2]
     item = re.findall(WORD, stages[1].lower())

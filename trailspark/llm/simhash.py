@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +219,19 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 2, bucket_limit: int = BUC
     return edges.unionByName(stars)
 
 
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2,
+               bucket_limit: int = BUCKET_LIMIT, keep: Sequence[str] = ()) -> DataFrame:
+    """:func:`near_duplicates` with the columns ``keep`` and ``root``, a fingerprint that names the component also without ids."""
+    fp = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep), out="fp", shingle=shingle))
+    groups = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    comp = connected_components(link_fingerprints(groups.select("fp"), max_bits, bucket_limit), "a", "b")
+    rooted = groups.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    labelled = rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+    return fp.join(labelled, "fp").select("doc_id", *keep, "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                     max_bits: int = 2, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (signed 64 bits), ``component_id``.
@@ -228,14 +242,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sequence; repeated rows are returned as often as given; an empty table gives an empty result.
     A null ``doc_id`` is never the smallest (null only if no member has an id).
     """
-    fp = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), out="fp", shingle=shingle))
-    groups = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comp = connected_components(link_fingerprints(groups.select("fp"), max_bits, bucket_limit), "a", "b")
-    rooted = groups.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labelled = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return fp.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    return components(docs, doc_id, text, shingle, max_bits, bucket_limit).select("doc_id", "fp", "component_id")
 
 
 def hex64(fp: Column) -> Column:
