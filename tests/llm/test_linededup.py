@@ -59,3 +59,25 @@ def test_no_rows_and_repeated_rows(spark):
     got = sorted((r.doc_id or 0, r.text) for r in linededup.dedup_lines(df).collect())
     assert got == [(0, "b"), (1, "a line"), (1, "a line"), (2, "")]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_keep_their_own_lines(spark):
+    common = "a line that many documents share, "
+    rows = [(None, "u\nX"), (None, "X\nv"), (7, "p\nY"), (7, "Y\nq\nr"), (7, "s"),
+            (None, f"one\n{common}1"), (None, f"{common}2\ntwo"), (3, f"three\nthree and\n{common}3"), (3, f"{common}4"), (None, None), (3, "")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    kept = [x for r in got for x in (r.text or "").split("\n") if x]
+    once = ["u", "v", "X", "p", "q", "r", "s", "Y", "one", "two", "three", "three and"]
+    assert sorted(x for x in kept if not x.startswith(common)) == sorted(once)
+    shared = [r for r in got if common in (r.text or "")]
+    assert len(shared) == 1 and shared[0].doc_id is None and sum(x.startswith(common) for x in kept) == 1  # a null id comes first
+    assert all(r["__n_lines"] - r["__n_dropped"] in (0, len((r.text or "").split("\n"))) for r in got)
+
+
+def test_links_are_verified_on_the_line_of_their_own_text(spark):
+    a, b = "the first of two lines, x", "the first of two lines, y"
+    # of the line numbers of id 1, text b is near only to the text in one of its rows
+    rows = [(1, f"something quite different here\n{a}"), (1, f"no\nnothing of the kind at all"), (2, f"z\n{b}")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([*rows[:2], (2, "z")])

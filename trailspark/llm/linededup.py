@@ -11,14 +11,15 @@ for an insertion).  All such variants are emitted as hashed keys, but only where
    substitution key are one edit apart from each other, and an insertion key links the longer lines to the shorter: stars;
 4. the edit distance of every link is verified on the texts.
 
-Classes are components of links; the earliest line of a class (document id, then line number) stays.
+Classes are components of links; the earliest line of a class (document id, then line number) stays.  A document is
+its id and the hash of its text: texts without an id, or different ones under one id, keep their own lines.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import connected_components, map_texts, materialize, text_bytes
@@ -94,13 +95,18 @@ def _lines(texts: list[bytes | None]):
         yield k - len(group), counts, code, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64), ends.astype(np.int64)
 
 
+def _copy(text: str) -> Column:
+    """128 bits of a text; with the id they name a document."""
+    return F.unhex(F.md5(text_bytes(text)))
+
+
 def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per line that is not blank: doc_id, line (from 0), h1, h2, n (characters), keys (coarse block keys)."""
+    """One row per line that is not blank: doc_id, copy (hash of the text), line (from 0), h1, h2, n (characters), keys (coarse block keys)."""
     def run(batches):
         cache: dict = {}
         for b in batches:
-            ids = b.column(0)
-            for first, counts, code, start, end in _lines(b.column(1).to_pylist()):
+            ids, copies = b.column(0), b.column(1)
+            for first, counts, code, start, end in _lines(b.column(2).to_pylist()):
                 solid = np.concatenate([[0], np.cumsum((code > 32) & (code != 0xA0))])
                 keep = np.flatnonzero(solid[end] > solid[start])
                 doc = np.repeat(np.arange(len(counts)), counts)
@@ -112,15 +118,16 @@ def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 keys = np.zeros((len(a), 2 * COARSE), np.uint64)
                 keys[near] = _block_keys(h, a[near], e[near], COARSE)
                 used = np.where(near, 2 * COARSE, 0)
+                at = pa.array(first + doc[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(first + doc[keep])), pa.array(number[keep], pa.int32()),
+                    [ids.take(at), copies.take(at), pa.array(number[keep], pa.int32()),
                      pa.array(_mix(h.raw(a, e) + _mix(size)).view(np.int64)), pa.array(_mix(h_two.raw(a, e) + _mix(size)).view(np.int64)),
                      pa.array((e - a), pa.int64()),
                      pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]), pa.int32()), pa.array(keys[near].view(np.int64).ravel()))],
-                    names=["doc_id", "line", "h1", "h2", "n", "keys"])
+                    names=["doc_id", "copy", "line", "h1", "h2", "n", "keys"])
 
-    src = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("t")).where("t is not null")
-    schema = src.select("doc_id", F.lit(0).alias("line"), *[F.lit(0).cast("long").alias(c) for c in ("h1", "h2", "n")],
+    src = docs.select(F.col(doc_id).alias("doc_id"), _copy(text).alias("copy"), text_bytes(text).alias("t")).where("t is not null")
+    schema = src.select("doc_id", "copy", F.lit(0).alias("line"), *[F.lit(0).cast("long").alias(c) for c in ("h1", "h2", "n")],
                         F.lit(None).cast("array<bigint>").alias("keys")).schema
     return map_texts(src, run, schema)
 
@@ -131,8 +138,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, places: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(lid, line text) of the distinct lines at ``places`` (doc_id, line, lid)."""
-    per_doc = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "lid")).alias("want")))  # at most a document's lines
+    """(lid, line text) of the distinct lines at ``places`` (doc_id, copy, line, lid)."""
+    per_doc = materialize(places.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("line", "lid")).alias("want")))  # at most a document's lines
 
     def run(batches):
         for b in batches:
@@ -140,13 +147,12 @@ def _texts_of(docs: DataFrame, places: DataFrame, doc_id: str, text: str) -> Dat
             for data, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 lines = data.split(b"\n")
                 for w in want:
-                    if w["line"] < len(lines):  # else another row of this id
-                        lid.append(w["lid"])
-                        out.append(lines[w["line"]])
+                    lid.append(w["lid"])
+                    out.append(lines[w["line"]])
             yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int64()), pa.array(out, pa.binary())], names=["lid", "t"])
 
-    src = docs.select(F.col(doc_id).alias("__id"), text_bytes(text).alias("t")).where("t is not null")
-    joined = src.join(_small(per_doc), F.col("__id").eqNullSafe(F.col("doc_id"))).select("t", "want")
+    src = docs.select(F.col(doc_id).alias("__id"), _copy(text).alias("__copy"), text_bytes(text).alias("t")).where("t is not null")
+    joined = src.join(_small(per_doc), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__copy") == F.col("copy"))).select("t", "want")
     return map_texts(joined, run, "lid long, t binary")
 
 
@@ -206,34 +212,34 @@ def near_links(lines: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``lines``: the line numbers (from 0) that repeat an earlier line, for documents that have any."""
+    """``doc_id``, ``copy`` and ``lines``: the line numbers (from 0) that repeat an earlier line, for documents that have any."""
     table = materialize(line_table(docs, doc_id, text))
-    lines = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("m"),
+    lines = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "copy", "line")).alias("first"), F.count("*").alias("m"),
                                           F.min("n").alias("n"), F.max("keys").alias("keys"))
     lines = materialize(materialize(lines).withColumn("lid", F.monotonically_increasing_id()))
     keyed = lines.where(F.col("n") >= MIN_CHARS).select("lid", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     survivors = keyed.join(shared, "key", "left_semi").select("lid").distinct()
-    places = lines.join(survivors, "lid", "left_semi").select("first.doc_id", "first.line", "lid")
+    places = lines.join(survivors, "lid", "left_semi").select("first.doc_id", "first.copy", "first.line", "lid")
     texts = materialize(_texts_of(docs, places, doc_id, text).dropDuplicates(["lid"]))
     comp = connected_components(near_links(texts), "a", "b")
     rooted = lines.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left").select(
         "h1", "h2", "first", "m", F.coalesce("component", "lid").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("earliest"), F.sum("m").alias("total"))
     repeated = rooted.join(classes.where("total > 1"), "root").select("h1", "h2", "earliest")
-    drop = table.select("doc_id", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("earliest.doc_id")) & (F.col("line") == F.col("earliest.line"))))
-    return drop.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # at most a document's lines
+    drop = table.select("doc_id", "copy", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(
+        ~(F.col("doc_id").eqNullSafe(F.col("earliest.doc_id")) & (F.col("copy") == F.col("earliest.copy")) & (F.col("line") == F.col("earliest.line"))))
+    return drop.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # at most a document's lines
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs`` with repeated lines taken out of ``text``, plus ``__n_lines`` and ``__n_dropped``.
 
     Lines end at a newline.  Blank lines (characters up to U+0020 and U+00A0 only) are kept, as are null texts (no lines) and empty ones (one blank line).
-    The order of lines is (doc_id, line number), a null id first; repeated rows of an id share their
-    lines' places and are changed alike.  An empty table gives an empty result.
+    The order of lines is (doc_id, hash of the text, line number), a null id first; rows with the same id (or none) and
+    the same text are one document and are changed alike, all others lose lines of their own.  An empty table gives an empty result.
     """
-    drops = materialize(duplicate_lines(docs, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")))
+    drops = materialize(duplicate_lines(docs, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), F.col("lines").alias("__lines")))
     others = [c for c in docs.columns if c != text]
 
     def run(batches):
@@ -253,7 +259,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())],
                                              names=[*b.schema.names[:-2], "__text", "__n_lines", "__n_dropped"])
 
-    src = docs.join(_small(drops), F.col(doc_id).eqNullSafe(F.col("__id")), "left").select(*others, text_bytes(text).alias("__t"), "__lines")
+    src = docs.join(_small(drops), F.col(doc_id).eqNullSafe(F.col("__id")) & _copy(text).eqNullSafe(F.col("__copy")), "left").select(*others, text_bytes(text).alias("__t"), "__lines")
     schema = src.select(*others, F.col("__t").alias("__text"), F.lit(0).cast("long").alias("__n_lines"), F.lit(0).cast("long").alias("__n_dropped")).schema
     out = map_texts(src, run, schema).withColumn("__text", F.col("__text").cast("string"))
     return out.select(*[F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns], "__n_lines", "__n_dropped")
