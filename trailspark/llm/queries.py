@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailspark.llm import decontaminate, embeddings, langid, linededup, lm, mixing, shard, simhash, toxicity, url_sql, urlfilter
+from trailspark.llm import audit_sql, decontaminate, embeddings, filteraudit, langid, linededup, lm, mixing, runs, shard, simhash, tokenids, toxicity, url_sql, urlfilter
 from trailspark.llm.common import doc_fold, documents, materialize
 
 
@@ -95,6 +95,31 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document from the packed files that were written."""
+    import public_tokenizers
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    return tokenids.read_ids(tokenids.write_ids(documents(spark, sf_dir), vocabulary, end_id=2, by_word=True))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document, some of which get repeats planted."""
+    docs = documents(spark, sf_dir).select("doc_id", runs.planted().alias("text"))
+    best = F.col("__best")
+    return runs.detect_runs(docs, digest=True).select(
+        "doc_id", F.col("__n_runs").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * __best.length div __best.period").alias("exponent_milli"),
+        F.col("__runs_sha256").alias("runs_sha256"), F.col("__collapsed_sha256").alias("collapsed_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all 120 orders, for every source."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return filteraudit.audit(filteraudit.failure_masks(docs, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -106,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_token_ids": op11_token_ids,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -195,4 +223,5 @@ SQL: dict[str, str] = {
     "op2_url_filter": url_sql.SQL,
     "op9_mixing": OP9_SQL,
     "op10_embedding_dedup": OP10_SQL,
+    "op13_filter_audit": audit_sql.SQL,
 }
