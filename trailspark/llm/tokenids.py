@@ -16,6 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,70 +75,77 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.numbers_of = _Numbers(), None
+        """Forget all words; number 0 is a document's end."""
+        self.numbers = _Numbers({None: 0})
         self.numbers.new = []
-        self.start, self.length, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.values, self.used = np.zeros(4096, np.uint32), 0
-        self.numbers[None]  # a document's end
-        self.numbers.new = []
-        self._append([[self.end_id]])
+        self._store(np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end_id], np.uint32))
 
-    def _append(self, ids: list) -> None:
-        n, total = len(ids), sum(map(len, ids))
-        while self.n + n > len(self.start):
+    def _store(self, numbers: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> None:
+        """Ids of words: those of ``numbers``, one after another."""
+        while len(self.numbers) > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + total > len(self.values):
+        while self.used + len(values) > len(self.values):
             self.values = np.resize(self.values, 2 * len(self.values))
-        lengths = np.fromiter(map(len, ids), np.int64, n)
-        self.length[self.n:self.n + n] = lengths
-        self.start[self.n:self.n + n] = self.used + np.cumsum(lengths) - lengths
-        self.values[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.n, self.used = self.n + n, self.used + total
-
-    def _each(self, words: list[str]) -> list:
-        return [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _plain(self, words: list[str]) -> list:
-        if not self.suffix:
-            return self._each(words)
-        out = []
-        for k in range(0, len(words), 1000):
-            some = words[k:k + 1000]
-            ids = np.array(self.merges.encode(" ".join(w.translate(self.letters) for w in some), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                out += self._each(some)
-                continue
-            out += [x.tolist() for x in np.split(ids, cuts[:-1])]
-        return out
+        self.length[numbers], self.start[numbers] = lengths, self.used + np.cumsum(lengths) - lengths
+        self.values[self.used:self.used + len(values)] = values
+        self.used += len(values)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, one after another, and how many there are up to each."""
+        lengths = self.length[numbers]
+        after = np.cumsum(lengths)
+        total = int(after[-1]) if len(after) else 0
+        return self.values[np.repeat(self.start[numbers] - (after - lengths), lengths) + np.arange(total)], after
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        some = " ".join([w if w.isascii() else w.translate(self.letters) for w in words])
+        ids = np.array(self.merges.encode(some, add_special_tokens=False).ids, np.uint32)
+        after = np.flatnonzero(self.ends[ids]) + 1
+        return (np.diff(after, prepend=0), ids) if len(after) == len(words) else self._each(words)
 
     def _learn(self) -> None:
         """Ids of all new words; a word of letters and stops takes those of its lower-case letters and of its stops."""
-        first, parts, k = self.n, {}, 0
-        new = self.numbers.new
+        numbers, new = self.numbers, self.numbers.new
+        units: dict[bool, list] = {True: [], False: []}  # (word, number) that are encoded, by whether they are plain letters
+        joined, letters, stops = [], [], []  # numbers of words, and of their two parts (0: none)
+        k, first = 0, len(numbers) - len(new)
         while k < len(new):  # parts that are new go to the end of the list
-            word = new[k].decode("utf-8", "replace") if isinstance(new[k], bytes) else new[k]
-            m = PLAIN.fullmatch(word)
-            if m and (m[2] or word != m[1].lower()):
-                parts[k] = [self.numbers[p.encode()] for p in (m[1].lower(), m[2]) if p]
-            else:
-                parts[k] = (bool(m), word)
-            k += 1
-        ids: list = [None] * len(new)
-        for plain, encode in ((True, self._plain), (False, self._each)):
-            at = [k for k, p in parts.items() if isinstance(p, tuple) and p[0] is plain]
-            for j, x in zip(at, encode([parts[j][1] for j in at]) if at else [], strict=True):
-                ids[j] = x
-        for k, p in parts.items():
-            if isinstance(p, list):
-                ids[k] = [i for number in p for i in (
-                    ids[number - first] if number >= first else self.values[self.start[number]:self.start[number] + self.length[number]].tolist())]
+            words = b"\n".join(new[k:]).decode("utf-8", "replace").split("\n")
+            for number, word in enumerate(words, first + k):
+                m = PLAIN.fullmatch(word)
+                if m is None:
+                    units[False].append((word, number))
+                    continue
+                stem, tail = m.groups()
+                low = stem.lower()
+                if not tail and low == word:
+                    units[True].append((word, number))
+                    continue
+                joined.append(number)
+                letters.append(numbers[low.encode()])
+                stops.append(numbers[tail.encode()] if tail else 0)
+            k += len(words)
+        for plain, size in ((True, 1000), (False, 10_000)):
+            encode = self._plain if plain and self.suffix else self._each
+            for k in range(0, len(units[plain]), size):
+                words, at = zip(*units[plain][k:k + size], strict=True)
+                self._store(np.array(at, np.int64), *encode(words))
+        if joined:
+            at, parts = np.array(joined, np.int64), np.array([letters, stops], np.int64)
+            lengths = self.length[parts] * (parts > 0)
+            pairs = parts.T.ravel()
+            self._store(at, lengths.sum(axis=0), self._gather(pairs[pairs > 0])[0])
         self.numbers.new = []
-        self._append(ids)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        if self.n > CACHE_WORDS:
+        if len(self.numbers) > CACHE_WORDS:
             self.clear()
         flat: list = []
         ends = np.zeros(len(texts), np.int64)
@@ -148,11 +156,8 @@ class WordEncoder:
         number = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
         if self.numbers.new:
             self._learn()
-        lengths = self.length[number].astype(np.int64)
-        after = np.cumsum(lengths)
-        total = int(after[-1]) if len(after) else 0
-        ids = self.values[np.repeat(self.start[number] - (after - lengths), lengths) + np.arange(total)]
-        return np.split(ids, after[ends - 1][:-1]) if len(texts) else []
+        ids, after = self._gather(number)
+        return np.split(ids, after[ends - 1][:-1]) if texts else []
 
 
 class TextEncoder:
