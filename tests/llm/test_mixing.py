@@ -37,12 +37,52 @@ def test_given_targets_and_the_kept_share(spark, docs):
         t, p = np.array([r["__tokens"] for r in rows]), np.array([r["__probability"] for r in rows])
         assert len(rows) == docs.count() and ((p >= 0) & (p <= 1)).all() and {r.weight for r in rows} == {"x"}
         assert abs((t * p).sum() - kw.get("keep", mixing.KEEP) * t.sum()) < 1e-6 * t.sum()
-        assert all(r["__sampled"] == (u < r["__probability"]) for r, u in zip(rows, [unit(r.doc_id) for r in rows], strict=True))
+        assert all(r["__sampled"] == (r["__draw"] < r["__probability"]) for r in rows)
 
 
-def unit(doc_id):
+def unit(doc_id, text):
     import hashlib
-    return int(hashlib.md5(str(doc_id).encode()).hexdigest()[:13], 16) / 2 ** 52
+    whole = hashlib.md5((text or "").encode()).hexdigest()
+    return int(hashlib.md5(f"{'' if doc_id is None else doc_id}/{whole}".encode()).hexdigest()[:13], 16) / 2 ** 52
+
+
+def test_rows_are_drawn_by_id_and_text(spark):
+    rows = [(1, "a"), (1, "b"), (None, "a"), (None, "b"), (None, None), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("u", mixing.unit_hash())
+    got = [r.u for r in df.collect()]
+    assert got == [unit(i, t) for i, t in rows] and len(set(got)) == 6
+
+
+def odd_corpus(spark):
+    """A third of the rows without an id, a third under seven ids; words of one kind, so that cells are (source, language)."""
+    rng = H.rng(21)
+    rows = []
+    for k in range(2040):
+        doc_id = None if k % 3 == 0 else k % 7 if k % 3 == 1 else k
+        lang = "en" if rng.random() < 0.8 else "fr"
+        rows.append((doc_id, "zz " * 20 + str(k), lang, "src", 0))
+    return spark.createDataFrame(rows, H.DOCS)
+
+
+def test_null_and_repeated_ids_are_sampled_row_by_row(spark):
+    df = odd_corpus(spark)
+    rows = mixing.mix(df.withColumns(mixing.features(df)).withColumn("weight", F.lit("kept"))).collect()
+    assert len(rows) == 2040 and {r.weight for r in rows} == {"kept"}
+    for part in (lambda i: i is None, lambda i: i is not None and i < 7, lambda i: i is not None and i >= 7):
+        for lang in ("en", "fr"):
+            own = [r for r in rows if part(r.doc_id) and r.lang == lang]
+            share, p = sum(r["__sampled"] for r in own) / len(own), own[0]["__probability"]
+            assert abs(share - p) < 4.5 * (p * (1 - p) / len(own)) ** 0.5 + 1e-9, (lang, share, p)
+
+
+def test_pipeline_keeps_the_sampled_rows_without_shuffling_texts(spark):
+    import corpus_pipeline
+    df = odd_corpus(spark)
+    want = sorted((r.text for r in mixing.mix(df.withColumns(mixing.features(df))).collect() if r["__sampled"]))
+    kept = corpus_pipeline.mixture(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == want
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
 
 
 def test_sampling_rate_two_ways(spark):

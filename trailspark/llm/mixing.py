@@ -110,23 +110,26 @@ def sampling_rate(fitted: DataFrame, keep: float = KEEP, max_local: int = MAX_LO
     return high
 
 
-def unit_hash(doc_id: str = "doc_id") -> Column:
-    """A number in [0, 1) made from the id (a null id like an empty text)."""
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+def unit_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A number in [0, 1) made from the id and the text (nulls like empty texts): different texts without an id, or under
+    one id, are drawn for themselves."""
+    whole = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("/"), whole).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def features(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> dict[str, Column]:
-    """Margins and tokens of a document; null categories are empty texts."""
+def features(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, Column]:
+    """Margins, tokens and draw of a document; null categories are empty texts."""
     return {"__source": F.coalesce(F.col(source).cast("string"), F.lit("")), "__lang": F.coalesce(F.col(lang).cast("string"), F.lit("")),
-            "__topic": topic_of(text), "__tokens": token_count(text)}
+            "__topic": topic_of(text), "__tokens": token_count(text), "__draw": unit_hash(doc_id, text)}
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", power: float = TEMPER, keep: float = KEEP,
+def mix(docs: DataFrame, power: float = TEMPER, keep: float = KEEP,
         targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """``docs`` (with the columns of :func:`features`) plus ``__weight``, ``__probability`` and ``__sampled``.
 
-    Documents of cells without tokens have weight and probability 0.  Repeated rows share one fate; an empty table
+    Rows are sampled, not ids: null and repeated ids change nothing but that rows equal in id and text share one draw.
+    Documents of cells without tokens have weight and probability 0.  An empty table
     gives an empty result; other columns are kept as they are.
     """
     margins = ["__source", "__lang", "__topic"]
@@ -140,4 +143,4 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", power: float = TEMPER, keep: fl
         fitted = F.broadcast(fitted)
     probability = F.least(F.lit(1.0), F.col("__weight") * F.lit(rate))
     return (docs.join(fitted, margins, "left").fillna(0.0, ["__weight"]).withColumn("__probability", probability)
-            .withColumn("__sampled", unit_hash(doc_id) < F.col("__probability")))
+            .withColumn("__sampled", F.col("__draw") < F.col("__probability")))

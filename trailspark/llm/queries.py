@@ -170,10 +170,10 @@ OP9_SQL = f"""
 WITH raw AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 counted AS (
-  SELECT doc_id, source, lang, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens,
+  SELECT doc_id, source, lang, md5(t) AS h, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens,
     [{", ".join(f"({c})" for c in _COUNTS.values())}] AS n FROM raw),
 d AS MATERIALIZED (
-  SELECT doc_id, source, lang, tokens,
+  SELECT doc_id, source, lang, tokens, h,
     CASE WHEN list_max(n) <= 0 THEN '{mixing.NO_TOPIC}' ELSE [{", ".join(f"'{k}'" for k in _COUNTS)}][list_position(n, list_max(n))] END AS topic
   FROM counted),
 cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0),
@@ -191,11 +191,11 @@ rates AS (
   FROM fitted WHERE weight > 0),
 best AS (SELECT rate FROM rates WHERE rate * weight <= 1 ORDER BY weight DESC LIMIT 1),
 joined AS (
-  SELECT doc_id, source, lang, topic, tokens, coalesce(weight, 0.0) AS weight,
+  SELECT doc_id, source, lang, topic, tokens, h, coalesce(weight, 0.0) AS weight,
     least(1.0, coalesce(weight, 0.0) * (SELECT rate FROM best)) AS probability
   FROM d LEFT JOIN (SELECT source, lang, topic, weight FROM fitted) USING (source, lang, topic))
 SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
-  CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:13] AS BIGINT) / 4503599627370496.0 < probability AS sampled
+  CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || h)[1:13] AS BIGINT) / 4503599627370496.0 < probability AS sampled
 FROM joined
 """
 
