@@ -52,10 +52,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents whose expected token shares are the target weights."""
-    narrow = materialize(docs.select("doc_id", *[c.alias(k) for k, c in mixing.features(docs).items()]))
-    sampled = mixing.mix(narrow).where("__sampled").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(sampled, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """A sample of documents whose expected token shares are the target weights.
+
+    Each row is drawn by its id and text: rows without an id, or different texts under one id, are sampled for
+    themselves, and rows equal in both share one draw.  Texts are read twice and not shuffled; only the table of cells is joined.
+    """
+    return mixing.mix(docs.withColumns(mixing.features(docs))).where("__sampled").select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
