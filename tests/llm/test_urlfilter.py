@@ -108,3 +108,29 @@ def test_targets_that_are_no_pages_are_judged(spark):
         assert got[i].verdict == want, u
         assert got[i].component == (group[alias(u)] if "://" in u else None), u
     assert [got[i].verdict for i in range(6)] == ["block", "block", "allow", "block", "block", "block"]
+
+
+def test_what_is_no_link_and_references(spark, tmp_path):
+    import duckdb
+
+    from trailspark.llm import url_sql
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [  # url, html, verdict
+        ("http://a.com/1", link("/go?u=http://bad.net/x"), "allow"), ("http://a.com/2", '<meta http-equiv=refresh content="0;url=/login?next=https://evil.net/y">', "allow"),
+        ("http://a.com/3", link("mailto:x@bad.net"), "allow"), ("http://a.com/4", link("javascript:go('http://bad.net/')"), "allow"), ("http://a.com/5", link("#http://bad.net/"), "allow"),
+        ("http://b.com/1", "<!-- " + link("http://bad.net/") + " -->", "allow"), ("http://b.com/2", "<script>var x = '" + link("http://bad.net/") + "'</script>", "allow"),
+        ("http://b.com/3", "<SCRIPT type=a>" + link("http://bad.net/"), "allow"), ("http://b.com/4", "<!-- x -->" + link("http://bad.net/") + "<!-- y -->", "block"),
+        ("http://b.com/5", "<title>" + link("http://bad.net/") + "</title>" + link("http://c.net/q"), "block"), ("http://b.com/6", "<!-- " + link("http://bad.net/"), "allow"),
+        ("http://c.com/r?a=1&b=2", link("http://bad.net/c"), "block"), ("http://c.com/1", link("http://c.com/r?a=1&amp;b=2"), "block"),
+        ("http://c.com/2", link("/r?a=1&#38;b=2"), "block"), ("http://c.com/3", link("/r?a=1&#x26;b=2"), "block"), ("http://c.com/4", link("http://c.com/r?a=1&b=3"), "allow"),
+        ("http://d.com/p", link("?z=1"), "block"), ("http://d.com/p?z=1", link("http://bad.net/d"), "block"), ("http://d.com/é", link("http://bad.net/e"), "block"),
+        ("http://d.com/7", link("/&#xe9;"), "block"), ("http://d.com/8", link("/&#0;&#xD800;&#99999999999999999999;&#;"), "allow"), ("http://d.com/9", link(""), "allow")]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(pages)], PAGES)
+    got = {r.page_id: r.verdict for r in U.judge(df).collect()}
+    assert {pages[k][0]: v for k, v in got.items()} == {u: v for u, _, v in pages}
+    plain = [k for k, (_, h, _) in enumerate(pages) if "http-equiv" not in h and "&#" not in h and 'href="?' not in h and 'href="/' not in h]
+    df.where(F.col("page_id").isin(plain)).coalesce(1).write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/part-*.parquet')")
+    want = {r.page_id: tuple(r) for r in U.judge(spark.read.parquet(f"{tmp_path}/pages")).collect()}
+    assert {r[0]: r for r in con.execute(url_sql.SQL).fetchall()} == want and len(want) > 10

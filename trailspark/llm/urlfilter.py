@@ -4,7 +4,8 @@ Rules (host, path prefix, action) judge a URL directly: a rule fits its host and
 with the rule's; the longest fitting rule wins (allow before block if two are equally long).
 
 A URL that no rule fits is judged through its aliases.  URLs are nodes up to what redirects commonly remove (scheme,
-fragment, a trailing slash, ``utm_`` parameters); a page's canonical link and its refresh redirect are edges.
+fragment, a trailing slash, ``utm_`` parameters); a page's canonical link and its refresh redirect are edges
+(not those in comments, scripts or other raw text; character references in them are decoded).
 Connected components of these edges are groups of aliases, and a component with a blocked URL blocks
 its members that no rule fits, unless it also has an explicitly allowed one; all others are allowed.
 Link targets are judged by the rules like pages, whether or not they are rows of the table.
@@ -56,6 +57,33 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(F.coalesce(*[F.when(p != "", p) for p in parts]))
 
 
+# Parts of a page whose tags are no tags of the page; an open one goes to the end.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template)\b.*?(?:</\1\s*>|\z)"
+_NAMED = (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&"))
+
+
+def visible(html: Column) -> Column:
+    """The page without comments, scripts and other raw text."""
+    return F.regexp_replace(html, _HIDDEN, " ")
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded: numeric ones and the five of XML; one that names no character becomes U+FFFD."""
+    parts = F.split(text, r"&#(?=[0-9]+;|[xX][0-9a-fA-F]+;)")
+
+    def decoded(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^([0-9]+|[xX][0-9a-fA-F]+);", 1)
+        code = F.when(number.rlike("^[xX]"), F.conv(F.substring(number, 2, 12), 16, 10)).otherwise(F.substring(number, 1, 12)).try_cast("long")
+        ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.concat(char, F.regexp_replace(part, "^[^;]*;", ""))
+
+    out = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))
+    for name, char in _NAMED:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
 def canonical_link(html: Column) -> Column:
     """Target of the first ``<link rel=canonical>``; null without one."""
     return _attribute(F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0), "href")
@@ -69,13 +97,16 @@ def refresh_target(html: Column) -> Column:
 
 
 def resolved(target: Column, base: Column) -> Column:
-    """A link target made absolute against the page's URL."""
+    """A link target made absolute against the page's URL; null for a fragment of the page and for schemes without ``//``
+    (``mailto:``, ``javascript:``).  ``://`` behind anything but a scheme is part of a path or query."""
     scheme = F.regexp_extract(base, r"^(.*?)://", 1)
     root = F.concat(scheme, F.lit("://"), host_of(base))
     folder = F.concat(root, F.coalesce(F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1), F.lit("")))
-    return (F.when(F.instr(target, F.lit("://")) > 0, target)
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | target.startswith("#"), F.lit(None).cast("string"))
             .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
             .when(target.startswith("/"), F.concat(root, target))
+            .when(target.startswith("?"), F.concat(root, path_of(base), target))
             .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(root, F.lit("/"))), target)))
 
 
@@ -103,14 +134,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, page_id: s
     empty html has no links; repeated rows get the same verdict; an empty table gives an empty result.
     ``component`` is the smallest node (see :func:`alias_of`) of the URL's aliases.
     """
-    src = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    src = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), visible(F.col(html).cast("string")).alias("html"))
     targets = F.array_compact(F.array(canonical_link(F.col("html")), refresh_target(F.col("html"))))
-    targets = F.transform(F.coalesce(targets, F.array().cast("array<string>")), lambda t: resolved(t, F.col("url")))
-    targets = F.transform(F.filter(targets, lambda t: F.instr(t, F.lit("://")) > 0), lambda t: F.struct(
+    targets = F.transform(F.coalesce(targets, F.array().cast("array<string>")), lambda t: resolved(unescaped(t), F.col("url")))
+    targets = F.transform(F.filter(targets, lambda t: F.coalesce(F.instr(t, F.lit("://")), F.lit(0)) > 0), lambda t: F.struct(
         alias_of(t).alias("node"), host_of(t).alias("host"), path_of(t).alias("path")))
     narrow = materialize(src.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                                    alias_of(F.col("url")).alias("node"), targets.alias("targets")))
-    narrow = narrow.withColumn("uid", F.monotonically_increasing_id())
+                                    alias_of(F.col("url")).alias("node"), targets.alias("targets"), F.monotonically_increasing_id().alias("uid")))
     table = _rules(pages, rules)
     judged = materialize(narrow.join(_best(narrow, table, ["uid"]), "uid", "left").select("page_id", "host", "path", "node", "targets", "rule", "action"))
     links = judged.where("node is not null").select("node", F.explode("targets").alias("target"))
