@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from trailspark.operators import language as L
+from trailspark.operators import merging as M
 from trailspark.operators import topics as T
 from trailspark.sources import tables as S
 
@@ -22,13 +23,15 @@ def test_kmeans_topics_contract(spark):
     assert [sizes[t] for t in real] == sorted((sizes[t] for t in real), reverse=True)  # ids by size
     assert lab.count() == j.count()                              # every row labelled
     vecs = T.topic_vectors(clustered.join(lab.select("journal_id", "topic"), "journal_id"), "journal_id")
-    log = T.merge_topics(vecs, 2)
-    reduced = T.reduce_topics(lab.select("journal_id", "topic"), log, "journal_id")
+    log = M.merge_log(vecs)
+    reduced = T.reduce_topics(lab.select("journal_id", "topic"), log, "journal_id", merges=max(len(real) - 2, 0))
     n_after = sorted(r["topic"] for r in reduced.where("topic != -1").select("topic").distinct().collect())
     assert n_after == list(range(min(2, len(real))))
-    assert log.count() == max(len(real) - 2, 0) and T.merge_topics(vecs).count() == len(real) - 1
+    assert log.count() == len(real) - 1 and reduced.count() == j.count()
     assert reduced.where("topic = -1").count() == sizes.get(-1, 0)
-    auto = T.merge_topics(vecs, 1, 0.3).collect()
+    three = T.reduce_to(lab.select("journal_id", "topic"), vecs, "journal_id", 3)
+    assert three.select("topic").distinct().count() == 3
+    auto = M.merge_log(vecs, 0.3).collect()
     assert all(r["similarity"] >= 0.3 for r in auto)
     sim = T.cosine_matrix(vecs)
     diag = [r["similarity"] for r in sim.where("topic_a = topic_b").collect()]

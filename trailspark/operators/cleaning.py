@@ -1,19 +1,17 @@
 """Text cleaning: stop lists (T4), substring removal (T1, T2), token filter
 (T3) and the valid-story masks (F7, F8).
 
-Word lists are DataFrames.  A list that is applied to every row as a
-sequence of substring removals (T1) has to reach each task whole, whatever
-its length: it is a scalar subquery, one array of words.  The vocabulary can
-be large, so token filtering (T2, T3) is a join: tokens are exploded with
-their position, joined with the vocabulary and the stop list (Spark picks a
-broadcast from the sizes it measures at run time, or splits a skewed
-shuffle), then regrouped per journal in position order.  One journal's
-tokens are bounded by its own length.  No job runs before the result is used.
+Word lists are DataFrames of any length.  Tokens are looked up inside their row, so stories are neither
+exploded nor shuffled: a list becomes a hash table, an array of buckets of words (a scalar subquery), and a token
+is compared with the words of its bucket.  Such a table reaches every task, so it is made only of lists that
+measure at most ``TABLE_BYTES``.  A larger list stays where it is, and the places and tokens of the stories
+are joined with it.  Both ways are in one plan; the measured size decides when it runs, and no job runs before
+the result is used.  The removal of substrings (T1) needs the whole list, in order, in each task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.text import blank_to_null, remove_substrings, tokens
@@ -54,35 +52,48 @@ def keep_raw(df: DataFrame, col: str = "journal_story", raw: str = "journal_stor
     return df.withColumn(raw, F.col(col))
 
 
-def _lookup(words: DataFrame, lower: bool, flag: str) -> DataFrame:
-    return words.select((F.lower("word") if lower else F.col("word")).alias("key")).distinct().withColumn(flag, F.lit(True))
+# Bytes of words (and eight for each) up to which a list is sent to every task as a table.
+TABLE_BYTES = 32 << 20
+# Words in a bucket of a table, on average.
+BUCKET_WORDS = 2
 
 
-def _filter_tokens(df: DataFrame, col: str, keep: DataFrame | None, drop: DataFrame | None,
-                   id_col: str = "journal_id", out: str = "_clean") -> DataFrame:
-    """Keep tokens whose lowercase form is in ``keep`` and not in ``drop``,
-    rejoined with single spaces into ``out``; every input row is kept.
+class WordTable:
+    """A list of words for look-ups inside a row, while it is small, or by a join."""
 
-    The text is read once: tokens are flagged by left joins (no row is
-    dropped), and the regroup by id carries the other columns with ``first``.
-    ``col`` keeps only whether it was null.
+    def __init__(self, words: DataFrame, limit: int | None = None):
+        self.words = words.select("word").where(F.col("word").isNotNull()).distinct()
+        limit = TABLE_BYTES if limit is None else limit
+        size = self.words.agg(F.coalesce(F.sum(F.octet_length("word") + 8), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n"))
+        self.small = size.select(F.col("bytes") <= limit)
+        # no bucket of a list that is too large, so its table is empty
+        buckets = size.select(F.when(F.col("bytes") <= limit, F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_WORDS))).alias("k"))
+        filled = self.words.withColumn("_k", buckets.scalar()).where(F.col("_k").isNotNull()).select(F.pmod(F.xxhash64("word"), F.col("_k")).alias("b"), "word")
+        empty = buckets.where(F.col("k").isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("b"), F.lit(None).cast("string").alias("word"))
+        rows = filled.unionByName(empty).groupBy("b").agg(F.collect_list("word").alias("w"))
+        self.table = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("t"))
+
+    @staticmethod
+    def has(table: Column, word: Column) -> Column:
+        return F.array_contains(F.get(table, F.pmod(F.xxhash64(word), F.size(table)).cast("int")), word)
+
+
+def _filter_tokens(df: DataFrame, col: str, words: DataFrame, id_col: str = "journal_id", out: str = "_clean", limit: int | None = None) -> DataFrame:
+    """``df`` with ``out``: the tokens of ``col`` whose lowercase form is in ``words``, rejoined with single spaces.
+
+    Every row is kept; a null text gives an empty result.  Ids are unique (they bring the places of kept tokens back to
+    their story if the list is too large for a table).
     """
-    others = [c for c in df.columns if c not in (id_col, col)]
-    toks = df.select(id_col, *others, F.col(col).isNull().alias("_null"),
-                     F.posexplode_outer(tokens(F.coalesce(F.col(col), F.lit("")))).alias("_pos", "_tok"))
-    toks = toks.withColumn("key", F.lower("_tok"))
-    ok = F.col("_tok").isNotNull()
-    if keep is not None:
-        toks = toks.join(_lookup(keep, True, "_in"), "key", "left")
-        ok = ok & F.col("_in").isNotNull()
-    if drop is not None:
-        toks = toks.join(_lookup(drop, False, "_out"), "key", "left")
-        ok = ok & F.col("_out").isNull()
-    kept = F.collect_list(F.when(ok, F.struct(F.col("_pos").alias("o"), F.col("_tok").alias("v"))))
-    cleaned = toks.groupBy(id_col).agg(
-        F.first("_null").alias("_null"), *[F.first(c).alias(c) for c in others],
-        F.array_join(F.transform(F.array_sort(kept), lambda x: x["v"]), " ").alias(out))
-    return cleaned.withColumn(col, F.when(~F.col("_null"), F.lit("x"))).drop("_null")
+    table = WordTable(words, limit)
+    whole = F.coalesce(F.col(col), F.lit(""))
+    inside = df.where(table.small.scalar()).withColumn("_table", table.table.scalar()).withColumn(out, F.array_join(
+        F.filter(tokens(whole), lambda t: WordTable.has(F.col("_table"), F.lower(t))), " ")).drop("_table")
+    large = df.where(~table.small.scalar())
+    places = large.select(id_col, F.posexplode(F.transform(tokens(whole), F.lower)).alias("_pos", "word"))
+    kept = places.join(table.words, "word", "left_semi").groupBy(id_col).agg(F.sort_array(F.collect_list("_pos")).alias("_kept"))
+    joined = large.join(kept, id_col, "left").withColumn("_tokens", tokens(whole)).withColumn(out, F.array_join(
+        F.transform(F.coalesce("_kept", F.array().cast("array<int>")), lambda k: F.get("_tokens", k)), " "))
+    return inside.unionByName(joined.select(*inside.columns))
 
 
 def clean_tokens(df: DataFrame, stop: DataFrame, vocabulary: DataFrame, col: str = "journal_story",
@@ -92,16 +103,21 @@ def clean_tokens(df: DataFrame, stop: DataFrame, vocabulary: DataFrame, col: str
     matches a lowercased token, as in the reference); punctuation glued to a
     word makes it fail the vocabulary.  Rows left with nothing become null.
     """
-    kept = _filter_tokens(df, col, vocabulary, stop, id_col)
+    words = _lowered(vocabulary).join(stop.select("word"), "word", "left_anti")
+    kept = _filter_tokens(df, col, words, id_col)
     return (kept.withColumn(col, F.when(F.col(col).isNotNull(), blank_to_null(F.col("_clean"))))
             .drop("_clean").select(*df.columns))
 
 
+def _lowered(words: DataFrame) -> DataFrame:
+    return words.select(F.lower("word").alias("word")).distinct()
+
+
 def clean_dict_substring(df: DataFrame, stop: DataFrame, vocabulary: DataFrame, col: str = "journal_story",
                          id_col: str = "journal_id") -> DataFrame:
     """Keep vocabulary tokens (rejoined with spaces), then T1 substring
     removal; double spaces left inside stay, ends are stripped."""
-    kept = _filter_tokens(df, col, vocabulary, None, id_col)
+    kept = _filter_tokens(df, col, _lowered(vocabulary), id_col)
     j = _remove_all(kept, F.col("_clean"), stop, "_rm")
     return (j.withColumn(col, F.when(F.col(col).isNotNull(), blank_to_null(F.col("_rm"))))
             .drop("_clean", "_rm").select(*df.columns))
@@ -112,8 +128,12 @@ def valid_story_mask(df: DataFrame, stop: DataFrame, col: str = "journal_story",
     """F8 (``lowercase``) / F7 stop-word part: a story is valid when it is
     non-null and some token (lowercased for F8) is not a stop word.
     Adds boolean ``valid``.  F7 also needs the language test (T5)."""
-    distinct = F.array_distinct(F.transform(tokens(col), lambda t: F.lower(t) if lowercase else t))
-    toks = df.where(F.col(col).isNotNull()).select(id_col, F.explode(distinct).alias("key"))
-    ok = (toks.join(_lookup(stop, False, "_out"), "key", "left_anti").select(id_col).distinct().withColumn("_ok", F.lit(True)))
-    return (df.join(ok, id_col, "left")
-            .withColumn("valid", F.col(col).isNotNull() & F.coalesce("_ok", F.lit(False))).drop("_ok"))
+    form = (lambda t: F.lower(t)) if lowercase else (lambda t: t)
+    table = WordTable(stop)
+    inside = df.where(table.small.scalar()).withColumn("_table", table.table.scalar()).withColumn("valid", F.coalesce(
+        F.exists(tokens(col), lambda t: ~WordTable.has(F.col("_table"), form(t))), F.lit(False))).drop("_table")
+    large = df.where(~table.small.scalar())
+    distinct = F.array_distinct(F.transform(tokens(col), form))
+    toks = large.where(F.col(col).isNotNull()).select(id_col, F.explode(distinct).alias("word"))
+    ok = toks.join(table.words, "word", "left_anti").select(id_col).distinct().withColumn("valid", F.lit(True))
+    return inside.unionByName(large.join(ok, id_col, "left").withColumn("valid", F.coalesce("valid", F.lit(False))).select(*inside.columns))

@@ -51,7 +51,11 @@ def unmatched_posts(posts: DataFrame, shelters: DataFrame, decimals: int = 2, la
 # ---------------------------------------------------------------------------
 # Range join, first club in file order wins, bounds inclusive.
 
-def club_pieces(clubs: DataFrame) -> DataFrame:
+# Different range bounds in one slice of the line.
+SLICE_BOUNDS = 8192
+
+
+def club_pieces(clubs: DataFrame, slice_bounds: int = SLICE_BOUNDS) -> DataFrame:
     """Resolve ordered, possibly overlapping club ranges into disjoint pieces.
 
     The boundaries of all valid ranges cut the line into points and open
@@ -60,46 +64,95 @@ def club_pieces(clubs: DataFrame) -> DataFrame:
     side.  Each fact row then matches at most one piece: the join needs no
     post-aggregation and keeps exactly one row per input row.
 
+    No task holds the whole lookup: sampled splitters cut the line into slices of about
+    ``slice_bounds`` different bounds.  A range is sent, clipped, to the slices in
+    which it begins and ends only; of the ranges that cover a slice from end to end just
+    the first club counts, and it is carried there by :func:`_carried`.  One sweep
+    per slice then finds its pieces.
+
     Columns: ``lo, hi, lo_incl, hi_incl, trail_club``.  Inverted ranges
     (start > end) never match, as in the reference.
     """
-    valid = (clubs.select("trail_club", "club_order", F.col("lat_start").cast("double").alias("s"),
-                          F.col("lat_end").cast("double").alias("e"))
+    valid = (clubs.select(F.col("lat_start").cast("double").alias("s"), F.col("lat_end").cast("double").alias("e"),
+                          F.struct(F.col("club_order").alias("o"), F.col("trail_club").cast("string").alias("club")).alias("w"))
              .where(valid_coordinate("s") & valid_coordinate("e") & (F.col("s") <= F.col("e"))))
-    # the lookup is one table of ranges; one task sweeps its sorted bounds once
+    ranges = cut_lineage(valid.groupBy("s", "e").agg(F.min("w").alias("w")))
+    bounds = ranges.select(F.explode(F.array("s", "e")).alias("x")).distinct()
+    n = bounds.count()
+    slices = max(1, -(-n // slice_bounds))
+    cuts = []
+    if slices > 1:  # slice k begins at cut k - 1; one number per slice reaches the driver
+        shares = [k / slices for k in range(1, slices)]
+        cuts = sorted(set(bounds.select(F.percentile_approx("x", shares, 100 * slices)).first()[0]))
+    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+
+    def slice_of(x):
+        return F.size(F.filter(edges, lambda c: c <= x))
+
+    dealt = ranges.select("*", slice_of(F.col("s")).alias("a"), slice_of(F.col("e")).alias("b"))
+    top, low = F.get(edges, F.col("k")), F.get(edges, F.col("k") - 1)  # null at the ends of the line
+    ends = (dealt.select("s", "e", "w", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("k"))
+            .select("k", F.when(F.col("a") == F.col("k"), F.col("s")).otherwise(low).alias("lo"),
+                    F.when(F.col("b") == F.col("k"), F.col("e")).otherwise(top).alias("hi"), "w"))
+    through = _carried(dealt.where(F.col("b") - F.col("a") > 1).select((F.col("a") + 1).alias("l"), F.col("b").alias("r"), "w"))
+    through = through.select("k", low.alias("lo"), top.alias("hi"), "w")
+    parts = ends.unionByName(through).groupBy("k", "lo", "hi").agg(F.min("w").alias("w"))
+    rows = parts.select("k", "lo", "hi", F.col("w.o").alias("o"), F.col("w.club").alias("club"), top.alias("end"))
     schema = "lo double, hi double, lo_incl boolean, hi_incl boolean, trail_club string"
-    ordered = valid.select("s", "e", "club_order", F.col("trail_club").cast("string").alias("club"))
-    return ordered.coalesce(1).mapInPandas(_sweep, schema)
+    return rows.groupBy("k").applyInPandas(_sweep, schema)
 
 
-def _sweep(batches):
-    """Disjoint pieces of the line with the first club that covers each.
+def _carried(spans: DataFrame) -> DataFrame:
+    """``k, w``: the smallest ``w`` of all spans [l, r) of slices that hold slice k.
+
+    A span is two overlapping windows of a power of two (the smallest of a set may be counted twice); windows are
+    halved level by level, keeping the smallest of each, so a span costs two rows however long it is.
+    """
+    level = F.floor(F.log2(F.col("r") - F.col("l")) + 1e-9).cast("int")
+    windows = spans.select(level.alias("j"), "l", "r", "w")
+    size = F.expr("shiftleft(1, j)")
+    windows = windows.select("j", F.explode(F.array(F.col("l"), F.col("r") - size)).alias("k"), "w").groupBy("j", "k").agg(F.min("w").alias("w"))
+    windows = cut_lineage(windows)
+    highest = windows.agg(F.max("j")).first()[0]
+    if highest is None:
+        return windows.select("k", "w")
+    now = windows.where(F.col("j") == highest).select("k", "w")
+    for j in range(highest - 1, -1, -1):
+        halves = now.select(F.explode(F.array(F.col("k"), F.col("k") + F.lit(1 << j))).alias("k"), "w")
+        now = halves.unionByName(windows.where(F.col("j") == j).select("k", "w")).groupBy("k").agg(F.min("w").alias("w"))
+    return now
+
+
+def _sweep(pdf):
+    """Disjoint pieces of one slice with the first club that covers each.
 
     A heap holds the ranges that have begun, smallest order first; ranges that
     have ended leave it when they come to its top, so the sweep is
-    O(ranges log ranges).
+    O(ranges log ranges).  ``end``, where the next slice begins, is a bound, but its point is the next slice's.
     """
     import heapq
 
     import pandas as pd
-    rows = [r for b in batches for r in b.itertuples(index=False, name=None)]
-    rows.sort()
+    end = pdf["end"].iloc[0]
+    rows = sorted(zip(pdf["lo"], pdf["hi"], pdf["o"], pdf["club"], strict=True), key=lambda r: r[:3])
     bounds = sorted({x for s, e, _, _ in rows for x in (s, e)})
     out, heap, k = [], [], 0
     for i, lo in enumerate(bounds):
+        if lo == end:
+            break
         while k < len(rows) and rows[k][0] <= lo:
-            heapq.heappush(heap, (rows[k][2], k))
+            heapq.heappush(heap, (rows[k][2], rows[k][3] or "", k))
             k += 1
-        while heap and rows[heap[0][1]][1] < lo:
+        while heap and rows[heap[0][2]][1] < lo:
             heapq.heappop(heap)
         if heap:
-            out.append((lo, lo, True, True, rows[heap[0][1]][3]))
+            out.append((lo, lo, True, True, rows[heap[0][2]][3]))
         # the open interval up to the next bound: ranges that end at lo don't reach it
-        while heap and rows[heap[0][1]][1] <= lo:
+        while heap and rows[heap[0][2]][1] <= lo:
             heapq.heappop(heap)
         if heap and i + 1 < len(bounds):
-            out.append((lo, bounds[i + 1], False, False, rows[heap[0][1]][3]))
-    yield pd.DataFrame(out, columns=["lo", "hi", "lo_incl", "hi_incl", "trail_club"])
+            out.append((lo, bounds[i + 1], False, False, rows[heap[0][2]][3]))
+    return pd.DataFrame(out, columns=["lo", "hi", "lo_incl", "hi_incl", "trail_club"])
 
 
 def _in_piece(lat, p) -> F.Column:

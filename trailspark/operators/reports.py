@@ -133,6 +133,34 @@ def join_entries(long_df: DataFrame, sep: str = " | ", by: Sequence[str] = ()) -
     return long_df.groupBy(*coord).agg(ordered_join("journal_id", "journal_entry", sep).alias("journal_entries"))
 
 
+def entry_cells(long_df: DataFrame, sep: str = " | ", by: Sequence[str] = (), max_bytes: int = 1 << 16) -> DataFrame:
+    """A12 at any size: the cells of :func:`join_entries` in numbered chunks ``(key..., chunk, journal_entries, n_entries)``.
+
+    An entry (with a separator) belongs to the chunk in which its first byte lies, counted over the whole cell in
+    ``journal_id`` order (so a long entry may be followed by a gap in the numbers); the chunks of a key, joined with ``sep``, are its cell.  Rows are range-partitioned by key and order, so a
+    key with very many entries lies in several parts; sums of the parts give each its offset, and no group is
+    larger than a part or a chunk.  Nulls are left out of the cell.
+    """
+    from trailspark.session import materialize
+    key = [*by, "location_name", "latitude", "longitude", "top_topics"]
+    order = ["journal_id", "journal_entry"]
+    rows = long_df.where(F.col("journal_entry").isNotNull()).select(*key, *order)
+    rows = materialize(rows.repartitionByRange(*key, *order).select("*", F.spark_partition_id().alias("_part"), (
+        F.octet_length("journal_entry") + len(sep.encode())).cast("long").alias("_bytes")))
+    safe = [F.struct(*key).alias("_key")]  # a struct of nulls is equal to itself in a join
+    parts = rows.select(*safe, "_part", "_bytes").groupBy("_key", "_part").agg(F.sum("_bytes").alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_key", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")).alias("p")
+    inside = Window.partitionBy("_key", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select(*safe, *order, "_part", "_bytes").withColumn("_at", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).alias("r")
+    joined = placed.join(parts, F.col("r._key").eqNullSafe(F.col("p._key")) & (F.col("r._part") == F.col("p._part")))
+    joined = joined.select("r._key", *order, F.floor((F.col("_offset") + F.col("_at")) / max_bytes).cast("long").alias("chunk"))
+    cells = joined.groupBy("_key", "chunk").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["journal_entry"]), sep).alias("journal_entries"),
+        F.count(F.lit(1)).alias("n_entries"))
+    return cells.select("_key.*", "chunk", "journal_entries", "n_entries")
+
+
 def top_story_groups(df: DataFrame, n: int = 3, entries: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """Q4: story-level groups, number of journals and up to ``entries`` entry columns.
 

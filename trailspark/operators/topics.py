@@ -1,7 +1,6 @@
 """Topic modelling as Spark jobs: terms (T8), class-based TF-IDF words (T13),
 topic similarity (T19), document vectors (T7), clustering with outliers and
-size-ordered ids (T10), target-count search (T11), topic reduction and its
-merge log (T12, T18), assignment back to the journals (T14), per-group
+size-ordered ids (T10), target-count search (T11), topic reduction (T12), assignment back to the journals (T14), per-group
 topics (T15) and bar-chart data (T17).
 
 Scale notes: term counting is ``explode`` -> anti-join (stop list) ->
@@ -17,13 +16,16 @@ matrix); it runs on the topic table, in blocks.
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.text import word_terms
+from trailspark.operators.clustering import choose_cut, cut_tree, divisive_tree, keyed_kmeans, points_of
 from trailspark.operators.common import rank_within
-from trailspark.session import cut_lineage
+from trailspark.operators.density import density_clusters
+from trailspark.operators.embedding import embed
+from trailspark.operators.merging import final_topics, merge_log
+from trailspark.session import cut_lineage, materialize
 
 
 def _bigrams(terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,42 +125,41 @@ def cosine_matrix(vectors: DataFrame, topic_col: str = "topic", vec_col: str = "
 
 
 # ---------------------------------------------------------------------------
-# document vectors and clustering
+# clustering; the vectors are made in ``embedding``, keyed fits and the tree in ``clustering``, merging in ``merging``
 
-def embed(df: DataFrame, text_col: str = "journal_story", num_features: int = 4096,
-          out: str = "features"):
-    """T7 default: hashed term counts -> IDF -> L2 normalisation (sparse).
+def fit_clusters(df: DataFrame, id_col: str, k: int, text_col: str | None = "journal_story", vec_col: str = "vector",
+                 keep: tuple[str, ...] = (), seed: int = 42, max_iter: int = 20) -> DataFrame:
+    """Seeded k-means over dense vectors: ``(id, keep..., cluster, vec_col)``.
 
-    The hashed term counts are persisted once, so the texts are tokenised
-    a single time for both the IDF fit and the transform.  Returns
-    ``(DataFrame with `out`, fitted IDF model, persisted counts)``; the caller
-    unpersists the counts.
+    The vectors are those of the texts (T7, :func:`embedding.embed`), or, with ``text_col=None``, a given array column.
+    They are read as they were written for the iterations; the assignment is cut from its lineage.
     """
     from pyspark import StorageLevel
-    tf = (HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=num_features)
-          .transform(df.withColumn("_terms", word_terms(text_col))).drop("_terms")
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf)
-    vec = Normalizer(inputCol="_idf", outputCol=out, p=2.0).transform(idf.transform(tf))
-    return vec.drop("_tf", "_idf"), idf, tf
+    from pyspark.ml.functions import array_to_vector
+    feats = df.select(id_col, *keep, vec_col) if text_col is None else embed(df.select(id_col, *keep, text_col), text_col, out=vec_col)
+    feats = feats.withColumn(vec_col, F.col(vec_col).cast("array<double>")).where(F.col(vec_col).isNotNull())
+    feats = feats.withColumn("_features", array_to_vector(vec_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(feats)
+        return cut_lineage(model.transform(feats).select(id_col, *keep, "cluster", vec_col))
+    finally:
+        feats.unpersist()
 
 
-def fit_clusters(df: DataFrame, id_col: str, k: int, text_col: str = "journal_story", keep: tuple[str, ...] = (),
-                 seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """Seeded k-means over the document vectors: ``(id, keep..., cluster, features)``.
+def fit_group_clusters(df: DataFrame, id_col: str, groups: tuple[str, ...], k: Column | int, most: int, text_col: str | None = "journal_story",
+                       vec_col: str = "vector", min_rows: int = 2, rounds: int = 20) -> DataFrame:
+    """A k-means of its own for every group: ``(id, groups..., cluster)``, all groups in one job.
 
-    Vectors are persisted for the iterations and released when the assignment is
-    written to the shared checkpoint folder; the result reads that copy.
+    ``k`` may be an expression over ``n``, the rows of the group.  Rows with a null group, and groups of fewer
+    than ``min_rows`` rows, are left out (:func:`skipped_groups` reports the latter).  Vectors: see :func:`fit_clusters`.
     """
-    from pyspark import StorageLevel
-    feats, _, tf = embed(df.select(id_col, *keep, text_col), text_col)
-    feats = feats.drop(text_col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(feats)
-        return cut_lineage(model.transform(feats).select(id_col, *keep, "cluster", "features"))
-    finally:
-        feats.unpersist()
-        tf.unpersist()
+    known = df.dropna(subset=list(groups))
+    large = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).drop("_n")
+    known = known.join(large, list(groups))
+    feats = known.select(id_col, *groups, vec_col) if text_col is None else embed(known.select(id_col, *groups, text_col), text_col, out=vec_col)
+    points = materialize(points_of(feats, id_col, vec_col, F.struct(*groups)))
+    assigned, _ = keyed_kmeans(points, k, most, rounds)
+    return materialize(assigned.select(F.col("id").alias(id_col), "g.*", "cluster"))
 
 
 def label_topics(clustered: DataFrame, id_col: str, min_topic_size: int, cluster_col: str = "cluster",
@@ -181,83 +182,54 @@ def label_topics(clustered: DataFrame, id_col: str, min_topic_size: int, cluster
             .withColumn("topic", F.when(known, F.coalesce("topic", F.lit(-1)))).select(id_col, *keys, "topic"))
 
 
-def search_topics(df: DataFrame, id_col: str, target: int, sizes=(5, 4, 3, 2), text_col: str = "journal_story") -> DataFrame:
-    """Fit until the number of topics (-1 included) reaches ``target``, at most
-    once for each of ``sizes``: every fit lowers the minimum topic size and doubles
-    the number of clusters, from ``target``.  The last fit is kept if none reaches it.
+def density_topics(df: DataFrame, id_col: str, vec_col: str, min_cosine: float = 0.8, min_rows: int = 5) -> DataFrame:
+    """T10 by density: ``(id, topic)``: clusters of neighbouring core rows, ids by size, and -1 for the rows that none reaches."""
+    found = density_clusters(df, id_col, vec_col, min_cosine, min_rows)
+    outliers = found.where(F.col("cluster").isNull()).select(id_col, F.lit(-1).alias("topic"))
+    return label_topics(found.where(F.col("cluster").isNotNull()), id_col, 1).select(id_col, "topic").unionByName(outliers)
 
-    Returns ``(id, cluster, features, topic, min_topic_size)``.
-    """
-    for attempt, size in enumerate(sizes):
-        fitted = fit_clusters(df, id_col, target << attempt, text_col)
-        labels = cut_lineage(label_topics(fitted, id_col, size))
-        if labels.select("topic").distinct().count() >= target:
-            break
-    return fitted.join(labels.select(id_col, "topic"), id_col).withColumn("min_topic_size", F.lit(size))
-
-
-def topic_vectors(fitted: DataFrame, id_col: str, topic_col: str = "topic", vec_col: str = "features") -> DataFrame:
-    """``(topic, size, first, centroid)`` of the topics but -1: the mean of the sparse
-    document vectors by a partial aggregation, without exploding them."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
-    means = fitted.where((F.col(topic_col) != -1)).groupBy(topic_col).agg(
-        F.count(F.lit(1)).alias("size"), F.min(id_col).alias("first"), Summarizer.mean(F.col(vec_col)).alias("m"))
-    return means.select(F.col(topic_col).alias("topic"), "size", "first", vector_to_array("m").alias("centroid"))
-
-
-def merge_topics(vectors: DataFrame, nr_topics: int = 1, min_similarity: float | None = None) -> DataFrame:
-    """The merge log ``(step, topic, into, similarity)``.
-
-    With ``nr_topics`` the smallest topic (ties: the later first id) is merged into its
-    most similar one until that many are left (1: the whole hierarchy).  With
-    ``min_similarity`` (``auto``) the most similar pair is merged, the smaller into the
-    larger, while it is at least that similar.  The merged vector is the mean by
-    size.  ``vectors`` (:func:`topic_vectors`) holds one row per topic, at most the number of
-    clusters asked for; documents are not touched.
+
+def search_topics(df: DataFrame, id_col: str, target: int, sizes: tuple[int, ...] = (5, 4, 3, 2), text_col: str | None = "journal_story",
+                  vec_col: str = "vector") -> DataFrame:
+    """Topics of the coarsest cut of one divisive tree that reaches ``target`` topics (-1 included).
+
+    The tree is fitted once.  Of ``sizes``, the largest minimum topic size with which some cut reaches the target is
+    taken, or the smallest and the finest cut if none does.
+
+    Returns ``(id, topic, min_topic_size)``.
     """
-    import numpy as np
-    rows = sorted(vectors.collect(), key=lambda r: r["topic"])
-    ids, size, first = [r["topic"] for r in rows], [r["size"] for r in rows], [r["first"] for r in rows]
-    v = np.array([r["centroid"] for r in rows], float).reshape(len(rows), -1)
-    live, log = list(range(len(rows))), []
-    while len(live) > max(1, nr_topics):
-        unit = v[live] / np.maximum(np.linalg.norm(v[live], axis=1, keepdims=True), 1e-300)
-        sim = unit @ unit.T
-        np.fill_diagonal(sim, -2)
-        if min_similarity is None:
-            a = min(range(len(live)), key=lambda i: (size[live[i]], -first[live[i]]))
-            b = int(sim[a].argmax())
-        else:
-            a, b = divmod(int(sim.argmax()), len(live))
-            if sim[a, b] < min_similarity:
-                break
-            a, b = sorted((a, b), key=lambda i: (size[live[i]], -first[live[i]]))
-        x, y = live[a], live[b]
-        log.append((len(log) + 1, ids[x], ids[y], float(sim[a, b])))
-        v[y] = (v[y] * size[y] + v[x] * size[x]) / (size[x] + size[y])
-        size[y], first[y] = size[x] + size[y], min(first[x], first[y])
-        live.remove(x)
-    return vectors.sparkSession.createDataFrame(log, "step int, topic int, into int, similarity double")
-
-
-def reduce_topics(assign: DataFrame, log: DataFrame, id_col: str, topic_col: str = "topic") -> DataFrame:
-    """The assignments after the merges of ``log``, ids renumbered by size (-1 stays)."""
-    into = {r["topic"]: r["into"] for r in log.orderBy("step").collect()}  # one row per merged topic
-
-    def last(t):
-        while t in into:
-            t = into[t]
-        return t
-
-    mapping = assign.sparkSession.createDataFrame([(t, last(t)) for t in into], f"{topic_col} int, _into int")
-    merged = (assign.join(mapping, topic_col, "left")
+    feats = df.select(id_col, vec_col) if text_col is None else embed(df.select(id_col, text_col), text_col, out=vec_col)
+    members, nodes = divisive_tree(feats, id_col, vec_col, target, sizes)
+    min_size, size = choose_cut(nodes, target, sizes)
+    cut = cut_tree(members, nodes, min_size, size).withColumnRenamed("id", id_col)
+    return label_topics(cut, id_col, min_size, "path").select(id_col, "topic").withColumn("min_topic_size", F.lit(min_size))
+
+
+def topic_vectors(fitted: DataFrame, id_col: str, topic_col: str = "topic", vec_col: str = "vector") -> DataFrame:
+    """``(topic, size, first, centroid)`` of the topics but -1: the mean of the document vectors by a partial aggregation."""
+    base = fitted.where(F.col(topic_col) != -1).select(F.col(topic_col).alias("topic"), F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
+    sizes = base.groupBy("topic").agg(F.count(F.lit(1)).alias("size"), F.min("_id").alias("first"))
+    return centroids(base, "topic", "_v").select("topic", "centroid").join(sizes, "topic").select("topic", "size", "first", "centroid")
+
+
+def reduce_topics(assign: DataFrame, log: DataFrame, id_col: str, topic_col: str = "topic", merges: int | None = None) -> DataFrame:
+    """The assignments after the first ``merges`` steps of ``log`` (:func:`merging.merge_log`; all by default), ids
+    renumbered by size (-1 stays)."""
+    ends = final_topics(log, merges).withColumnRenamed("topic", topic_col)
+    merged = (assign.join(ends, topic_col, "left")
               .withColumn("_into", F.coalesce("_into", F.when(F.col(topic_col) != -1, F.col(topic_col)))))
     labels = label_topics(merged, id_col, 1, "_into").select(id_col, F.col("topic").alias("_new"))
     return (merged.drop("_into").join(labels, id_col)
             .withColumn(topic_col, F.coalesce("_new", F.col(topic_col))).drop("_new").select(*assign.columns))
 
 
+def reduce_to(assign: DataFrame, vectors: DataFrame, id_col: str, nr_topics: int, topic_col: str = "topic") -> DataFrame:
+    """At most ``nr_topics`` topics, -1 included if there are outliers: the hierarchy is cut where so many are left."""
+    log = merge_log(vectors)
+    outliers = not assign.where(F.col(topic_col) == -1).isEmpty()
+    return reduce_topics(assign, log, id_col, topic_col, max(0, log.count() + 1 - max(1, nr_topics - outliers)))
+
+
 def skipped_groups(df: DataFrame, by: str, min_rows: int) -> DataFrame:
     """Groups with too few rows to be clustered, and their size."""
     return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") < min_rows)

@@ -601,3 +601,127 @@ SELECT a.post_id, a.trail_name, a.latitude, s.shelter_name AS location_name, a.c
 FROM assigned a LEFT JOIN shelters s ON CAST(round_even(a.latitude, 0) AS BIGINT) = CAST(round_even(s.latitude, 0) AS BIGINT)
 WHERE a.latitude IS NOT NULL AND coalesce(trim(a.club), '') <> ''
 """
+
+
+def _lloyd(points: str, keys: str, k: int, rounds: int) -> str:
+    """K-means of every group of ``points`` (keys, id, v) written out round by round; the last assignment is ``assigned``."""
+    best = """
+SELECT {keys}, id, v, cluster FROM (
+  SELECT p.*, c.cluster, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(p.v, c.c) - list_dot_product(c.c, c.c) / 2 DESC, c.cluster) AS r
+  FROM points p JOIN c{i} c USING ({keys})) WHERE r = 1"""
+    out = f"""points AS MATERIALIZED ({points}),
+c0 AS MATERIALIZED (
+  SELECT {keys}, r - 1 AS cluster, v AS c FROM (
+    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY md5(CAST(id AS VARCHAR)), id) AS r FROM points) WHERE r <= {k}),"""
+    for i in range(rounds):
+        out += f"""
+a{i} AS MATERIALIZED ({best.format(keys=keys, i=i)}),
+m{i} AS (SELECT {keys}, cluster, list(m ORDER BY i) AS m FROM (
+  SELECT {keys}, cluster, i, avg(x) AS m FROM (SELECT {keys}, cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY ALL) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT {keys}, cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} USING ({keys}, cluster)),"""
+    return out + f"""
+assigned AS MATERIALIZED ({best.format(keys=keys, i=rounds)}),
+sizes AS (SELECT {keys}, cluster, count(*) AS n, min(id) AS f FROM assigned GROUP BY ALL HAVING count(*) >= 2),
+ids AS (SELECT {keys}, cluster, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, f) - 1 AS INTEGER) AS topic FROM sizes),
+labelled AS (SELECT {keys}, id, coalesce(topic, -1) AS topic FROM assigned LEFT JOIN ids USING ({keys}, cluster))"""
+
+
+def _group_points(keys: str, source: str, least: int) -> str:
+    return f"""
+  SELECT {keys}, journal_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM {source} JOIN (SELECT vec_id, embedding FROM embeddings) ON vec_id = journal_id
+  WHERE {" AND ".join(f"{k.strip()} IS NOT NULL" for k in keys.split(","))}
+  QUALIFY count(*) OVER (PARTITION BY {keys}) >= {least}"""
+
+
+SQL["topic_per_group_vectors"] = _with("""
+SELECT id AS journal_id, trail_club, topic FROM labelled
+""", _lloyd(_group_points("trail_club", "journals", 10), "trail_club", 3, 4))
+SQL["emotion_location_vectors"] = _with("""
+SELECT label, location_name, topic, count(*) AS n_journals, min(id) AS first_journal FROM labelled GROUP BY ALL
+""", _lloyd(_group_points("label, location_name", "journals", 2), "label, location_name", 3, 4))
+
+_MERGES = """
+WITH RECURSIVE dims AS (
+  SELECT label AS topic, i, avg(x) AS m FROM (
+    SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL),
+mean AS (SELECT topic, list(m ORDER BY i) AS m FROM dims GROUP BY topic),
+t AS (
+  SELECT topic, m, n, f FROM mean JOIN (SELECT label AS topic, count(*) AS n, min(vec_id) AS f FROM embeddings GROUP BY label) USING (topic)),
+s(step, topic, size, first, v, members, gone, into_topic, sim) AS (
+  SELECT 0, topic, CAST(n AS DOUBLE), f, [x / sqrt(list_dot_product(m, m)) for x in m], [topic], NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE FROM t
+  UNION ALL
+  SELECT s.step + 1, s.topic, CASE WHEN s.topic = q.keep THEN q.size ELSE s.size END, CASE WHEN s.topic = q.keep THEN q.first ELSE s.first END,
+    CASE WHEN s.topic = q.keep THEN q.v ELSE s.v END, CASE WHEN s.topic = q.keep THEN q.members ELSE s.members END, q.gone, q.keep, q.sim
+  FROM s, (
+    SELECT k.topic AS keep, g.topic AS gone, k.size + g.size AS size, least(k.first, g.first) AS first, list_concat(k.members, g.members) AS members,
+      [(k.v[i] * k.size + g.v[i] * g.size) / (k.size + g.size) for i in range(1, len(k.v) + 1)] AS v, list_dot_product(k.v, g.v) AS sim
+    FROM s k JOIN s g ON k.topic <> g.topic AND (k.size > g.size OR k.size = g.size AND (k.first < g.first OR k.first = g.first AND k.topic < g.topic))
+    ORDER BY sim DESC, least(k.topic, g.topic), greatest(k.topic, g.topic) LIMIT 1) q
+  WHERE s.topic <> q.gone)
+"""
+SQL["topic_hierarchy_given"] = _MERGES + """
+SELECT DISTINCT CAST(step AS INTEGER) AS step, CAST(gone AS INTEGER) AS topic, CAST(into_topic AS INTEGER) AS "into", sim AS similarity FROM s WHERE step > 0
+"""
+SQL["topic_reduce_given"] = _MERGES + """,
+ends AS (
+  SELECT topic AS cluster, unnest(members) AS label FROM s WHERE step = (SELECT greatest(0, count(*) - 4) FROM t)),
+ranked AS (
+  SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, min(vec_id)) - 1 AS INTEGER) AS new FROM embeddings JOIN ends USING (label) GROUP BY cluster)
+SELECT vec_id, new AS topic FROM embeddings JOIN ends USING (label) JOIN ranked USING (cluster)
+"""
+
+SQL["topic_density_given"] = """
+WITH RECURSIVE raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+u AS (SELECT vec_id, [c / sqrt(list_dot_product(x, x)) for c in x] AS v FROM raw),
+near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS cos FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= 0.35),
+core AS MATERIALIZED (SELECT a AS vec_id FROM near GROUP BY a HAVING count(*) + 1 >= 5),
+links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT vec_id FROM core) AND b IN (SELECT vec_id FROM core)),
+reach(node, seen) AS (SELECT vec_id, vec_id FROM core UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen),
+known AS (SELECT node AS vec_id, min(seen) AS cluster FROM reach GROUP BY node),
+border AS (
+  SELECT a AS vec_id, first(b ORDER BY cos DESC, b) AS core FROM near
+  WHERE a NOT IN (SELECT vec_id FROM core) AND b IN (SELECT vec_id FROM core) GROUP BY a),
+placed AS (SELECT vec_id, cluster FROM known UNION ALL SELECT border.vec_id, cluster FROM border JOIN known ON known.vec_id = border.core),
+ids AS (SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, min(vec_id)) - 1 AS INTEGER) AS topic FROM placed GROUP BY cluster)
+SELECT vec_id, coalesce(topic, -1) AS topic FROM raw LEFT JOIN placed USING (vec_id) LEFT JOIN ids USING (cluster)
+"""
+SQL["csv_round_trip"] = "SELECT doc_id, sha256(text) AS story_sha256, CAST(length(text) AS BIGINT) AS n_chars, lang FROM documents"
+SQL["csv_row_index"] = _with("SELECT row_number() OVER (ORDER BY journal_id) - 1 AS row_index, journal_id, trail_name, state FROM journals")
+SQL["csv_folder_union"] = """
+SELECT 0 AS source_no, CAST(c_custkey AS BIGINT) AS id, c_name AS name, CAST(c_acctbal AS DOUBLE) AS acctbal, c_mktsegment AS segment, CAST(NULL AS BIGINT) AS nationkey
+FROM customer
+UNION ALL SELECT 1, CAST(s_suppkey AS BIGINT), s_name, CAST(s_acctbal AS DOUBLE), NULL, CAST(s_nationkey AS BIGINT) FROM supplier
+"""
+SQL["year_dated_files"] = SQL["year_dated_rows"]
+SQL["split_label_files"] = _with("""
+SELECT label, count(*) AS rows, min(journal_id) AS first_id, max(journal_id) AS last_id, count(trail_club) AS with_club
+FROM journals WHERE label IS NOT NULL GROUP BY label
+""")
+SQL["location_entry_cells"] = "WITH long AS (" + SQL["location_top3_entries"] + """),
+placed AS (
+  SELECT *, CAST(floor((sum(strlen(journal_entry) + 3) OVER (PARTITION BY location_name, latitude, longitude, top_topics ORDER BY journal_id, journal_entry
+    ROWS UNBOUNDED PRECEDING) - strlen(journal_entry) - 3) / 65536) AS BIGINT) AS chunk FROM long WHERE journal_entry IS NOT NULL)
+SELECT location_name, latitude, longitude, top_topics, chunk, count(*) AS n_entries, sha256(string_agg(journal_entry, ' | ' ORDER BY journal_id, journal_entry)) AS entries_sha256
+FROM placed GROUP BY ALL
+"""
+SQL["score_argmax"] = "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best FROM embeddings"
+SQL["valid_english_story"] = f"""
+SELECT journal_id, valid AND is_english AS valid
+FROM ({SQL["valid_story_mask"].replace("lower(tok) NOT IN", "tok NOT IN")}) v JOIN ({SQL["detect_language"]}) l ON l.doc_id = v.journal_id
+"""
+SQL["topic_assign_given"] = _with(f"""
+SELECT journal_id, trail_club, coalesce(e.label, -1) AS topic, coalesce(words, '') AS topic_words
+FROM journals LEFT JOIN (SELECT vec_id, label FROM embeddings) e ON vec_id = journal_id LEFT JOIN words ON words.topic = coalesce(e.label, -1)
+""", _stop_cte(1) + f""",
+cleaned AS ({SQL["clean_dict_substring"]}),
+terms AS (
+  SELECT topic, term, count(*) AS tf FROM (
+    SELECT label AS topic, unnest(regexp_extract_all(lower(journal_story), '{_WORD}')) AS term
+    FROM cleaned JOIN (SELECT vec_id, label FROM embeddings) e ON vec_id = journal_id WHERE label IS NOT NULL) t
+  WHERE term NOT IN (SELECT word FROM stop) GROUP BY ALL),
+weights AS (
+  SELECT t.topic, t.term, t.tf * ln(1 + (SELECT sum(tf) / count(DISTINCT topic) FROM terms) / f.f) AS weight
+  FROM terms t JOIN (SELECT term, sum(tf) AS f FROM terms GROUP BY term) f USING (term)),
+words AS (
+  SELECT topic, string_agg(term, ', ' ORDER BY weight DESC, term) AS words FROM (
+    SELECT * FROM weights QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) <= 10) r GROUP BY topic)""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailspark.plans import location, prep, text, topics
+from trailspark.plans import files, location, prep, text, topics
 from trailspark.plans.oracle import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -66,6 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_reduce": topics.topic_reduce,
     "topic_reduce_auto": topics.topic_reduce_auto,
     "topic_hierarchy": topics.topic_hierarchy,
+    "topic_hierarchy_given": topics.topic_hierarchy_given,
+    "topic_reduce_given": topics.topic_reduce_given,
+    "topic_per_group_vectors": topics.topic_per_group_vectors,
+    "emotion_location_vectors": topics.emotion_location_vectors,
     "topic_label_given": topics.topic_label_given,
     "topic_per_group_given": topics.topic_per_group_given,
     "topic_group_skipped": topics.topic_group_skipped,
@@ -77,6 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentiment_weekly": topics.sentiment_weekly,
     "clean_keep_raw": text.clean_keep_raw,
     "shelter_match_2dp": prep.shelter_match_2dp,
+    "topic_assign_given": topics.topic_assign_given,
+    "valid_english_story": topics.valid_english_story,
+    "topic_density_given": topics.topic_density_given,
+    **files.QUERIES,
 }
 
 

@@ -107,8 +107,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if fmt == "csv":
-        w = w.option("header", True)
+    if fmt == "csv":  # the form that read_csv reads: quotes doubled, white space kept
+        w = w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.format(fmt).save(path)
 
 
@@ -139,13 +139,26 @@ def read_word_list(spark: SparkSession, path: str, fmt: str = "text", column: st
 
 
 def with_row_index(df: DataFrame, name: str = "journal_id") -> DataFrame:
-    """A stable row identity for inputs without a natural key.
+    """Rows numbered 0 to n-1 in the order of file names and, inside a file, of its lines.
 
-    ``monotonically_increasing_id`` is unique but depends on the input
-    partitioning, so the numbered table is checkpointed once into the
-    shared checkpoint folder: later reads (and recomputations after an
-    executor loss) see the same ids.  Ids rise inside a file; across files they
-    follow Spark's order of input splits, not the file names.
+    Two passes: rows are written once with their place in the scan; counts per
+    (file, split) are summed up, first inside each file and then over the files, and give every split the number of
+    its first row.  Nothing is sorted, and a lost executor rereads the same numbers.  A table that is not read
+    from files is numbered in the order of its partitions.  A column called ``name`` is replaced.
     """
-    from trailspark.session import cut_lineage
-    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import Window
+
+    from trailspark.session import materialize
+    rows = df.drop(name)
+    try:
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"))
+    except AnalysisException:
+        rows = rows.withColumns({"_file": F.lit(""), "_split": F.spark_partition_id().cast("long")})
+    rows = materialize(rows.withColumn("_at", F.monotonically_increasing_id()))
+    splits = rows.groupBy("_file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", before(Window.orderBy("_file")).alias("_files_before"))
+    starts = (splits.withColumn("_before", before(Window.partitionBy("_file").orderBy("_split"))).join(files, "_file")
+              .select("_file", "_split", (F.col("_files_before") + F.col("_before") - F.col("_first")).alias("_offset")))
+    return rows.join(starts, ["_file", "_split"]).select((F.col("_offset") + F.col("_at")).alias(name), *[c for c in df.columns if c != name])
