@@ -24,3 +24,12 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s
+
+
+@pytest.fixture(scope="module")
+def few_partitions(spark):
+    """For iterative operators on tiny fixtures, where most of the time goes into empty tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -10,6 +10,8 @@ from trailspark.operators import clustering as C
 from trailspark.operators import embedding as E
 from trailspark.operators import merging as M
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def lloyd(ids, v, k, rounds):
     """A separate fit of one group from the same starts."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from trailspark.operators import density as D
 from trailspark.operators import topics as T
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def plain(rows, min_cosine, min_rows):
     """{id: cluster or None} by comparing all pairs."""

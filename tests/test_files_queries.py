@@ -10,6 +10,8 @@ from trailspark.operators import geo as G
 from trailspark.operators import reports as R
 from trailspark.sources import files as SF
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def test_row_index_is_gapless_in_file_order(spark, tmp_path):
     want = []

@@ -91,7 +91,7 @@ def _cosines(pdf: pd.DataFrame) -> np.ndarray:
 def core_points(bucketed: DataFrame, min_cosine: float, min_rows: int) -> DataFrame:
     """``p`` of the core points.  A bucket alone may show that a point is one; the neighbours of the others are put together
     over all tables, at most ``min_rows`` of each bucket."""
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p").reset_index(drop=True)
         near = _cosines(pdf) >= min_cosine
         np.fill_diagonal(near, True)
@@ -109,7 +109,7 @@ def core_points(bucketed: DataFrame, min_cosine: float, min_rows: int) -> DataFr
 def core_links(bucketed: DataFrame, min_cosine: float) -> DataFrame:
     """``p, q, cosine, core``: a spanning forest of each bucket's links between core points (``core``), and the most similar core
     neighbour that the bucket gives each other point.  ``bucketed`` has ``core``."""
-    def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p").reset_index(drop=True)
         cos, p, core = _cosines(pdf), pdf["p"].to_numpy(), pdf["core"].to_numpy(bool)
         near = cos >= min_cosine
@@ -140,8 +140,8 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     A round gives each root the smallest root that an edge leads to, and then halves the ways to the roots until none is
     longer than one step; the written tables have one row per node and per edge between different roots.
     """
-    links = materialize(edges.select("p", "q").distinct())
-    root = materialize(links.select(F.explode(F.array("p", "q")).alias("node")).distinct().select("node", F.col("node").alias("root")))
+    root = materialize(edges.select(F.explode(F.array("p", "q")).alias("node")).distinct().select("node", F.col("node").alias("root")))
+    links = materialize(edges.where("p <> q").select("p", "q").distinct())
     while not links.isEmpty():
         both = links.select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q"))
         hook = materialize(both.groupBy("p").agg(F.min("q").alias("to")))
