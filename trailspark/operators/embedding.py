@@ -26,6 +26,8 @@ FEATURES = 4096
 DIMS = 48
 OVERSAMPLE = 8
 POWER_ROUNDS = 2
+# Documents per core below which the table is dealt out anew.
+SMALL_ROWS = 50_000
 
 
 def term_hashes(text: str, features: int = FEATURES) -> Column:
@@ -114,6 +116,9 @@ def embed(df: DataFrame, text: str = "journal_story", dims: int = DIMS, features
     """
     keep = [c for c in df.columns if c not in (text, out)]
     hashed = materialize(df.select(*keep, term_hashes(text, features).alias("_hashes")))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if hashed.count() < SMALL_ROWS * cores:  # a small table of few files: deal it to all cores once, for all passes
+        hashed = materialize(hashed.repartition(cores))
     idf, v = fit_svd(hashed, dims, features, seed)
 
     def project(batches):
