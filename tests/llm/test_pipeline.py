@@ -108,7 +108,7 @@ def test_stages_survive_an_empty_table(spark, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert {int(m[1]) for m in (re.match(r"op(\d+)_", k) for k in queries.QUERIES) if m} == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert {int(m[1]) for m in (re.match(r"op(\d+)_", k) for k in queries.QUERIES) if m} == set(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
