@@ -85,10 +85,34 @@ def test_pipeline_keeps_the_sampled_rows_without_shuffling_texts(spark):
     assert "hashpartitioning" not in plan
 
 
-def test_sampling_rate_two_ways(spark):
-    cells = spark.createDataFrame([(100, 4.0), (300, 1.0), (600, 0.2), (50, 0.0)], "tokens long, weight double")
-    for keep in (0.05, 0.3, 0.6, 1.0):
-        assert abs(mixing.sampling_rate(cells, keep) - mixing.sampling_rate(cells, keep, max_local=0)) < 1e-6
+def test_sampling_rate_against_bisection(spark):
+    rng = H.rng(8)
+    many = [(rng.randrange(1, 900), rng.random() ** 6 + 1e-4) for _ in range(300)]
+    for rows in ([(100, 4.0), (300, 1.0), (600, 0.2), (50, 0.0)], many):
+        cells = spark.createDataFrame(rows, "tokens long, weight double")
+        for keep in (0.05, 0.3, 0.6, 1.0):
+            goal, low, high = keep * sum(t for t, _ in rows), 0.0, 1 / min(w for _, w in rows if w)
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(t * min(1, w * mid) for t, w in rows) < goal else (low, mid)
+            assert abs(mixing.sampling_rate(cells, keep) - high) < 1e-9 * high
+    assert mixing.sampling_rate(cells.limit(0)) == 0
+
+
+@pytest.mark.parametrize("local", [100_000, 0])
+def test_raking_ends_when_all_margins_hold(spark, local, monkeypatch):
+    cells = spark.createDataFrame([(a, b, 3 ** a * 2 ** b) for a in range(4) for b in range(3)], "a long, b long, tokens long")
+    even = {m: spark.range(n).select(F.col("id").alias(m), F.lit(1.0 / n).alias("target")) for m, n in (("a", 4), ("b", 3))}
+    written = []
+    monkeypatch.setattr(mixing, "materialize", lambda df: written.append(1) or df.cache())
+    fitted = mixing.rake(cells, even, max_local=local)
+    # independent margins hold after the first round, the second sees it: one table for the cells, one a round
+    assert len(written) == (1 if local else 3)
+    assert max(r.error for r in mixing.margin_errors(fitted, even).collect()) < 1e-12
+    # no tokens for a target: it can't be met, and what is left is told
+    short = mixing.rake(cells.where("a < 3"), even, max_local=100_000)
+    errors = {r.margin: r.error for r in mixing.margin_errors(short, even).collect()}
+    assert abs(errors["a"] - 0.25) < 1e-9
 
 
 def test_topics_and_tokens(spark):

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts of all documents are summed per cell (one value of each margin: source, language,
-topic).  Raking scales the cells to each margin's target shares in turn until all hold.  A document's
+topic).  Raking scales the cells to each margin's target shares in turn until all hold within ``TOLERANCE``, or
+for ``ROUNDS`` rounds if they contradict each other; :func:`margin_errors` tells what is left.  A document's
 calibrated weight is its cell's fitted share over the cell's share of tokens.  Documents are sampled with
 probabilities proportional to it, at the rate that keeps the wanted share of all tokens in
 expectation; cells whose probability would exceed 1 are kept whole and the rate makes up for them.
@@ -13,17 +14,19 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import materialize
 
 ROUNDS = 40
+# Raking ends when, in a whole round, no margin's share was further than this from its target.
+TOLERANCE = 1e-14
 # Expected share of all tokens that the sample keeps.
 KEEP = 0.5
 # Target share of a category is its token share to this power, unless targets are given.
 TEMPER = 0.7
-# Cells (not documents) up to this number are raked in numpy and broadcast; beyond it by windows and joins.
+# Cells (not documents) up to this number are raked in numpy and broadcast; beyond it by aggregations and joins.
 MAX_LOCAL_CELLS = 200_000
 # Seeds whose occurrences make a document's topic; the most frequent wins, ties go to the first.
 TOPIC_SEEDS = {"a": ["on"], "b": ["th"], "c": ["ch", "en"], "d": ["ou", "eu"], "e": ["ci", "os"]}
@@ -55,7 +58,8 @@ def tempered(cells: DataFrame, margin: str, power: float = TEMPER) -> DataFrame:
     return raised.join(F.broadcast(total)).select(margin, F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0).alias("target"))  # one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, max_local: int = MAX_LOCAL_CELLS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, max_local: int = MAX_LOCAL_CELLS,
+         tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (margin columns, ``tokens``) with ``fit``, the raked share of each cell.
 
     ``targets`` has for each margin a table (margin, ``target``).  A category without a target has share 0;
@@ -64,50 +68,69 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     cells = cells.where("tokens > 0")
     for m, t in targets.items():
         cells = cells.join(t.select(m, F.col("target").alias(f"__t_{m}")), m, "left").fillna(0.0, [f"__t_{m}"])
-    cells = materialize(cells.withColumn("fit", F.col("tokens").cast("double")))
+    whole = cells.agg(F.sum("tokens")).first()[0] or 1
+    cells = materialize(cells.withColumn("fit", F.col("tokens") / F.lit(float(whole))))
     names = [c for c in cells.columns if not c.startswith("__t_")]
     if cells.limit(max_local + 1).count() <= max_local:
         pdf = cells.toPandas().sort_values(list(targets)).reset_index(drop=True)
         w = pdf["fit"].to_numpy(float).copy()
+        margins = [(pd.factorize(pdf[m])[0], pdf[f"__t_{m}"].to_numpy(float)) for m in targets]
         for _ in range(rounds):
-            for m in targets:
-                group, goal = pd.factorize(pdf[m])[0], pdf[f"__t_{m}"].to_numpy(float)
+            error = 0.0
+            for group, goal in margins:
                 total = np.bincount(group, weights=w, minlength=group.max(initial=0) + 1)[group]
+                error = max(error, np.abs(total - goal).max(initial=0.0))
                 w = np.where(total > 0, w * goal / np.where(total > 0, total, 1), 0.0)
+            if error <= tolerance:
+                break
         pdf["fit"] = w / w.sum() if w.sum() > 0 else w
         return cells.sparkSession.createDataFrame(pdf[names], cells.select(names).schema)
-    for k in range(rounds):
+    for _ in range(rounds):
+        cells = cells.withColumn("__error", F.lit(0.0))
         for m in targets:
             total = cells.groupBy(m).agg(F.sum("fit").alias("__s"))
-            cells = cells.join(total, m).withColumn("fit", F.when(F.col("__s") > 0, F.col("fit") * F.col(f"__t_{m}") / F.col("__s")).otherwise(0.0)).drop("__s")
+            goal = F.col(f"__t_{m}")
+            cells = (cells.join(total, m).withColumn("__error", F.greatest("__error", F.abs(F.col("__s") - goal)))
+                     .withColumn("fit", F.when(F.col("__s") > 0, F.col("fit") * goal / F.col("__s")).otherwise(0.0)).drop("__s"))
         cells = materialize(cells)
+        if (cells.agg(F.max("__error")).first()[0] or 0.0) <= tolerance:
+            break
     total = cells.agg(F.sum("fit")).first()[0] or 1.0
     return cells.withColumn("fit", F.col("fit") / F.lit(total)).select(names)
 
 
-def sampling_rate(fitted: DataFrame, keep: float = KEEP, max_local: int = MAX_LOCAL_CELLS) -> float:
+def margin_errors(fitted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``margin``, ``error``: the largest distance of a fitted share from its target, for every margin of :func:`rake`."""
+    out = None
+    for m, t in targets.items():
+        got = fitted.groupBy(m).agg(F.sum("fit").alias("got")).join(t, m, "full")
+        off = F.abs(F.coalesce("got", F.lit(0.0)) - F.coalesce("target", F.lit(0.0)))
+        one = got.agg(F.lit(m).alias("margin"), F.coalesce(F.max(off), F.lit(0.0)).alias("error"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sampling_rate(fitted: DataFrame, keep: float = KEEP) -> float:
     """The rate s with ``sum(tokens * min(1, s * weight)) = keep * sum(tokens)`` over the cells.
 
-    If cells with a weight hold fewer tokens than that, all of them are kept.
+    Each step takes the cells that the rate so far keeps whole and makes the rate of the others fit; it grows
+    until no further cell is kept whole, after a few steps over the table of cells.  If cells with a weight hold fewer
+    tokens than wanted, all of them are kept.
     """
     cells = fitted.select("tokens", "weight").where("weight > 0")
-    total = fitted.agg(F.sum("tokens")).first()[0] or 0
-    goal = keep * total
-    if cells.limit(max_local + 1).count() <= max_local:
-        pdf = cells.toPandas().sort_values("weight", ascending=False)
-        t, w = pdf["tokens"].to_numpy(float), pdf["weight"].to_numpy(float)
-        if not len(t) or t.sum() <= goal:
-            return float(1 / w.min()) if len(t) else 0.0
-        whole = np.cumsum(t) - t  # tokens of the cells kept whole, if the cells from here on are sampled
-        rest = np.cumsum((t * w)[::-1])[::-1]
-        rate = (goal - whole) / rest
-        return float(rate[np.argmax(rate * w <= 1)])
-    low, high = 0.0, 1 / cells.agg(F.min("weight")).first()[0]
-    for _ in range(60):
-        mid = (low + high) / 2
-        kept = cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(mid)))).first()[0]
-        low, high = (mid, high) if kept < goal else (low, mid)
-    return high
+    goal = keep * (fitted.agg(F.sum("tokens")).first()[0] or 0)
+    rate, kept = 0.0, -1
+    while True:
+        whole = F.col("weight") * F.lit(rate) >= 1
+        r = cells.agg(F.count(F.when(whole, 1)).alias("n"), F.sum(F.when(whole, F.col("tokens")).otherwise(0)).alias("tokens"),
+                      F.sum(F.when(~whole, F.col("tokens") * F.col("weight"))).alias("rest"), F.min("weight").alias("least")).first()
+        if r.least is None:
+            return 0.0
+        if r.rest is None:
+            return 1 / r.least
+        if r.n == kept:
+            return rate
+        rate, kept = (goal - r.tokens) / r.rest, r.n
 
 
 def unit_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
