@@ -81,3 +81,21 @@ def test_long_items_are_cut_without_losing_windows(spark, monkeypatch):
     got = decontaminate.find_windows(spark.createDataFrame(docs, "doc_id long, text string"),
                                      spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert all(r["__n_hit"] == 10 for r in got)
+
+
+def test_repeated_items_keep_blocks_bounded(spark, monkeypatch):
+    rng = H.rng(31)
+    item = " ".join(H.words(rng, 200))
+    others = [" ".join(H.words(rng, 60)) for _ in range(40)]
+    bench = spark.createDataFrame([("same", item)] * 400 + [(str(k), t) for k, t in enumerate(others)], "item_id string, text string")
+    docs = H.documents(spark, [f"a b c {item} d", others[3], "nothing of it", None])
+    sizes, plain = [], decontaminate.Index.__init__
+
+    def init(self, rows, *rest):
+        sizes.append(sum(len(w) for _, w in rows))
+        plain(self, rows, *rest)
+
+    monkeypatch.setattr(decontaminate.Index, "__init__", init)
+    got = {r.doc_id: (r["__n_hit"], list(r["__items"])) for r in decontaminate.find_windows(docs, bench, block_words=1000).collect()}
+    assert got == {0: (200, ["same"]), 1: (60, ["3"]), 2: (0, []), 3: (0, [])}
+    assert sum(sizes) == 200 + 40 * 60 and max(sizes) < 2000

@@ -181,7 +181,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     wordless text has no words; a null or wordless item has no window; a null item id is written
     as an empty text; repeated rows are judged each; empty tables give no hits.
     """
-    pieces = materialize(_pieces(benchmark, item_id, item_text, window))
+    pieces = materialize(_pieces(benchmark, item_id, item_text, window).distinct())  # rows repeated in the benchmark count once
     total = pieces.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
