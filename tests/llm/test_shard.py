@@ -49,3 +49,40 @@ def test_overfull_ranges_are_subdivided(spark, monkeypatch):
     df = H.documents(spark, [f"{k} " * 20 for k in range(1500)])
     rows = sharded(df).groupBy("__shard").agg(F.sum("__size").alias("b")).collect()
     assert max(r.b for r in rows) - min(r.b for r in rows) < 300
+
+
+def test_copies_without_id_are_divisible(spark, monkeypatch):
+    monkeypatch.setattr(shard, "CHUNK_BITS", 8)
+    copies = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    others = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    df = copies.unionByName(others).unionByName(others.limit(3)).repartition(6)
+    seen, plain = [], shard._Ranges.fill
+
+    def fill(self, narrow):
+        plain(self, narrow)
+        seen.append(self.bytes)
+
+    monkeypatch.setattr(shard._Ranges, "fill", fill)
+    rows = sharded(df).collect()
+    total = sum(r["__size"] for r in rows)
+    assert len(rows) == 22_003 and seen[-1].sum() == total
+    assert seen[-1].max() <= 1.5 * max(shard.OVERFULL * total / shard.MIN_RANGES, total / shard.MIN_RANGES + 50)
+    by = {}
+    for r in rows:
+        by.setdefault(r["__shard"], []).append(r)
+    sizes = [sum(r["__size"] for r in g) for g in by.values()]
+    assert max(sizes) - min(sizes) <= 2 * max(r["__size"] for r in rows)
+    assert all(sorted(r["__slot"] for r in g) == list(range(len(g))) for g in by.values())
+
+
+def test_copies_are_numbered_without_gaps(spark, monkeypatch):
+    monkeypatch.setattr(shard, "CHUNK_BITS", 3)
+    from trailspark.llm.common import materialize
+    rows = materialize(spark.range(500).repartition(4).select(
+        F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 150).alias("__key"), F.lit(1).alias("__tie"), F.monotonically_increasing_id().alias("__uid")))
+    got = {r["__uid"]: r["__number"] for r in shard._copy_numbers(rows).collect()}
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r["__key"], []).append(r["__uid"])
+    assert set(got) == {u for g in groups.values() if len(g) > 1 for u in g}
+    assert all(sorted(got[u] for u in g) == list(range(len(g))) for g in groups.values() if len(g) > 1)

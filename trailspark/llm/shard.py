@@ -7,7 +7,8 @@
    each record its place among all bytes: shard k holds what lies from k to k + 1 shares.
 
 The key is (hash of the text, hash of the id): equal texts are neighbours and stay together
-unless a boundary runs through them, and a group of copies of any size is divisible.
+unless a boundary runs through them.  Rows that are equal in text and id (or have no id) are numbered, and the number
+goes into the key, so a group of copies of any size is divisible.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ MIN_RANGES = 256
 SAMPLES_PER_RANGE = 64
 OVERFULL = 1.5
 ROUNDS = 6
+# One task numbers at most 2 to this power rows of a group of copies.
+CHUNK_BITS = 16
 
 
 def text_size(text: str = "text") -> Column:
@@ -40,6 +43,22 @@ def record_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.shiftleft(F.shiftright(whole, 32), 32).bitwiseOR(F.xxhash64(F.col(doc_id).cast("string")).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def _copy_numbers(rows: DataFrame) -> DataFrame:
+    """``__uid``, ``__number`` of the rows that share key and tie with others: 0, 1, ... in each group.
+
+    A group is numbered in chunks of bounded size (``CHUNK_BITS``), each from the sum of the chunks before it, so no task
+    holds a group whole.
+    """
+    group = ["__key", "__tie"]
+    chunks = rows.groupBy(*group, F.shiftright("__uid", CHUNK_BITS).alias("__chunk")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = materialize(chunks.withColumn("__first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+                         .withColumn("__all", F.sum("n").over(Window.partitionBy(*group))).where("__all > 1").drop("n", "__all"))
+    inside = Window.partitionBy(*group, "__chunk").orderBy("__uid")
+    return (rows.withColumn("__chunk", F.shiftright("__uid", CHUNK_BITS)).join(chunks, [*group, "__chunk"])
+            .select("__uid", (F.col("__first") + F.row_number().over(inside) - 1).alias("__number")))
+
+
 class _Ranges:
     """Splitters with the bytes and rows that lie before each range."""
 
@@ -120,6 +139,15 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", size: str = "__size",
     """
     df = docs.withColumn("__tie", F.xxhash64(F.col(doc_id).cast("string"), F.lit(1)))
     narrow = materialize(df.select(F.col(key).alias("__key"), F.col(size).alias("__size"), "__tie"))
+    if not narrow.groupBy("__key", "__tie").count().where("count > 1").isEmpty():
+        # numbers of rows hold only in a written table, so rows are written once with theirs
+        df = materialize(df.withColumn("__uid", F.monotonically_increasing_id()))
+        numbers = materialize(_copy_numbers(df.select(F.col(key).alias("__key"), "__tie", "__uid")))
+        low = F.xxhash64("__tie", "__number").bitwiseAND(F.lit(0xFFFFFFFF))
+        numbered = F.shiftleft(F.shiftright(key, 32), 32).bitwiseOR(low)
+        df = (df.join(numbers, "__uid", "left").withColumn(key, F.when(F.col("__number") > 0, numbered).otherwise(F.col(key)))
+              .withColumn("__tie", F.xxhash64("__tie", F.coalesce("__number", F.lit(0)))).drop("__uid", "__number"))
+        narrow = materialize(df.select(F.col(key).alias("__key"), F.col(size).alias("__size"), "__tie"))
     total = narrow.agg(F.sum("__size")).first()[0] or 0
     ranges = _split(narrow, max(MIN_RANGES, -(-total // range_bytes)), total)
     shard = F.least(F.lit(shards - 1), F.floor((F.col("__at") + F.col("__size") / 2) * F.lit(shards / max(total, 1)))).cast("int")
