@@ -49,29 +49,58 @@ def test_one_class_no_rows_and_bags(spark):
         assert at[0] == 0 and (np.diff(np.append(at, n)) > 0).all() | (n == 0)
 
 
-def test_long_texts_do_not_end_the_sample(spark, monkeypatch):
+def test_long_texts_are_read_whole(spark):
     texts, toxic = corpus()
     words = [w for t, y in zip(texts, toxic, strict=True) if not y for w in t.split()]
-    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 2 * len(words))  # less than the long text alone
     head = spark.range(10_000, 20_000).orderBy(F.xxhash64("id")).first().id
     rows = [(head, " ".join(words * 4), 0), *[(k, t, y) for k, (t, y) in enumerate(zip(texts, toxic, strict=True))]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    first = docs.orderBy(F.xxhash64("doc_id")).first()
-    assert first.doc_id == head and len(first.text.split()) > toxicity.TRAIN_WORDS
-    model = toxicity.fit(docs, docs.select("doc_id", "toxic").where("doc_id % 3 <> 1 or doc_id >= 10000"))
+    labels = docs.select("doc_id", "toxic").where("doc_id % 3 <> 1 or doc_id >= 10000")
+    read, plain = [], toxicity.train
+    model = toxicity.fit(docs, labels)
     held = [(model.score(words_of(t.encode()), {}) >= 0.7, y) for k, (t, y) in enumerate(zip(texts, toxic, strict=True)) if k % 3 == 1]
     assert np.mean([hit for hit, y in held if y]) > 0.9 and np.mean([hit for hit, y in held if not y]) < 0.05
+    toxicity.train, keep = (lambda t, y: read.append((t, y)) or plain(t, y, steps=1)), toxicity.train
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = keep
+    assert sorted(map(len, read[0][0].ids)) == sorted(len(t.split()) for i, t, _ in rows if i % 3 != 1 or i >= 10000)
 
 
-def test_word_caps_and_spread():
-    assert toxicity.word_caps({1: [(10, 3)], 0: [(70, 1)]}, 100) == {1: 10, 0: 70}  # all fit
-    assert toxicity.word_caps({1: [(90, 1)], 0: [(10, 1)]}, 100) == {1: 90, 0: 10}
-    assert toxicity.word_caps({1: [(10, 2)], 0: [(5, 4), (1000, 2)]}, 100) == {1: 10, 0: 30}  # (100 - 20 - 4 * 5) / 2
-    assert toxicity.word_caps({1: [(1000, 2)], 0: [(1000, 5)]}, 100) == {1: 25, 0: 10}
-    assert toxicity.word_caps({0: [(1000, 5)]}, 100) == {1: 0, 0: 20} and toxicity.word_caps({}, 100) == {1: 0, 0: 0}
-    for n in (0, 1, 2, 3, 7, 20, 1001):
-        for cap in (2, 3, 7, 19, 20, 1000):
-            words = [b"%d" % k for k in range(n)]
-            got = [int(w) for w in toxicity.spread(words, cap)]
-            assert len(got) <= cap and got == sorted(set(got)) and (n > cap or len(got) == n) and len(got) >= min(n, cap - 1)
-            assert n <= cap or all(b - a == 1 and a % 2 == 0 for a, b in zip(got[::2], got[1::2], strict=True))
+def test_rows_are_bounded_not_ids(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", {1: 40, 0: 60})
+    docs = spark.range(3000).select((F.col("id") % 6).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(k, int(k < 2)) for k in range(6)] * 2, "doc_id long, toxic int")  # repeated labels
+    n = {r["__y"]: r["count"] for r in toxicity.sample(docs, labels, "doc_id", "toxic", "text").groupBy("__y").count().collect()}
+    assert abs(n[1] - 40) < 30 and abs(n[0] - 60) < 38
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % k for k in range(30)]
+    texts = toxicity.Encoded([[words[i] for i in rng.integers(0, 30, n)] for n in (1, 2, 3, 8, 15, 4)])
+    y = np.array([1, 0, 1, 0, 0, 1.0])
+    parts = [np.array(toxicity.subwords(w), np.int32) for w in texts.vocab]
+    used = np.unique(np.concatenate(parts))
+    row_of = np.full(toxicity.BUCKETS, -1, np.int32)
+    row_of[used] = np.arange(len(used))
+    fold = toxicity._Fold(texts.ids, y, parts, row_of)
+    value, bias, sharp = rng.normal(0, 1, len(used)), 0.3, 0.0
+
+    def loss(v, b):  # with a sharpness of zero a text's score is the mean of its bags
+        total = 0.0
+        for t, c, weight in zip(texts.ids, y, fold.weight, strict=True):
+            per_word = [np.mean([v[row_of[i]] for i in parts[w]]) for w in t]
+            at = [*toxicity.bag_starts(len(t)), len(t)]
+            z = np.mean([np.mean(per_word[i:j]) for i, j in zip(at, at[1:], strict=False)]) + b
+            total += weight * (np.log1p(np.exp(z)) - c * z)
+        return total
+
+    got, got_bias = fold.gradient(value, bias, sharp, len(used))
+    for i in rng.choice(len(used), 12, replace=False):
+        up, down = value.copy(), value.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert np.isclose((loss(up, bias) - loss(down, bias)) / 2e-5, got[i], atol=1e-5)
+    assert np.isclose((loss(value, bias + 1e-5) - loss(value, bias - 1e-5)) / 2e-5, got_bias, atol=1e-6)

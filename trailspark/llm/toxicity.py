@@ -11,6 +11,7 @@ Training moves from the mean of a text's bags to its highest one (a softmax over
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +26,8 @@ BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 BAG = 2
-# Bounds of what the fit reads: labelled texts of each class, and words in all (longer texts in part, see word_caps).
+# The fit learns from about so many labelled rows of each class at most, whole texts of any length.
 TRAIN_DOCS = {1: 1200, 0: 2400}
-TRAIN_WORDS = 2_000_000
 # Subwords of fewer training texts get no vector.
 MIN_TEXTS = 3
 STEPS = 120
@@ -80,11 +80,12 @@ class _Fold:
         bags = [np.split(t, bag_starts(len(t))[1:]) for t in ids]
         n_bags = np.array([len(b) for b in bags])
         self.first = np.cumsum(n_bags) - n_bags
-        self.text_of = np.repeat(np.arange(len(bags)), n_bags)
+        self.text_of = np.repeat(np.arange(len(bags), dtype=np.int32), n_bags)
         every = [x for b in bags for x in b]
         self.length = np.array([len(x) for x in every])
-        vocab, self.words = np.unique(np.concatenate(every), return_inverse=True)
-        self.bag_of = np.repeat(np.arange(len(every)), self.length)
+        vocab, words = np.unique(np.concatenate(every), return_inverse=True)
+        self.words = words.astype(np.int32)
+        self.bag_of = np.repeat(np.arange(len(every), dtype=np.int32), self.length)
         self.start = np.cumsum(self.length) - self.length
         own = [parts[w] for w in vocab]
         self.size = np.array([len(p) for p in own])
@@ -106,7 +107,21 @@ class _Fold:
         return np.bincount(self.flat, weights=per_word[self.flat_word], minlength=n_rows).astype(np.float32), float(error.sum())
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Model:
+class Encoded:
+    """Texts as arrays of word numbers, four bytes a word."""
+
+    def __init__(self, texts: Iterable[list[bytes]] = ()):
+        self.vocab: dict[bytes, int] = {}
+        self.ids: list[np.ndarray] = []
+        for t in texts:
+            self.add(t)
+
+    def add(self, words: list[bytes]) -> None:
+        number = self.vocab.setdefault
+        self.ids.append(np.fromiter((number(w, len(self.vocab)) for w in words or [b""]), np.int32, max(1, len(words))))
+
+
+def train(texts: Encoded, labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Model:
     """Gradient descent with momentum on ``FOLDS`` parts of the texts in turn; the two classes weigh the same.
 
     With two classes the softmax depends on the difference ``u`` of the class weights, so the gradient
@@ -116,9 +131,8 @@ def train(texts: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed
         p = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
-    vocab: dict[bytes, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t] or [vocab.setdefault(b"", len(vocab))], np.int32) for t in texts]
-    parts = [np.array(subwords(w), np.int32) for w in vocab]
+    ids = texts.ids
+    parts = [np.array(subwords(w), np.int32) for w in texts.vocab]
     texts_of = np.zeros(BUCKETS, np.int32)
     for t in ids:
         texts_of[np.unique(np.concatenate([parts[i] for i in np.unique(t)]))] += 1
@@ -148,74 +162,27 @@ def train(texts: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, text: str) -> DataFrame:
-    """Texts of a bounded sample of labels: at most about TRAIN_DOCS of each class, by a hash of the id."""
+    """A bounded sample of labelled rows: about TRAIN_DOCS of each class at most, drawn by a hash of id and text.
+
+    Rows are bounded, not ids: an id that comes with many texts brings no more rows than others.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(
         F.max(label).cast("int").alias("__y"))  # rows that contradict each other count as toxic
-    counts = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
-    u = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = docs.select(F.col(doc_id).alias("__id"), text_bytes(text).alias("__t"))
+    counts = {r["__y"]: r["count"] for r in rows.select("__id").join(known, "__id").groupBy("__y").count().collect()}
+    u = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.coalesce("__t", F.lit(b"")), F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("__y") == 1, F.lit(min(1.0, TRAIN_DOCS[1] / max(1, counts.get(1, 0))))).otherwise(
         F.lit(min(1.0, TRAIN_DOCS[0] / max(1, counts.get(0, 0)))))
-    few = known.where(u < rate)  # a few thousand ids and classes
-    return docs.select(F.col(doc_id).alias("__id"), text_bytes(text).alias("__t")).join(F.broadcast(few), "__id")
-
-
-def word_caps(sizes: dict[int, list[tuple[int, int]]], budget: int) -> dict[int, int]:
-    """Words read of one text of each class at most, from (words, texts) of the sampled texts: no text is left out.
-
-    Toxic texts come first, since a part of one may hold nothing toxic: they take half of ``budget``, or more if the
-    others need less.  The cap of a class is the largest with which its texts fit; all are whole if they fit.
-    """
-    total = {y: sum(n * m for n, m in rows) for y, rows in sizes.items()}
-    caps, left = {}, budget
-    for label in (1, 0):
-        rows = sorted(sizes.get(label, []))
-        room = max(budget // 2, budget - total.get(0, 0)) if label else left
-        texts = sum(m for _, m in rows)
-        caps[label] = rows[-1][0] if rows else 0
-        for n, m in rows:
-            if n * texts > room:
-                caps[label] = max(BAG, room // texts)
-                break
-            room, texts = room - n * m, texts - m
-        left = max(0, left - sum(min(n, caps[label]) * m for n, m in rows))
-    return caps
-
-
-def spread(words: list[bytes], cap: int) -> list[bytes]:
-    """At most ``cap`` words (one bag at least): all of a text that is no longer, else bags at even distances."""
-    if len(words) <= cap:
-        return words
-    k, bags = max(1, cap // BAG), len(words) // BAG
-    return [w for i in range(k) for w in words[(2 * i + 1) * bags // (2 * k) * BAG:][:BAG]]
+    largest = max(min(1.0, TRAIN_DOCS[y] / max(1, counts.get(y, 0))) for y in (0, 1))
+    return rows.where(u < F.lit(largest)).join(known, "__id").where(u < rate)  # few texts reach the join
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", text: str = "text") -> Model:
-    """Train on a bounded sample of the labelled rows (``TRAIN_DOCS`` texts of each class, ``TRAIN_WORDS`` words).
-
-    Every sampled text is learned from; if they have more words in all, the longest are read in part (:func:`word_caps`).
-    """
-    def measure(batches):
-        for b in batches:
-            n = [len(words_of(t)) if t is not None else 0 for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "__n"])
-
-    picked = sample(docs, labels, doc_id, label, text).select("__id", "__y", "__t")
-    picked = materialize(map_texts(picked, measure, picked.withColumn("__n", F.lit(0).cast("long")).schema))
-    sizes: dict[int, list[tuple[int, int]]] = {}
-    for r in picked.groupBy("__y", "__n").count().collect():
-        sizes.setdefault(r["__y"], []).append((r["__n"], r["count"]))
-    caps = word_caps(sizes, TRAIN_WORDS)
-
-    def read(batches):
-        for b in batches:
-            kept = [b" ".join(spread(words_of(t), caps[y])) if t is not None else None
-                    for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary())], names=["__id", "__y", "__t"])
-
-    rows = map_texts(picked.drop("__n"), read, picked.drop("__n").schema).orderBy(F.xxhash64("__id"), "__id", "__t")
-    texts, ys = [], []
-    for r in rows.toLocalIterator():
-        texts.append(words_of(bytes(r["__t"])) if r["__t"] is not None else [])
+    """Train on a bounded sample of the labelled rows (about ``TRAIN_DOCS`` of each class at most), every word of them."""
+    rows = sample(docs, labels, doc_id, label, text).select("__id", "__y", "__t")
+    texts, ys = Encoded(), []
+    for r in materialize(rows).orderBy(F.xxhash64("__id"), "__id", "__t").toLocalIterator():
+        texts.add(words_of(bytes(r["__t"])) if r["__t"] is not None else [])
         ys.append(r["__y"])
     return train(texts, np.array(ys, int))
 
