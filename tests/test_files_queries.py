@@ -100,3 +100,10 @@ def test_tokens_by_table_and_by_join(spark, limit, monkeypatch):
     assert {r.journal_id: r.valid for r in C.valid_story_mask(j, words("nothing").limit(0)).collect()} == {1: True, 2: False, 3: False, 4: True, 5: True}
     dict_form = {r.journal_id: r.journal_story for r in C.clean_dict_substring(j, stop, vocabulary).collect()}
     assert dict_form == {1: "The CAT the cat Dog", 2: None, 3: None, 4: "dog the", 5: None}
+
+
+@pytest.mark.parametrize("name", ["clean_tokens", "clean_keep_raw", "clean_dict_substring", "valid_story_mask"])
+def test_rows_do_not_carry_the_word_table(spark, name):
+    from trailspark.plans import registry
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _table#" not in plan  # a copy of the table in every row: rows times words
