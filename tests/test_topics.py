@@ -54,3 +54,45 @@ def test_ctfidf_ranks(spark):
     w = T.ctfidf(T.term_counts(df, "cls", "text"), "cls", 2)
     top = {(r["cls"], r["rank"]): r["term"] for r in w.collect()}
     assert top[("a", 1)] == "apple" and top[("b", 1)] == "pear"
+
+
+def test_language_detection_head_tail_and_brute_force(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+    texts = [(" ".join(word(a) for _ in range(rng.randrange(1, 30))), a[0]) for a in ("abcdé", "bcdefz", "日本語字a") for _ in range(12)]
+    texts += [(None, "a"), ("", None), ("a", "b"), ("Ab", None), ("  12 ab-c 34 ", None), ("𝒳𝒴 abc", None), ("qqqq", None), ("ÀÉ éa", None)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def grams(t):
+        s = " " + " ".join("".join(x if x.isalpha() else " " for x in (t or "").lower()).split()) + " "
+        return [s[i:i + 3] for i in range(len(s) - 2)] if len(s) >= 4 else []
+
+    c, d = {}, Counter(lang for _, lang in texts if lang)
+    for t, lang in texts:
+        if lang:
+            c.setdefault(lang, Counter()).update(grams(t))
+    v = len(set().union(*c.values()))
+
+    def best(t):
+        score = {k: math.log(d[k] / sum(d.values())) + sum(math.log((x[g] + 1) / (sum(x.values()) + v)) for g in grams(t)) for k, x in c.items() if x}
+        return max(sorted(score), key=score.get) if grams(t) else None
+
+    want = {i: best(t) for i, t, _ in rows}
+    for head, letters in ((L.HEAD_ROWS, L.ARRAY_GRAMS), (40, 8), (0, 8)):
+        monkeypatch.setattr(L, "HEAD_ROWS", head)
+        monkeypatch.setattr(L, "ARRAY_GRAMS", letters)
+        monkeypatch.setattr(L, "SLICE_BYTES", 60)
+        found = L.detect(docs, *L.train_profile(docs))
+        assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == want
+    none = L.detect(docs, *L.train_profile(docs.where("lang = 'none'")))
+    assert {r["lang_pred"] for r in none.collect()} == {None} and none.count() == len(rows)
+
+
+def test_language_detection_does_not_shuffle_texts_or_grams(spark):
+    docs = S.read_table(spark, SF, "documents", ["doc_id", "text", "lang"])
+    plan = L.detect(docs, *L.train_profile(docs))._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Exchange" not in plan and "Generate" not in plan
