@@ -96,3 +96,31 @@ def test_language_detection_does_not_shuffle_texts_or_grams(spark):
     docs = S.read_table(spark, SF, "documents", ["doc_id", "text", "lang"])
     plan = L.detect(docs, *L.train_profile(docs))._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_term_counts_by_table_and_by_join(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    from trailspark.operators import cleaning as C
+    rows = [("a", "The cat sat, the CAT ran"), ("a", None), ("b", "the"), ("b", "Dog the dog x cat"), (None, "cat"), ("b", ""), ("b", "dog")]
+    df = spark.createDataFrame(rows, "cls string, text string")
+    stop = spark.createDataFrame([("the",), ("Dog",), ("ran",), ("the",)], "word string")
+    want, single = Counter(), Counter()
+    for c, text in rows:
+        t = [x for x in re.findall(r"\w{2,}", (text or "").lower()) if x not in ("the", "ran")]
+        if c:
+            want.update((c, x) for x in [*t, *map(" ".join, zip(t, t[1:], strict=False))])
+            single.update((c, x) for x in t)
+    for limit in (C.TABLE_BYTES, 0):
+        monkeypatch.setattr(C, "TABLE_BYTES", limit)
+        for n, expected in ((1, single), (2, want)):
+            assert {(r["cls"], r["term"]): r["tf"] for r in T.term_counts(df, "cls", "text", stop, (1, n)).collect()} == expected
+
+
+def test_bigrams_are_formed_without_a_shuffle_of_terms(spark):
+    from trailspark.plans import registry
+    df = registry.QUERIES["term_counts_bigrams"](spark, SF)
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in ran and "posexplode(" not in ran

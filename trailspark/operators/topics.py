@@ -3,8 +3,8 @@ topic similarity (T19), document vectors (T7), clustering with outliers and
 size-ordered ids (T10), target-count search (T11), topic reduction (T12), assignment back to the journals (T14), per-group
 topics (T15) and bar-chart data (T17).
 
-Scale notes: term counting is ``explode`` -> anti-join (stop list) ->
-``groupBy(class, term)`` with map-side partial aggregation,
+Scale notes: term counting is stop-word removal inside the row (a join only for
+a large stop list) -> ``explode`` -> ``groupBy(class, term)`` with map-side partial aggregation,
 so the outlier topic -1 holding a third of all documents reaches the
 shuffle as one partial row per (partition, term).  Everything after the
 counts works on topic-level tables whose size is bounded by the number of
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.text import word_terms
+from trailspark.operators.cleaning import WordTable
 from trailspark.operators.clustering import choose_cut, cut_tree, divisive_tree, keyed_kmeans, points_of
 from trailspark.operators.common import rank_within
 from trailspark.operators.density import density_clusters
@@ -28,14 +29,22 @@ from trailspark.operators.merging import final_topics, merge_log
 from trailspark.session import cut_lineage, materialize
 
 
-def _bigrams(terms: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of consecutive terms left after stop-word removal: the kept
-    terms of a document are put back in order and paired inside its row."""
-    kept = terms.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "term"))), lambda x: x["term"]).alias("t"))
-    n = F.size("t")
-    pairs = F.zip_with(F.slice("t", 1, F.greatest(n - 1, F.lit(1))), F.slice("t", 2, F.greatest(n - 1, F.lit(1))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return kept.where(n >= 2).select(keys[0], F.explode(pairs).alias("term"))
+def _kept_terms(docs: DataFrame, stop: DataFrame) -> DataFrame:
+    """``cls, t``: the terms of every document without stop words, in order.  The stop words are looked up inside the row;
+    with a list too large for that, the places of the terms are joined with it, and the kept ones are put back in order."""
+    table = WordTable(stop)
+    docs = docs.select("cls", word_terms("_text").alias("_terms"))
+    inside = table.inside(docs.where(table.small.scalar()), "t", lambda has: F.filter("_terms", lambda x: ~has(x))).select("cls", "t")
+    large = docs.where(~table.small.scalar()).withColumn("_doc", F.monotonically_increasing_id())  # numbered before the terms are exploded
+    places = large.select("cls", "_doc", F.posexplode("_terms").alias("_pos", "word")).join(table.words, "word", "left_anti")
+    kept = places.groupBy("cls", "_doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "word"))), lambda x: x["word"]).alias("t"))
+    return inside.unionByName(kept.select("cls", "t"))
+
+
+def _bigrams(t: str) -> Column:
+    """Pairs of consecutive terms of an array."""
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def term_counts(df: DataFrame, class_col: str, text_col: str, stop: DataFrame | None = None,
@@ -45,13 +54,8 @@ def term_counts(df: DataFrame, class_col: str, text_col: str, stop: DataFrame |
     capitalised stop word removes nothing.  ``ngram_range=(1, 2)`` adds bigrams
     (T9), formed after stop-word removal.  Stop lists may have any length."""
     docs = df.where(F.col(class_col).isNotNull()).select(F.col(class_col).alias("cls"), F.col(text_col).alias("_text"))
-    if ngram_range != (1, 1):  # numbered before the terms are exploded
-        docs = docs.withColumn("_doc", F.monotonically_increasing_id())
-    t = docs.select(*[c for c in docs.columns if c != "_text"], F.posexplode(word_terms("_text")).alias("_pos", "term"))
-    if stop is not None:
-        t = t.join(stop.select(F.col("word").alias("term")).distinct(), "term", "left_anti")
-    if ngram_range != (1, 1):
-        t = t.select("cls", "term").unionByName(_bigrams(t, ["cls", "_doc"]))
+    kept = docs.select("cls", word_terms("_text").alias("t")) if stop is None else _kept_terms(docs, stop)
+    t = kept.select("cls", F.explode("t" if ngram_range == (1, 1) else F.concat("t", _bigrams("t"))).alias("term"))
     return t.groupBy("cls", "term").agg(F.count(F.lit(1)).alias("tf")).withColumnRenamed("cls", class_col)
 
 
