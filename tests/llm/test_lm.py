@@ -165,3 +165,12 @@ def test_long_texts_are_learned_from_whole():
     texts = [np.append(r.integers(2, 30, n), 0) for n in (0, 3, 2000, 700, 41)]
     Probe(p, 0.01).texts(texts, lanes=4, window=24)
     assert sorted(seen) == sorted(np.concatenate(texts).tolist())
+
+
+def test_network_learns_from_every_training_token(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_TOKENS", 500)  # several tasks, whose parameters are averaged
+    rng = H.rng(6)
+    docs = H.documents(spark, [" ".join(H.words(rng, rng.randrange(1, 60), 90)) for _ in range(120)] + H.odd_texts()).select("doc_id", "text")
+    train = docs.where(doc_fold(folds=10) != 0)
+    counts = lm.count_words(train)
+    assert lm.fit(train, counts).learned == counts.n_tokens

@@ -5,8 +5,8 @@ Counts: every word of every training text is counted by Spark.  The most frequen
 task and meet their exact counts in a shuffle join, so the vocabulary may grow without bound.
 
 Network: a GRU over the ``LM_WORDS`` most frequent words, an unknown word and the end, with a softmax
-factored into word classes.  It is trained by truncated backpropagation in numpy on a fixed share of the training
-texts, the same at every size: tasks grow in number with the tokens, each trains on its part from the common
+factored into word classes.  It is trained by truncated backpropagation in numpy on all training
+texts: tasks grow in number with the tokens, each trains on its part from the common
 parameters, and the parameters are averaged by a tree of tasks after each round.  An unknown word is charged its share of the smoothed counts of
 all unlisted words, so the model is a distribution over the same tokens as the unigram base.
 
@@ -31,13 +31,15 @@ from trailspark.llm.common import map_texts, materialize, text_bytes
 HEAD_WORDS = 400_000
 LM_WORDS = 2_000
 HIDDEN = 24
-# Share of the training texts that the network learns from, whatever their number.
-SHARE = 0.08
+# Share of the training texts that the network learns from: all of them.
+SHARE = 1.0
 # Tokens that one task trains on from the common parameters, and parameter sets that one task averages.
-PART_TOKENS = 400_000
+PART_TOKENS = 1_600_000
 FAN_IN = 64
+# Lanes of a small part; a larger one has a lane for each LANE_TOKENS tokens, up to MOST_LANES, so that a step is dear only once.
 TRAIN_LANES, TRAIN_WINDOW = 32, 24
-# Learning rates of the rounds; each round reads the whole sample.
+MOST_LANES, LANE_TOKENS = 128, 12_500
+# Learning rates of the rounds; each round reads all the texts.
 RATES = (0.02,)
 # A longer text is learned from in stretches on several lanes, so that no window holds one text alone.
 STRETCH = 512
@@ -299,6 +301,7 @@ class Model:
     params: dict[str, np.ndarray]
     ids: dict[bytes, int]  # words of the network
     unlisted: float  # smoothed counts of all words that are not listed, unseen ones included
+    learned: int = 0  # tokens that the network learned from in the last round
 
 
 def vocabulary(counts: Counts, size: int = LM_WORDS) -> tuple[dict[bytes, int], np.ndarray, float]:
@@ -310,10 +313,10 @@ def vocabulary(counts: Counts, size: int = LM_WORDS) -> tuple[dict[bytes, int],
 
 def fit(train: DataFrame, counts: Counts, doc_id: str = "doc_id", text: str = "text", share: float = SHARE,
         rates: tuple[float, ...] = RATES) -> Model:
-    """Train the network on a share of the texts: rounds of truncated backpropagation in tasks of about ``PART_TOKENS``
+    """Train the network on all texts: rounds of truncated backpropagation in tasks of about ``PART_TOKENS``
     tokens, then the mean of their parameters.
 
-    Texts are drawn by id and text, so rows without an id are drawn for themselves.
+    With a ``share`` below one, texts are drawn by id and text, so rows without an id are drawn for themselves.
     """
     ids, freq, unlisted = vocabulary(counts)
     params = new_params(freq)
@@ -328,10 +331,10 @@ def fit(train: DataFrame, counts: Counts, doc_id: str = "doc_id", text: str = "t
 
     u = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("lm")),
                F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = materialize(map_texts(train.where(u < share).select(text_bytes(text)), encode, "ids binary"))
+    sample = materialize(map_texts((train.where(u < share) if share < 1 else train).select(text_bytes(text)), encode, "ids binary"))
     tokens = sample.agg(F.sum(F.length("ids") / 4)).first()[0] or 0
     parts = max(1, math.ceil(tokens / PART_TOKENS))
-    names = sorted(params)
+    names, learned = sorted(params), 0
     for rate in rates:
         now = spark.sparkContext.broadcast(params)
 
@@ -342,10 +345,10 @@ def fit(train: DataFrame, counts: Counts, doc_id: str = "doc_id", text: str = "t
                     held.append(np.frombuffer(x, np.int32).astype(np.int64))
                     n += len(held[-1])
                 if n >= BUFFER_TOKENS:
-                    trainer.texts(held)
+                    trainer.texts(held, _lanes(n))
                     total, held, n = total + n, [], 0
             if held:
-                trainer.texts(held)
+                trainer.texts(held, _lanes(n))
                 total += n
             if total:
                 yield _sums(total, np.concatenate([trainer.p[k].ravel() for k in names]).astype(np.float64) * total)
@@ -358,13 +361,18 @@ def fit(train: DataFrame, counts: Counts, doc_id: str = "doc_id", text: str = "t
         got = sums.collect()
         if not got:
             break
-        mean = (np.frombuffer(bytes(got[0]["p"]), np.float64) / got[0]["n"]).astype(np.float32)
+        learned = got[0]["n"]
+        mean = (np.frombuffer(bytes(got[0]["p"]), np.float64) / learned).astype(np.float32)
         at = 0
         for k in names:
             size = params[k].size
             params[k] = mean[at:at + size].reshape(params[k].shape)
             at += size
-    return Model(params, ids, unlisted)
+    return Model(params, ids, unlisted, learned)
+
+
+def _lanes(tokens: int) -> int:
+    return min(MOST_LANES, max(TRAIN_LANES, tokens // LANE_TOKENS))
 
 
 def _sums(n: int, p: np.ndarray) -> pa.RecordBatch:
