@@ -124,3 +124,27 @@ def test_bigrams_are_formed_without_a_shuffle_of_terms(spark):
     df.collect()
     ran = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "isFinalPlan=true" in ran and "posexplode(" not in ran
+
+
+def test_blocks_as_matrices_equal_sorted_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    from trailspark.operators import embedding as E
+    r = np.random.default_rng(0)
+    lists = [r.integers(0, 512, n).tolist() * 2 for n in r.integers(90, 200, 50)] + [[], [7], [7, 7, 3]]
+    hashes, idf, q = pa.array(lists, pa.list_(pa.int32())).slice(1), r.random(512) + 0.1, r.standard_normal((512, 6))
+    dense, sparse = E._rows(hashes, idf), E._Rows(hashes, idf)
+    assert isinstance(dense, E._Dense) and isinstance(E._rows(hashes.slice(50), idf), E._Rows)
+    y, out, want = dense.times(q), np.ones(q.shape), np.ones(q.shape)
+    dense.add_transposed(y, out)
+    sparse.add_transposed(sparse.times(q), want)
+    assert np.allclose(y, sparse.times(q)) and np.allclose(out, want)
+
+
+def test_words_of_topics_read_the_texts_once(spark):
+    from trailspark.plans import topics as P
+    docs = S.journals(spark, SF, with_label=False, columns=["journal_id", "journal_story", "topic"])
+    words = P._words(spark, SF, docs)
+    assert "regexp_extract_all" not in words._jdf.queryExecution().optimizedPlan().toString()
+    assert words.count() == docs.select("topic").distinct().count()

@@ -35,6 +35,32 @@ def term_hashes(text: str, features: int = FEATURES) -> Column:
     return F.coalesce(F.transform(word_terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int")), F.array().cast("array<int>"))
 
 
+# Rows of a block, and terms a row from which a block is held as a matrix: its product is then faster than sorting and gathering the terms.
+BLOCK_ROWS = 256
+DENSE_TERMS = 100
+
+
+class _Dense:
+    """The TF-IDF rows of a block as a matrix: terms are counted in place, without a sort."""
+
+    def __init__(self, hashes: pa.Array, idf: np.ndarray):
+        length = hashes.value_lengths().to_numpy(zero_copy_only=False)
+        key = np.repeat(np.arange(len(length)) * len(idf), length) + hashes.flatten().to_numpy(zero_copy_only=False)
+        self.a = np.bincount(key, minlength=len(length) * len(idf)).reshape(len(length), len(idf)) * idf
+        self.a /= np.maximum(np.sqrt(np.einsum("ij,ij->i", self.a, self.a)), 1e-300)[:, None]
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        return self.a @ m
+
+    def add_transposed(self, y: np.ndarray, out: np.ndarray) -> None:
+        out += self.a.T @ y
+
+
+def _rows(hashes: pa.Array, idf: np.ndarray) -> _Dense | _Rows:
+    many = 0 < len(hashes) <= BLOCK_ROWS and len(hashes.flatten()) >= DENSE_TERMS * len(hashes)
+    return (_Dense if many else _Rows)(hashes, idf)
+
+
 class _Rows:
     """The TF-IDF rows of an Arrow batch as sorted (row, term, weight) triples."""
 
@@ -80,7 +106,7 @@ def _gram_times(hashed: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray
         total = np.zeros(q.shape)
         for batch in batches:
             for part in _cut(batch):
-                rows = _Rows(part.column(part.num_columns - 1), idf)
+                rows = _rows(part.column(part.num_columns - 1), idf)
                 rows.add_transposed(rows.times(q), total)
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_pydict({"term": some.astype(np.int32), **{f"x{k}": total[some, k] for k in range(q.shape[1])}})
@@ -124,7 +150,7 @@ def embed(df: DataFrame, text: str = "journal_story", dims: int = DIMS, features
     def project(batches):
         for batch in batches:
             for part in _cut(batch):
-                y = _Rows(part.column(part.num_columns - 1), idf).times(v)
+                y = _Rows(part.column(part.num_columns - 1), idf).times(v)  # row by row, so that equal texts have equal vectors
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
                 vectors = pa.ListArray.from_arrays(np.arange(0, y.size + 1, max(1, y.shape[1]), dtype=np.int32), y.ravel())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], vectors], [*keep, out])

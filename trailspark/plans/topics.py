@@ -174,8 +174,10 @@ def topic_group_skipped(spark, sf_dir):
     return T.skipped_groups(j, "trail_club", 60)
 
 
-def _words(spark, sf_dir, docs, cls="topic"):
-    return T.topic_words(T.ctfidf(T.term_counts(docs, cls, "journal_story", _stop(spark, sf_dir)), cls), cls)
+def _words(spark, sf_dir, docs, cls="topic", stop=None):
+    """Words of every topic.  The counts are written once, since three steps read them and the texts are dear to read again."""
+    counts = materialize(T.term_counts(docs, cls, "journal_story", _stop(spark, sf_dir) if stop is None else stop))
+    return T.topic_words(T.ctfidf(counts, cls), cls)
 
 
 def topic_assign(spark, sf_dir, target: int = TARGET):
@@ -284,6 +286,5 @@ def topic_assign_english(spark, sf_dir, target: int = TARGET):
     lang = L.is_english(L.detect(masked, *L.train_profile(docs), id_col="journal_id", text_col="journal_story", keep=("journal_story", "valid")))
     valid = materialize(lang.where(F.col("valid") & F.col("is_english")).select("journal_id", "journal_story"))
     assign = _fitted(valid, target).select("journal_id", "topic")
-    words = T.topic_words(T.ctfidf(T.term_counts(valid.join(assign, "journal_id"), "topic", "journal_story",
-                                                 stop), "topic"), "topic")
+    words = _words(spark, sf_dir, valid.join(assign, "journal_id"), "topic", stop)
     return T.assign_topics(cleaned.select("journal_id", "journal_story"), assign, words, unassigned=None)
