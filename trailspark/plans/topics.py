@@ -219,7 +219,8 @@ def topic_assign_given(spark, sf_dir):
     extras = S.stop_words(spark, sf_dir).where(F.col("version") == 2).select("word")
     cleaned = C.clean_dict_substring(j, C.stop_list(j, extras), S.english_vocabulary(spark, sf_dir))
     assign = _given(spark, sf_dir).select(F.col("vec_id").alias("journal_id"), F.col("label").alias("topic"))
-    words = _words(spark, sf_dir, cleaned.join(assign, "journal_id"))
+    cleaned = materialize(cleaned.join(assign, "journal_id").select("journal_id", "journal_story", "topic"))  # cleaned once
+    words = _words(spark, sf_dir, cleaned)
     return T.assign_topics(j.select("journal_id", "trail_club"), assign, words).select("journal_id", "trail_club", "topic", "topic_words")
 
 
