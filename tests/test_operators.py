@@ -187,3 +187,21 @@ def test_week_buckets_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert utc == ny and len(utc) >= 4
+
+
+def test_substring_removal_in_batches(spark):
+    """Words go one after another, also where removing one makes the next; every partition gets the list; the whole
+    list is gone through inside the task, not by an expression per word and byte in the row."""
+    words = ["ab", "cd", "é", "zz", "x\U0001f600", "", "aé"]
+    stop = spark.createDataFrame([(w, 1, float(k)) for k, w in enumerate(words)], "word string, g int, k double")
+    texts = ["acdb ab", "aabb xé cd", "azézb", "x\U0001f600\U0001f600", " zz ", "", None, "aaébc d", "ÉAB"] * 7
+    j = spark.createDataFrame([(i, t, f"n{i}") for i, t in enumerate(texts)], "journal_id long, journal_story string, trail_name string").repartition(5)
+    cleaned = C.clean_substring(j, stop)
+    assert cleaned.columns == j.columns
+    got = {r["journal_id"]: (r["journal_story"], r["trail_name"]) for r in cleaned.collect()}
+    for i, t in enumerate(texts):
+        for w in words if t else []:
+            t = t.replace(w, "") if w else t
+        assert got[i] == ((t or "").strip() or None, f"n{i}"), i
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "replace(" not in plan

@@ -51,12 +51,3 @@ def tokens(c) -> Column:
 def word_terms(c) -> Column:
     """Lower-cased vectoriser terms: runs of >= 2 word characters."""
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD_PATTERN), 0)
-
-
-def remove_substrings(c, words: Column) -> Column:
-    """Remove each word of an array as a substring, in array order, case-sensitive.
-
-    Mirrors sequential ``text.replace(w, '')``: a word is removed inside
-    longer words too, and the order matters when words overlap.
-    """
-    return F.aggregate(words, _col(c), lambda acc, w: F.when(F.length(w) > 0, F.replace(acc, w, F.lit(""))).otherwise(acc))

@@ -6,15 +6,19 @@ exploded nor shuffled: a list becomes a hash table, an array of buckets of words
 is compared with the words of its bucket.  Such a table reaches every task, so it is made only of lists that
 measure at most ``TABLE_BYTES``.  A larger list stays where it is, and the places and tokens of the stories
 are joined with it.  Both ways are in one plan; the measured size decides when it runs, and no job runs before
-the result is used.  The removal of substrings (T1) needs the whole list, in order, in each task.
+the result is used.  The removal of substrings (T1) needs the whole list, in order, in each task,
+where Arrow batches of whole texts go through it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.functions.text import blank_to_null, remove_substrings, tokens
+from trailspark.functions.text import blank_to_null, tokens
 
 
 def stop_list(journals: DataFrame, extras: DataFrame, name_col: str = "trail_name") -> DataFrame:
@@ -35,10 +39,58 @@ def stop_list(journals: DataFrame, extras: DataFrame, name_col: str = "trail_nam
             .select("word", F.col("o.g").alias("g"), F.col("o.k").alias("k")))
 
 
+# Words held at once in the lists that :func:`_removals` keeps for texts of the same bytes.
+HELD_WORDS = 1_000_000
+
+
+def _removals(words: list[bytes]) -> Callable[[bytes], bytes]:
+    """A function that removes every word from a text, one after another.
+
+    Removing never adds a byte, so words with a byte that the text lacks are passed over.
+    """
+    known, lists, held = sorted({c for w in words for c in w}), {}, 0
+    letters = [(w, frozenset(w)) for w in words if w]
+
+    def remove(text: bytes) -> bytes:
+        nonlocal held
+        some = bytes([c for c in known if c in text])
+        able = lists.get(some)
+        if able is None:
+            if held > HELD_WORDS:
+                lists.clear()
+                held = 0
+            found = frozenset(some)
+            able = lists[some] = [w for w, need in letters if need <= found]
+            held += len(able) + 1
+        for w in able:
+            text = text.replace(w, b"")
+        return text
+
+    return remove
+
+
 def _remove_all(df: DataFrame, text, stop: DataFrame, out: str) -> DataFrame:
-    """``df`` with ``out`` = ``text`` after removing every stop word in order."""
-    words = stop.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "k", "word"))), lambda x: x["word"]).alias("w")).scalar()
-    return df.withColumn("_stop", words).withColumn(out, remove_substrings(text, F.col("_stop"))).drop("_stop")
+    """``df`` with ``out`` = ``text`` after removing every stop word in order.
+
+    The words are removed from the UTF-8 bytes inside the task.  The list comes with the first row of every partition, so it
+    travels once and no job runs while the plan is built.
+    """
+    words = stop.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "k", "word"))), lambda x: x["word"].cast("binary")).alias("w")).scalar()
+    kept = [c for c in df.columns if c != out]
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    src = df.select(*kept, text.cast("binary").alias("_removed"), F.when(first, words).alias("_stop"))
+
+    def run(batches):
+        remove = None
+        for b in batches:
+            if remove is None and b.num_rows:
+                remove = _removals(b.column(b.num_columns - 1)[0].as_py())
+            texts = [None if t is None else remove(t) for t in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], pa.array(texts, b.schema.field(len(kept)).type)], [*kept, "_removed"])
+
+    done = src.mapInArrow(run, src.drop("_stop").schema)
+    names = df.columns if out in df.columns else [*df.columns, out]
+    return done.select(*[F.col("_removed").cast("string").alias(out) if c == out else c for c in names])
 
 
 def clean_substring(df: DataFrame, stop: DataFrame, col: str = "journal_story") -> DataFrame:
