@@ -174,3 +174,36 @@ def test_network_learns_from_every_training_token(spark, monkeypatch):
     train = docs.where(doc_fold(folds=10) != 0)
     counts = lm.count_words(train)
     assert lm.fit(train, counts).learned == counts.n_tokens
+
+
+def test_frequent_words_share_their_class_with_few():
+    """What a token costs: the classes and the words of its own class, 90 on average with classes of one width."""
+    first = lm.classes(2002)
+    assert first[0] == 0 and first[-1] == 2002 and (np.diff(first) > 0).all()
+    ids = np.arange(2002)
+    assert (lm.class_of(ids) == np.searchsorted(first, ids, "right") - 1).all()
+    mass = 1 / (ids + 2.7)
+    width = np.diff(first)
+    assert len(width) + np.add.reduceat(mass / mass.sum(), first[:-1]) @ width < 75
+    for n in (1, 2, 4, 5, 30):
+        p = lm.new_params(np.ones(n), 3)
+        h = np.zeros((2, 3), np.float32)
+        assert np.isclose(sum(np.exp(lm.token_log(p, h, np.full(2, t))[0]) for t in range(n)), 1).all()
+
+
+def test_large_weights_neither_overflow_nor_vanish():
+    p = {k: v * np.where(k in ("wc", "ww"), 4000.0, 1.0) for k, v in small_params().items()}
+    h = np.random.default_rng(2).uniform(-1, 1, size=(40, 5))
+    log, dh = lm.token_log(p, h, np.arange(40) % 30, {k: np.zeros_like(v) for k, v in p.items()})
+    assert np.isfinite(log).all() and np.isfinite(dh).all()
+
+
+def test_words_of_batches_equal_those_of_single_texts():
+    import pyarrow as pa
+    texts = ["", None, " a\tB\x0bb\x0c\r ", "ÉA  x\x1cy", "\n", "one", *H.odd_texts(), None]
+    words, n = lm.words_in(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    want = [[w.encode() for w in tokens(t)[:-1]] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [w for t in want for w in t]
+    assert lm.places(pa.array([b"b", b"", b"a"]), pa.array([b"a", b"b"])).tolist() == [1, -1, 0]
+    ids, ends = lm.with_ends(np.array([7, 8, 9], np.int32), np.array([2, 0, 1, 0]))
+    assert ids.tolist() == [7, 8, 0, 0, 9, 0, 0] and ends.tolist() == [3, 4, 6, 7]

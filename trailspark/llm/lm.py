@@ -17,11 +17,11 @@ text and is carried over windows, so a whole text of any length is scored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,101 +44,177 @@ RATES = (0.02,)
 # A longer text is learned from in stretches on several lanes, so that no window holds one text alone.
 STRETCH = 512
 LANES, WINDOW = 256, 64
-# Tokens that one task holds at once, and words it counts before it passes them on.
+# Tokens that one task holds at once.
 BUFFER_TOKENS = 3_000_000
-COUNT_FLUSH = 400_000
 SMOOTH = 0.1
 END, UNK = 0, 1
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def words_of(data: bytes | None) -> list[bytes]:
-    """[A-Z] lower-cased; words are runs of anything but space and \\t\\n\\v\\f\\r."""
-    return data.translate(LOWER).split() if data else []
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, one text after another, and how many each has; [A-Z] is lower-cased, words are runs of anything
+    but space and \\t\\n\\v\\f\\r, and a null text has none."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words = pieces.flatten().view(pa.binary())
+    real = pc.not_equal(pc.binary_length(words), 0)  # a piece before the first space or after the last is empty
+    row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))
+    return words.filter(real), np.bincount(row[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def places(words: pa.Array | pa.ChunkedArray, known: pa.Array) -> np.ndarray:
+    """Place of each word among the ``known`` ones, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
+def with_ends(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts of ``n`` words with the end after each text, and the places after these ends."""
+    ends = np.cumsum(n + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, END, ids.dtype)
+    word = np.ones(len(out), bool)
+    word[ends - 1] = False
+    out[word] = ids
+    return out, ends
 
 
 # ---------------------------------------------------------------- network
 
-def classes(n: int) -> tuple[int, int]:
-    """Number and width of the word classes for ``n`` tokens."""
-    c = max(1, math.isqrt(n))
-    return c, -(-n // c)
+def classes(n: int) -> np.ndarray:
+    """First ids of the word classes for ``n`` tokens, and ``n``: class ``j`` holds the ids from ``4 * j * j`` on, so the frequent
+    tokens, which come first, share their class with few others."""
+    return np.append(4 * np.arange(math.isqrt(max(n - 1, 0) // 4) + 1) ** 2, n)
+
+
+def class_of(ids: np.ndarray) -> np.ndarray:
+    return (np.sqrt(ids) / 2).astype(np.int16)
 
 
 def new_params(freq: np.ndarray, hidden: int = HIDDEN, seed: int = 11) -> dict[str, np.ndarray]:
     """Parameters that start as the unigram model; token ids are ordered so that neighbours share a class."""
     rng = np.random.default_rng(seed)
     n = len(freq)
-    c, k = classes(n)
-    p = np.zeros(c * k)
-    p[:n] = (freq + 0.5) / (freq.sum() + 0.5 * n)
-    per = p.reshape(c, k)
-    mass = per.sum(1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        word = np.where(per > 0, np.log(per / mass), -1e9)
-        cls = np.where(mass[:, 0] > 0, np.log(mass[:, 0]), -1e9)
+    first = classes(n)
+    p = (freq + 0.5) / (freq.sum() + 0.5 * n)
+    mass = np.add.reduceat(p, first[:-1])
     f = np.float32
     return {"x": rng.normal(0, 0.1, (n + 1, 3 * hidden)).astype(f),  # the last row starts a text
             "u": rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(f), "b": np.zeros(3 * hidden, f),
-            "wc": rng.normal(0, 0.05, (hidden, c)).astype(f), "bc": cls.astype(f),
-            "ww": rng.normal(0, 0.05, (c, k, hidden)).astype(f), "bw": word.astype(f)}
+            "wc": rng.normal(0, 0.05, (hidden, len(mass))).astype(f), "bc": np.log(mass).astype(f),
+            "ww": rng.normal(0, 0.05, (n, hidden)).astype(f), "bw": np.log(p / np.repeat(mass, np.diff(first))).astype(f)}
+
 
+def gru_states(p, h, tokens, start, tape=None):
+    """States after every step of all lanes, as (step, unit, lane); a lane that starts a text forgets its state.
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    The last axis is that of the lanes, so gates are whole blocks.  ``tape`` gets what backpropagation needs.
+    """
+    steps, (lanes, hidden) = len(tokens), h.shape
+    # the gates' sums are negated for 1 / (1 + exp(-x))
+    sign = np.repeat(np.array([-1, -1, 1], p["u"].dtype), hidden)
+    u = np.ascontiguousarray((p["u"] * sign).T)
+    a = np.ascontiguousarray(((p["x"] + p["b"]) * sign)[tokens].transpose(0, 2, 1))
+    begins = tokens == start
+    some = begins.any(axis=1).tolist()
+    dtype = a.dtype
+    states = np.empty((steps, hidden, lanes), dtype)
+    if tape is not None:
+        tape["prev"], tape["gn"], tape["n"] = (np.empty_like(states) for _ in range(3))
+        tape["zr"] = a[:, :2 * hidden]
+    h, g, d = np.array(h.T, dtype, order="C"), np.empty((3 * hidden, lanes), dtype), np.empty((hidden, lanes), dtype)
+    for t in range(steps):
+        if some[t]:
+            h = h * ~begins[t]
+        np.matmul(u, h, out=g)
+        zr, n, gn = a[t, :2 * hidden], a[t, 2 * hidden:], g[2 * hidden:]
+        if tape is not None:
+            tape["prev"][t], tape["gn"][t] = h, gn
+        zr += g[:2 * hidden]
+        np.minimum(zr, 80, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        gn *= zr[hidden:]
+        n += gn
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=d)
+        d *= zr[:hidden]
+        h = np.add(n, d, out=states[t])
+        if tape is not None:
+            tape["n"][t] = n
+    return states
 
 
 def gru_step(p, h, tokens, start):
-    """One step of all lanes; a lane that starts a text forgets its state."""
-    hidden = h.shape[1]
-    h = h * (tokens != start)[:, None]
-    a = p["x"][tokens] + p["b"]
-    g = h @ p["u"]
-    zr = sigmoid(a[:, :2 * hidden] + g[:, :2 * hidden])
-    z, r = zr[:, :hidden], zr[:, hidden:]
-    n = np.tanh(a[:, 2 * hidden:] + r * g[:, 2 * hidden:])
-    return n + z * (h - n), (h, z, r, n, g[:, 2 * hidden:])
+    """One step of all lanes: their new states, and None."""
+    return gru_states(p, h, tokens[None], start)[0].T, None
 
 
 def token_log(p, h, target, grads=None):
     """Natural logarithms of the targets' probabilities; with ``grads`` also the gradient of -sum by h."""
-    c, k = p["bw"].shape
-    cls, pos = target // k, target % k
-    rows = np.arange(len(h))
-    logit = h @ p["wc"] + p["bc"]
-    logit -= logit.max(1, keepdims=True)
-    e = np.exp(logit)
-    total = e.sum(1)
-    out = logit[rows, cls] - np.log(total)
+    first = classes(len(p["bw"]))
+    cls = class_of(target)
+    order = np.argsort(cls, kind="stable")  # tokens of a class lie side by side
+    cls, target, rows = cls[order], target[order], np.arange(len(order))
+    units = h.shape[1]
+    # the last line of ones meets the biases, so one product does for both
+    hs = np.empty((units + 1, len(order)), p["wc"].dtype)
+    np.take(h.T, order, axis=1, out=hs[:units], mode="clip")
+    hs[units] = 1
+    wc, ww = np.vstack([p["wc"], p["bc"]]).T, np.column_stack([p["ww"], p["bw"]])
+    size = [(np.abs(w[:, :-1]).sum(axis=1), w[:, -1]) for w in (wc, ww)]
+    far = any((b + x).max() > 80 or (b - x).max() < -80 for x, b in size)  # states lie in (-1, 1), so else nothing overflows
+
+    def softmax(w, x, at, total):
+        """Sums of the softmax of lines ``w`` at the places ``at``, and the gradient of -sum by them; ``total`` gets the divisors."""
+        e = w @ x
+        if far:
+            e -= e.max(axis=0)
+        line = rows[:len(at)]
+        log = e[at, line]
+        np.exp(e, out=e)
+        np.sum(e, axis=0, out=total)
+        if grads is not None:
+            e *= 1 / total
+            e[at, line] -= 1
+        return log, e
+
+    totals = np.ones((2, len(order)), hs.dtype)
+    log, d = softmax(wc, hs, cls, totals[0])
     dh = None
     if grads is not None:
-        d = e / total[:, None]
-        d[rows, cls] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(c + 1))
-    for j in range(c):
-        at = order[bounds[j]:bounds[j + 1]]
-        if not len(at):
+        g = d @ hs.T
+        grads["wc"] += g[:, :-1].T
+        grads["bc"] += g[:, -1]
+        dh = p["wc"] @ d
+        by_word = np.zeros_like(ww)
+    bounds = np.searchsorted(cls, np.arange(len(first))).tolist()
+    starts = first.tolist()
+    place = target - first[cls]
+    for j in range(len(first) - 1):
+        i, k, lo, hi = bounds[j], bounds[j + 1], starts[j], starts[j + 1]
+        if i == k or hi - lo == 1:  # the only token of a class
             continue
-        hj = h[at]
-        logit = hj @ p["ww"][j].T + p["bw"][j]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
-        i = np.arange(len(at))
-        out[at] += logit[i, pos[at]] - np.log(total)
+        x, w = hs[:, i:k], ww[lo:hi]
+        inner, d = softmax(w, x, place[i:k], totals[1, i:k])
+        log[i:k] += inner
         if grads is not None:
-            d = e / total[:, None]
-            d[i, pos[at]] -= 1
-            grads["ww"][j] += d.T @ hj
-            grads["bw"][j] += d.sum(0)
-            dh[at] += d @ p["ww"][j]
+            np.matmul(d, x.T, out=by_word[lo:hi])
+            dh[:, i:k] += w[:, :-1].T @ d
+    log -= np.log(totals).sum(axis=0)
+    out = np.empty_like(log)
+    out[order] = log
+    if dh is not None:
+        grads["ww"] += by_word[:, :-1]
+        grads["bw"] += by_word[:, -1]
+        back = np.empty_like(order)
+        back[order] = rows
+        dh = np.take(dh, back, axis=1).T
     return out, dh
 
 
+def _flat(states: np.ndarray) -> np.ndarray:
+    """States of a window as (place, unit), with the units' lines in memory."""
+    return np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(states.shape[1], -1).T
+
+
 def lay_out(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     """Texts on lanes of about equal length: the longest first, each on the shortest lane."""
     import heapq
@@ -178,66 +254,99 @@ def score_texts(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int =
         live = int(np.searchsorted(-size, -t0))  # lanes longer than t0
         h = h[:live]
         steps = min(window, int(size[0]) - t0)
-        states = np.empty((steps, live, h.shape[1]), np.float32)
         place = offset[:live] + t0 + np.arange(steps)[:, None]
         inside = (t0 + np.arange(steps))[:, None] < size[:live]
-        tokens = inputs[np.where(inside, place, offset[:live])]
-        for t in range(steps):
-            h, _ = gru_step(p, h, tokens[t], start)
-            states[t] = h
+        states = gru_states(p, h, inputs[np.where(inside, place, offset[:live])], start)
+        h = states[-1].T
         at = place[inside]
-        logs[at] = token_log(p, states[inside], target[at])[0]
+        logs[at] = token_log(p, _flat(states)[inside.ravel()], target[at])[0]
     out = np.empty(len(texts))
     out[order] = np.add.reduceat(logs, first)
     return out
 
 
+# Numbers that one step of Adam works on at once.
+BLOCK = 1 << 15
+
+
 class Trainer:
-    """Adam on truncated windows; the state is carried from window to window."""
+    """Adam on truncated windows; the state is carried from window to window.  All parameters lie in one array."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.step = p, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.rate, self.step = rate, 0
+        self.flat = np.concatenate([v.ravel() for v in p.values()])
+        self.moments, self.grads = np.zeros((2, self.flat.size), self.flat.dtype), np.zeros_like(self.flat)
+        ends = np.cumsum([v.size for v in p.values()])
+        views = [{k: x[e - v.size:e].reshape(v.shape) for e, (k, v) in zip(ends, p.items(), strict=True)}
+                 for x in (self.flat, *self.moments, self.grads)]
+        self.p, self.m, self.v, self.g = views
 
     def window(self, h, tokens, target, start, inside=None):
         """One step on a window; ``inside`` marks the places before the lanes' ends (default: all)."""
-        p, hidden = self.p, h.shape[1]
+        p, g, hidden = self.p, self.g, h.shape[1]
         inside = np.ones(target.shape, bool) if inside is None else inside
-        tape = []
-        states = np.empty((len(tokens), *h.shape), np.float32)
-        for t in range(len(tokens)):
-            h, saved = gru_step(p, h, tokens[t], start)
-            tape.append(saved)
-            states[t] = h
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        dout = np.zeros_like(states)
-        dout[inside] = token_log(p, states[inside], target[inside], g)[1]
-        dh = np.zeros_like(h)
-        da = np.empty((len(tokens), len(h), 3 * hidden), np.float32)
-        for t in range(len(tokens) - 1, -1, -1):
-            prev, z, r, n, gn = tape[t]
-            dh = dh + dout[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (prev - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da[t] = np.concatenate([dz, dr, dn], 1)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            g["u"] += prev.T @ dg
-            dh = (dh * z + dg @ p["u"].T) * (tokens[t] != start)[:, None]
-        flat = da.reshape(-1, 3 * hidden)
-        g["b"] += flat.sum(0)
-        np.add.at(g["x"], tokens.ravel(), flat)
-        scale = 1 / inside.sum()
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
+        self.grads[:] = 0
+        tape = {}
+        states = gru_states(p, h, tokens, start, tape)
+        steps, _, lanes = states.shape
+        if inside.all():
+            dout = token_log(p, _flat(states), target.ravel(), g)[1].T.reshape(hidden, steps, lanes)
+        else:
+            dout = np.zeros((hidden, steps * lanes), states.dtype)
+            dout[:, inside.ravel()] = token_log(p, _flat(states)[inside.ravel()], target[inside], g)[1].T
+            dout = dout.reshape(hidden, steps, lanes)
+        z, r, n = tape["zr"][:, :hidden], tape["zr"][:, hidden:], tape["n"]
+        rest = 1 - z
+        by_z, by_r, by_n = (tape["prev"] - n) * z * rest, tape["gn"] * r * (1 - r), rest * (1 - n * n)
+        begins = tokens == start
+        some = begins.any(axis=1).tolist()
+        dh = np.zeros((hidden, lanes), states.dtype)
+        da = np.empty((steps, 3 * hidden, lanes), states.dtype)
+        dg = np.empty_like(da)  # by the sums of the state's part
+        for t in range(steps - 1, -1, -1):
+            dh += dout[:, t]
+            now, dn = dg[t], da[t, 2 * hidden:]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dh, by_z[t], out=now[:hidden])
+            np.multiply(dn, by_r[t], out=now[hidden:2 * hidden])
+            np.multiply(dn, r[t], out=now[2 * hidden:])
+            dh *= z[t]
+            dh += p["u"] @ now
+            if some[t]:
+                dh *= ~begins[t]
+        da[:, :2 * hidden] = dg[:, :2 * hidden]
+        g["u"] += np.matmul(tape["prev"], dg.transpose(0, 2, 1)).sum(axis=0)
+        by = np.argsort(tokens.ravel().astype(np.int16 if start < 1 << 15 else np.int64), kind="stable")
+        sums = np.ascontiguousarray(da.transpose(0, 2, 1)).reshape(-1, 3 * hidden)[by]
+        token = tokens.ravel()[by]
+        at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        sums = np.add.reduceat(sums, at, axis=0)
+        g["x"][token[at]] = sums
+        g["b"] += sums.sum(axis=0)
+        self._adam(1 / int(inside.sum()))
+        return states[-1].T
+
+    def _adam(self, scale: float) -> None:
+        """One step along the gradient times ``scale``, cut to length one."""
+        norm = math.sqrt(float(self.grads @ self.grads)) * scale
         scale *= min(1.0, 1.0 / (norm + 1e-9))
         self.step += 1
-        for k, x in g.items():
-            x *= np.float32(scale)
-            self.m[k] = 0.9 * self.m[k] + 0.1 * x
-            self.v[k] = 0.99 * self.v[k] + 0.01 * x * x
-            p[k] -= np.float32(self.rate) * (self.m[k] / (1 - 0.9 ** self.step)) / (np.sqrt(self.v[k] / (1 - 0.99 ** self.step)) + 1e-6)
-        return h
+        # the moments are sums of which Adam takes a tenth and a hundredth
+        root = 0.1 / math.sqrt(1 - 0.99 ** self.step)
+        rate = 0.1 * self.rate / (1 - 0.9 ** self.step) / root
+        for i in range(0, self.flat.size, BLOCK):
+            x, m, v = self.grads[i:i + BLOCK], self.moments[0, i:i + BLOCK], self.moments[1, i:i + BLOCK]
+            x *= scale
+            m *= 0.9
+            m += x
+            x *= x
+            v *= 0.99
+            v += x
+            np.sqrt(v, out=x)
+            x += 1e-6 / root
+            np.divide(m, x, out=x)
+            x *= rate
+            self.flat[i:i + BLOCK] -= x
 
     def texts(self, texts: list[np.ndarray], lanes: int = TRAIN_LANES, window: int = TRAIN_WINDOW) -> None:
         start = len(self.p["x"]) - 1
@@ -267,18 +376,19 @@ class Counts:
 def count_words(train: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) -> Counts:
     """Counts of all words of all training texts; the end of a text is a token of its own."""
     def run(batches):
-        seen: Counter[bytes] = Counter()
+        held, n = [], 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return out
+            found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "c"])
 
         for b in batches:
-            for data in b.column(0).to_pylist():
-                seen.update(words_of(data))
-                if len(seen) > COUNT_FLUSH:
-                    yield flush()
+            held.append(words_in(b.column(0))[0])
+            n += len(held[-1])
+            if n >= BUFFER_TOKENS:
+                yield flush()
+                n = 0
         yield flush()
 
     n_texts = train.count()
@@ -321,13 +431,15 @@ def fit(train: DataFrame, counts: Counts, doc_id: str = "doc_id", text: str = "t
     ids, freq, unlisted = vocabulary(counts)
     params = new_params(freq)
     spark = train.sparkSession
-    known = spark.sparkContext.broadcast(ids)
+    known = spark.sparkContext.broadcast(pa.array(list(ids), pa.binary()))
 
     def encode(batches):
-        get = known.value.get
         for b in batches:
-            rows = [np.array([*[get(w, UNK) for w in words_of(t)], END], np.int32).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+            words, n = words_in(b.column(0))
+            at = places(words, known.value)
+            out, ends = with_ends(np.where(at < 0, UNK, at + 2).astype(np.int32), n)
+            rows = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, 4 * ends].astype(np.int32)), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([rows], names=["ids"])
 
     u = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("lm")),
                F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -398,51 +510,57 @@ def score(docs: DataFrame, counts: Counts, model: Model, doc_id: str = "doc_id",
     Without any training token every score is that of the smoothed counts alone.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((counts.head, model))
+    # words of the network by their ids, then the other words of the dictionary
+    ordered = [*model.ids, *(counts.head.keys() - model.ids.keys())]
+    log_c = np.append(np.log10(np.array([counts.head[w] for w in ordered], float) + SMOOTH), 0)  # the last for any other word
+    shared = sc.broadcast((pa.array(ordered, pa.binary()), log_c, model.params, len(model.ids)))
     n_all = counts.n_tokens + SMOOTH * (counts.n_types + 1)
     trained, end_count = counts.n_tokens > 0, counts.n_texts
     log_all, log_unlisted = math.log10(n_all), math.log10(max(model.unlisted, 1e-300))
 
     def run(batches):
-        head, m = shared.value
-        get_c, get_id = head.get, m.ids.get
+        known, log_c, params, listed = shared.value
         part, serial = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         tokens = 0
 
         def flush():
             nonlocal serial
-            logs = score_texts(m.params, [h[1] for h in held]) / math.log(10) if trained else np.zeros(len(held))
-            uid = [(part << 33) + serial + i for i in range(len(held))]
-            serial += len(held)
-            cols = list(zip(*[h[2:] for h in held], strict=True)) or [[]] * 6
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), pa.array([h[0] for h in held], id_type), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                 pa.array(cols[2], pa.float64()), pa.array(np.array(cols[3], float) + logs, pa.float64()),
-                 pa.array(cols[4], pa.list_(pa.binary())), pa.array(cols[5], pa.list_(pa.int32()))], names=names)
+            n, names_of = np.concatenate([h[2] for h in held]), pa.concat_arrays([h[0] for h in held])
+            words = pa.chunked_array([h[1] for h in held], pa.binary())
             held.clear()
+            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            at = places(words, known)  # the known words begin with those of the network
+            add = lambda rows, x=None: np.bincount(rows, x, len(n))
+            log, unlisted, far = log_c[at], (at < 0) | (at >= listed), at < 0
+            base = add(row, log) - log_all * (n + 1) + math.log10(end_count + SMOOTH)
+            extra = add(row[unlisted], log[unlisted]) - log_unlisted * add(row[unlisted])
+            del log
+            # the other words, once for each text
+            rare, rows = words.filter(pa.array(far)).combine_chunks().dictionary_encode(), row[far].astype(np.int64)
+            del words, row, far
+            kinds = max(1, len(rare.dictionary))
+            key, times = np.unique(rows * kinds + rare.indices.to_numpy(), return_counts=True)
+            text, kind = np.divmod(key, kinds)
+            first = np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32)
+            if trained:
+                ids, ends = with_ends(np.where(unlisted, np.int32(UNK), at + np.int32(2)), n)
+                del at, unlisted  # what scoring does not need is not held while it runs
+                extra += score_texts(params, np.split(ids, ends[:-1])) / math.log(10)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array((part << 33) + serial + np.arange(len(n))), names_of, pa.array(n + 1), pa.array(n - add(rows) + (end_count > 0)),
+                 pa.array(base), pa.array(extra), pa.ListArray.from_arrays(first, rare.dictionary.take(pa.array(kind))),
+                 pa.ListArray.from_arrays(first, pa.array(times.astype(np.int32)))], names=names)
+            serial += len(n)
             return out
 
-        id_type = None
         for b in batches:
-            id_type = b.schema.field(0).type
-            for ident, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(data)
-                ids = np.fromiter((get_id(w, UNK) for w in words), np.int64, len(words)) if words else np.zeros(0, np.int64)
-                c = np.fromiter((get_c(w, 0) for w in words), np.float64, len(words)) if words else np.zeros(0)
-                rare = Counter([words[i] for i in np.flatnonzero(c == 0)])
-                seen = c > 0
-                logs = np.log10(c[seen] + SMOOTH)
-                base = logs.sum() - log_all * (len(words) + 1) + math.log10(end_count + SMOOTH)
-                unlisted = ids == UNK
-                extra = np.log10(c[seen & unlisted] + SMOOTH).sum() - log_unlisted * int(unlisted.sum())
-                held.append((ident, np.append(ids, END), len(words) + 1, int(seen.sum()) + (end_count > 0), float(base), float(extra),
-                             list(rare.keys()), list(rare.values())))
-                tokens += len(words) + 1
+            held.append((b.column(0), *words_in(b.column(1))))
+            tokens += len(held[-1][1]) + b.num_rows
             if tokens >= BUFFER_TOKENS:
                 yield flush()
                 tokens = 0
-        if held:
+        if tokens:
             yield flush()
 
     names = ["uid", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n"]
