@@ -207,3 +207,51 @@ def test_words_of_batches_equal_those_of_single_texts():
     assert lm.places(pa.array([b"b", b"", b"a"]), pa.array([b"a", b"b"])).tolist() == [1, -1, 0]
     ids, ends = lm.with_ends(np.array([7, 8, 9], np.int32), np.array([2, 0, 1, 0]))
     assert ids.tolist() == [7, 8, 0, 0, 9, 0, 0] and ends.tolist() == [3, 4, 6, 7]
+
+
+def test_states_are_made_without_arrays_of_all_gates():
+    """Gates of a whole window, six times its states, cost more to fetch and clear than to compute."""
+    import tracemalloc
+    p = lm.new_params(np.ones(30))
+    tokens = np.random.default_rng(7).integers(0, 30, (64, 256))
+    h = np.zeros((256, lm.HIDDEN), np.float32)
+    size = 4 * 64 * 256 * lm.HIDDEN
+    tracemalloc.start()
+    lm.gru_states(p, h, tokens, 30)
+    assert tracemalloc.get_traced_memory()[1] < 2 * size
+    tape = {}
+    first = lm.gru_states(p, h, tokens, 30, tape)
+    held = {k: id(v) for k, v in tape.items()}
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    again = lm.gru_states(p, h, tokens, 30, tape)
+    assert tracemalloc.get_traced_memory()[1] - before < 2 * size  # the tape's arrays serve the next window too
+    tracemalloc.stop()
+    assert {k: id(v) for k, v in tape.items()} == held and np.array_equal(first, again)
+    lm.gru_states(p, h[:100], tokens[:5, :100], 30, tape)
+    assert tape["prev"].shape == (5, lm.HIDDEN, 100)
+
+
+def test_rows_are_summed_by_token():
+    r = np.random.default_rng(8)
+    tokens = np.concatenate([np.repeat([1, 0], [500, 40]), r.integers(2, 60, 200), [70], np.repeat([71, 72], [lm.FEW, lm.FEW + 1])])
+    r.shuffle(tokens)
+    for some in (tokens, tokens[:1], np.full(3, 5)):
+        rows = r.normal(size=(len(some), 6))
+        want = np.zeros((80, 6))
+        np.add.at(want, some, rows)
+        token, sums = lm.sums_by_token(rows, some)
+        assert token.tolist() == sorted(set(some.tolist())) and np.allclose(sums, want[token])
+
+
+def test_full_gates_give_finite_states_and_gradients():
+    import warnings
+    for dtype in (np.float32, np.float64):
+        p = {k: (v * (1e5 if k == "x" else 1)).astype(dtype) for k, v in small_params().items()}
+        tokens = np.random.default_rng(9).integers(0, 31, (7, 4))
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            states = lm.gru_states(p, np.zeros((4, 5), dtype), tokens, 30)
+            trainer = lm.Trainer({k: v.copy() for k, v in p.items()}, 0.01)
+            trainer.window(np.zeros((4, 5), dtype), tokens, tokens % 30, 30)
+        assert np.isfinite(states).all() and np.abs(states).max() <= 1 and np.isfinite(trainer.flat).all()

@@ -109,36 +109,38 @@ def gru_states(p, h, tokens, start, tape=None):
     steps, (lanes, hidden) = len(tokens), h.shape
     # the gates' sums are negated for 1 / (1 + exp(-x))
     sign = np.repeat(np.array([-1, -1, 1], p["u"].dtype), hidden)
-    u = np.ascontiguousarray((p["u"] * sign).T)
-    a = np.ascontiguousarray(((p["x"] + p["b"]) * sign)[tokens].transpose(0, 2, 1))
+    u, x = np.ascontiguousarray((p["u"] * sign).T), (p["x"] + p["b"]) * sign
     begins = tokens == start
     some = begins.any(axis=1).tolist()
-    dtype = a.dtype
+    dtype = x.dtype
     states = np.empty((steps, hidden, lanes), dtype)
-    if tape is not None:
-        tape["prev"], tape["gn"], tape["n"] = (np.empty_like(states) for _ in range(3))
-        tape["zr"] = a[:, :2 * hidden]
-    h, g, d = np.array(h.T, dtype, order="C"), np.empty((3 * hidden, lanes), dtype), np.empty((hidden, lanes), dtype)
-    for t in range(steps):
-        if some[t]:
-            h = h * ~begins[t]
-        np.matmul(u, h, out=g)
-        zr, n, gn = a[t, :2 * hidden], a[t, 2 * hidden:], g[2 * hidden:]
-        if tape is not None:
-            tape["prev"][t], tape["gn"][t] = h, gn
-        zr += g[:2 * hidden]
-        np.minimum(zr, 80, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        gn *= zr[hidden:]
-        n += gn
-        np.tanh(n, out=n)
-        np.subtract(h, n, out=d)
-        d *= zr[:hidden]
-        h = np.add(n, d, out=states[t])
-        if tape is not None:
-            tape["n"][t] = n
+    if tape is not None and tape.get("sums", x).shape != (steps, 3 * hidden, lanes):
+        tape["sums"] = np.empty((steps, 3 * hidden, lanes), dtype)
+        tape["prev"], tape["n"] = np.empty_like(states), np.empty_like(states)
+        tape["zr"], tape["gn"] = tape["sums"][:, :2 * hidden], tape["sums"][:, 2 * hidden:]
+    # one step's numbers only, which stay in the cache
+    row, g = np.empty((lanes, 3 * hidden), dtype), np.empty((3 * hidden, lanes), dtype)
+    a = row.T
+    h, n, d = np.array(h.T, dtype, order="C"), np.empty((hidden, lanes), dtype), np.empty((hidden, lanes), dtype)
+    with np.errstate(over="ignore"):  # a gate whose exponential is infinite is zero
+        for t in range(steps):
+            if some[t]:
+                h = h * ~begins[t]
+            if tape is not None:
+                tape["prev"][t], g, n = h, tape["sums"][t], tape["n"][t]
+            np.take(x, tokens[t], axis=0, out=row, mode="clip")
+            np.matmul(u, h, out=g)
+            zr = g[:2 * hidden]
+            zr += a[:2 * hidden]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(g[2 * hidden:], zr[hidden:], out=n)
+            n += a[2 * hidden:]
+            np.tanh(n, out=n)
+            np.subtract(h, n, out=d)
+            d *= zr[:hidden]
+            h = np.add(n, d, out=states[t])
     return states
 
 
@@ -154,12 +156,12 @@ def token_log(p, h, target, grads=None):
     order = np.argsort(cls, kind="stable")  # tokens of a class lie side by side
     cls, target, rows = cls[order], target[order], np.arange(len(order))
     units = h.shape[1]
-    # the last line of ones meets the biases, so one product does for both
-    hs = np.empty((units + 1, len(order)), p["wc"].dtype)
-    np.take(h.T, order, axis=1, out=hs[:units], mode="clip")
-    hs[units] = 1
+    # the last column of ones meets the biases, so one product does for both
+    hs = np.ones((len(order), units + 1), p["wc"].dtype)
+    hs[:, :units] = np.take(h, order, axis=0, mode="clip")
+    hs = hs.T
     wc, ww = np.vstack([p["wc"], p["bc"]]).T, np.column_stack([p["ww"], p["bw"]])
-    size = [(np.abs(w[:, :-1]).sum(axis=1), w[:, -1]) for w in (wc, ww)]
+    size = [(np.abs(w) @ np.append(np.ones(units, w.dtype), 0), w[:, -1]) for w in (wc, ww)]
     far = any((b + x).max() > 80 or (b - x).max() < -80 for x, b in size)  # states lie in (-1, 1), so else nothing overflows
 
     def softmax(w, x, at, total):
@@ -170,7 +172,7 @@ def token_log(p, h, target, grads=None):
         line = rows[:len(at)]
         log = e[at, line]
         np.exp(e, out=e)
-        np.sum(e, axis=0, out=total)
+        np.add.reduce(e, axis=0, out=total)
         if grads is not None:
             e *= 1 / total
             e[at, line] -= 1
@@ -183,8 +185,7 @@ def token_log(p, h, target, grads=None):
         g = d @ hs.T
         grads["wc"] += g[:, :-1].T
         grads["bc"] += g[:, -1]
-        dh = p["wc"] @ d
-        by_word = np.zeros_like(ww)
+        dh = d.T @ p["wc"].T
     bounds = np.searchsorted(cls, np.arange(len(first))).tolist()
     starts = first.tolist()
     place = target - first[cls]
@@ -196,23 +197,39 @@ def token_log(p, h, target, grads=None):
         inner, d = softmax(w, x, place[i:k], totals[1, i:k])
         log[i:k] += inner
         if grads is not None:
-            np.matmul(d, x.T, out=by_word[lo:hi])
-            dh[:, i:k] += w[:, :-1].T @ d
+            g = d @ x.T
+            grads["ww"][lo:hi] += g[:, :-1]
+            grads["bw"][lo:hi] += g[:, -1]
+            dh[i:k] += d.T @ w[:, :-1]
     log -= np.log(totals).sum(axis=0)
     out = np.empty_like(log)
     out[order] = log
     if dh is not None:
-        grads["ww"] += by_word[:, :-1]
-        grads["bw"] += by_word[:, -1]
         back = np.empty_like(order)
         back[order] = rows
-        dh = np.take(dh, back, axis=1).T
+        dh = np.take(dh, back, axis=0, mode="clip")
     return out, dh
 
 
 def _flat(states: np.ndarray) -> np.ndarray:
-    """States of a window as (place, unit), with the units' lines in memory."""
-    return np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(states.shape[1], -1).T
+    """States of a window, (step, unit, lane), as (place, unit)."""
+    return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, states.shape[1])
+
+
+def sums_by_token(rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens, and the sum of the rows of each."""
+    by = np.argsort(tokens, kind="stable")
+    rows, tokens = np.take(rows, by, axis=0, mode="clip"), tokens[by]
+    at = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    n = np.diff(np.append(at, len(tokens)))
+    sums = np.take(rows, at, axis=0, mode="clip")
+    # the second rows of all tokens, their third rows and so on; a frequent token's rows at once
+    for k in range(1, min(FEW, int(n.max()))):
+        some = np.flatnonzero((n > k) & (n <= FEW))
+        sums[some] += rows[at[some] + k]
+    for i in np.flatnonzero(n > FEW).tolist():
+        np.add.reduce(rows[at[i]:at[i] + n[i]], axis=0, out=sums[i])
+    return tokens[at], sums
 
 
 def lay_out(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -256,10 +273,14 @@ def score_texts(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int =
         steps = min(window, int(size[0]) - t0)
         place = offset[:live] + t0 + np.arange(steps)[:, None]
         inside = (t0 + np.arange(steps))[:, None] < size[:live]
-        states = gru_states(p, h, inputs[np.where(inside, place, offset[:live])], start)
+        if inside.all():
+            states = gru_states(p, h, inputs[place], start)
+            at, flat = place.ravel(), _flat(states)
+        else:
+            states = gru_states(p, h, inputs[np.where(inside, place, offset[:live])], start)
+            at, flat = place[inside], _flat(states)[inside.ravel()]
         h = states[-1].T
-        at = place[inside]
-        logs[at] = token_log(p, _flat(states)[inside.ravel()], target[at])[0]
+        logs[at] = token_log(p, flat, target[at])[0]
     out = np.empty(len(texts))
     out[order] = np.add.reduceat(logs, first)
     return out
@@ -267,6 +288,8 @@ def score_texts(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int =
 
 # Numbers that one step of Adam works on at once.
 BLOCK = 1 << 15
+# Rows of a token in a window; a token with more has them added at once.
+FEW = 12
 
 
 class Trainer:
@@ -274,6 +297,7 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.rate, self.step = rate, 0
+        self.tape = {}  # its arrays serve all windows of one shape
         self.flat = np.concatenate([v.ravel() for v in p.values()])
         self.moments, self.grads = np.zeros((2, self.flat.size), self.flat.dtype), np.zeros_like(self.flat)
         ends = np.cumsum([v.size for v in p.values()])
@@ -286,26 +310,32 @@ class Trainer:
         p, g, hidden = self.p, self.g, h.shape[1]
         inside = np.ones(target.shape, bool) if inside is None else inside
         self.grads[:] = 0
-        tape = {}
+        tape = self.tape
         states = gru_states(p, h, tokens, start, tape)
         steps, _, lanes = states.shape
         if inside.all():
-            dout = token_log(p, _flat(states), target.ravel(), g)[1].T.reshape(hidden, steps, lanes)
+            dout = token_log(p, _flat(states), target.ravel(), g)[1]
         else:
-            dout = np.zeros((hidden, steps * lanes), states.dtype)
-            dout[:, inside.ravel()] = token_log(p, _flat(states)[inside.ravel()], target[inside], g)[1].T
-            dout = dout.reshape(hidden, steps, lanes)
+            dout = np.zeros((steps * lanes, hidden), states.dtype)
+            dout[inside.ravel()] = token_log(p, _flat(states)[inside.ravel()], target[inside], g)[1]
+        dout = np.ascontiguousarray(dout.reshape(steps, lanes, hidden).transpose(0, 2, 1))
         z, r, n = tape["zr"][:, :hidden], tape["zr"][:, hidden:], tape["n"]
-        rest = 1 - z
-        by_z, by_r, by_n = (tape["prev"] - n) * z * rest, tape["gn"] * r * (1 - r), rest * (1 - n * n)
+        rest, by_r, by_n = 1 - z, 1 - r, n * n
+        np.subtract(1, by_n, out=by_n)
+        by_n *= rest
+        by_r *= r
+        by_r *= tape["gn"]
+        by_z = tape["prev"] - n
+        by_z *= rest
+        by_z *= z
         begins = tokens == start
         some = begins.any(axis=1).tolist()
         dh = np.zeros((hidden, lanes), states.dtype)
-        da = np.empty((steps, 3 * hidden, lanes), states.dtype)
-        dg = np.empty_like(da)  # by the sums of the state's part
+        by_new = np.empty((steps, hidden, lanes), states.dtype)
+        dg = np.empty((steps, 3 * hidden, lanes), states.dtype)  # by the sums of the state's part
         for t in range(steps - 1, -1, -1):
-            dh += dout[:, t]
-            now, dn = dg[t], da[t, 2 * hidden:]
+            dh += dout[t]
+            now, dn = dg[t], by_new[t]
             np.multiply(dh, by_n[t], out=dn)
             np.multiply(dh, by_z[t], out=now[:hidden])
             np.multiply(dn, by_r[t], out=now[hidden:2 * hidden])
@@ -314,14 +344,11 @@ class Trainer:
             dh += p["u"] @ now
             if some[t]:
                 dh *= ~begins[t]
-        da[:, :2 * hidden] = dg[:, :2 * hidden]
         g["u"] += np.matmul(tape["prev"], dg.transpose(0, 2, 1)).sum(axis=0)
-        by = np.argsort(tokens.ravel().astype(np.int16 if start < 1 << 15 else np.int64), kind="stable")
-        sums = np.ascontiguousarray(da.transpose(0, 2, 1)).reshape(-1, 3 * hidden)[by]
-        token = tokens.ravel()[by]
-        at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        sums = np.add.reduceat(sums, at, axis=0)
-        g["x"][token[at]] = sums
+        da = np.empty((steps, lanes, 3 * hidden), states.dtype)
+        da[..., :2 * hidden], da[..., 2 * hidden:] = dg[:, :2 * hidden].transpose(0, 2, 1), by_new.transpose(0, 2, 1)
+        token, sums = sums_by_token(da.reshape(-1, 3 * hidden), tokens.ravel().astype(np.int16 if start < 1 << 15 else np.int64))
+        g["x"][token] = sums
         g["b"] += sums.sum(axis=0)
         self._adam(1 / int(inside.sum()))
         return states[-1].T
